@@ -94,6 +94,9 @@ def _marked(nodes: DataFrame, entries: DataFrame, keys: list[str], width: int) -
         return block.loc[seen, [*keys, "pos"]]
 
     schema = nodes.select(*keys, "pos").schema
+    # Nodes and entries often share an origin; fresh columns keep the two sides apart.
+    nodes = nodes.select(*[F.col(c).alias(c) for c in (*keys, "pos", "nxt")])
+    entries = entries.select(*[F.col(c).alias(c) for c in (*keys, "pos")])
     number = F.floor(F.col("pos") / F.lit(width))
     left = nodes.withColumn("_block", number).groupBy(*keys, "_block")
     right = entries.withColumn("_block", number).groupBy(*keys, "_block")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkfold.catalog import BOOLEAN_TYPE, DOUBLE_TYPE, INTEGER_TYPES, Catalog
 from linkfold.functions import text
+from linkfold.session import attached
 from linkfold.sources.tables import FILE, normalized_header, resolve_header
 
 #: Most row issues reported per file.
@@ -44,7 +45,7 @@ def file_lines(lines: DataFrame, bound: DataFrame) -> DataFrame:
     counts = lines.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("total_lines"), F.count_if(~text.is_blank(F.col("raw"))).alias("filled_lines")
     )
-    return bound.join(counts, FILE, "left").fillna(0, ["total_lines", "filled_lines"])
+    return attached(bound.join(counts, FILE, "left").fillna(0, ["total_lines", "filled_lines"]))
 
 
 def empty_files(files: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ def format_issues(lines: DataFrame, bound: DataFrame, catalog: Catalog, cap: int
     files = file_lines(lines, bound)
     filled = files.filter("filled_lines > 0").drop("total_lines", "filled_lines")
     physical = catalog.tables_frame(spark).select("schema_file", F.col("columns").alias("physical"))
-    headers = resolve_header(lines, filled, catalog).join(physical, "schema_file")
+    headers = attached(resolve_header(lines, filled, catalog).join(physical, "schema_file"))
     analyzed = analyzed_headers(headers, catalog)
     return (
         empty_files(files)

@@ -81,10 +81,10 @@ def fk_refs(spark, sf):
 @query(
     "fk_resolved",
     f"""WITH {_REFS} SELECT source_table, source_line, source_column, fk_value, target_table, ok AS resolved,
-    target_line FROM resolved""",
+    coalesce(target_line, -1) AS target_line FROM resolved""",
 )
 def fk_resolved(spark, sf):
-    return _resolved(spark, sf).select(*_FLAT, "resolved", "target_line")
+    return _resolved(spark, sf).select(*_FLAT, "resolved", F.coalesce("target_line", F.lit(-1)).alias("target_line"))
 
 
 @query(
@@ -110,7 +110,7 @@ def fk_generic_rows(spark, sf):
     "fk_case_insensitive",
     """WITH k AS (SELECT lower(c_name) pk, max(c_custkey) line_no FROM customer WHERE c_acctbal >= 0 GROUP BY 1)
     SELECT o.o_orderkey AS source_line, upper(c.c_name) AS fk_value, k.pk IS NOT NULL AS resolved,
-      k.line_no AS target_line
+      coalesce(k.line_no, -1) AS target_line
     FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN k ON k.pk = lower(c.c_name)""",
 )
 def fk_case_insensitive(spark, sf):
@@ -130,7 +130,9 @@ def fk_case_insensitive(spark, sf):
             F.col("c_custkey").alias("line_no"),
         )
     )
-    return refs.resolve_column_refs(found, keys).select("source_line", "fk_value", "resolved", "target_line")
+    return refs.resolve_column_refs(found, keys).select(
+        "source_line", "fk_value", "resolved", F.coalesce("target_line", F.lit(-1)).alias("target_line")
+    )
 
 
 def _brand_rows(spark, sf):
@@ -162,8 +164,8 @@ def duplicate_keys(spark, sf):
 
 @query(
     "dependency_edges",
-    f"""WITH {_REFS} SELECT source_table, target_table, count(*) AS total, count_if(ok) AS resolved,
-      count_if(NOT ok) AS unresolved, array_to_string(list_sort(list_distinct(list(source_column))), ', ') AS columns
+    f"""WITH {_REFS} SELECT source_table, target_table, count(*) AS total, count_if(ok)::BIGINT AS resolved,
+      count_if(NOT ok)::BIGINT AS unresolved, array_to_string(list_sort(list_distinct(list(source_column))), ', ') AS columns
     FROM resolved GROUP BY 1, 2""",
 )
 def dependency_edges(spark, sf):
@@ -173,7 +175,7 @@ def dependency_edges(spark, sf):
 @query(
     "index_stats",
     f"""WITH {_REFS}, t AS (SELECT count(DISTINCT table_name) AS table_count, count(*) AS row_count FROM keys),
-    r AS (SELECT count(*) AS fk_count, count_if(ok) AS resolved_count, count_if(NOT ok) AS unresolved_count FROM resolved)
+    r AS (SELECT count(*) AS fk_count, count_if(ok)::BIGINT AS resolved_count, count_if(NOT ok)::BIGINT AS unresolved_count FROM resolved)
     SELECT * FROM t, r""",
 )
 def index_stats(spark, sf):
@@ -206,8 +208,8 @@ def unresolved_by_source(spark, sf):
 
 @query(
     "refs_by_file",
-    f"""WITH {_REFS} SELECT source_table || '.tbl' AS file, count(*) AS refs, count_if(ok) AS resolved,
-      count_if(NOT ok) AS unresolved FROM resolved GROUP BY 1""",
+    f"""WITH {_REFS} SELECT source_table || '.tbl' AS file, count(*) AS refs, count_if(ok)::BIGINT AS resolved,
+      count_if(NOT ok)::BIGINT AS unresolved FROM resolved GROUP BY 1""",
 )
 def refs_by_file(spark, sf):
     return report.refs_by_file(_resolved(spark, sf)).drop("dataset_id")
@@ -415,7 +417,7 @@ def condition_filter_fold(spark, sf):
     r"""SELECT l AS p_label, p_partkey, row_number() OVER (ORDER BY k, l, p_partkey)::INTEGER AS pos FROM
     (SELECT p_brand || ' ' || p_name AS l, p_partkey,
       array_to_string(list_transform(regexp_extract_all(lower(p_brand || ' ' || p_name), '[0-9]+|[^0-9]+'),
-        t -> CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(regexp_replace(t, '^0+([0-9])', '\1'))::VARCHAR, 4, '0')
+        lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(regexp_replace(t, '^0+([0-9])', '\1'))::VARCHAR, 4, '0')
           || regexp_replace(t, '^0+([0-9])', '\1') ELSE t END), '') AS k FROM part)
     QUALIFY pos <= 200""",
 )
@@ -446,11 +448,11 @@ def preview_counts(spark, sf):
 
 @query(
     "downsample",
-    """WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS at,
+    """WITH r AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS nth,
       count(*) OVER (PARTITION BY event_type) AS total FROM events WHERE value IS NOT NULL),
-    p AS (SELECT event_type, i AS point, floor(i::DOUBLE / 79.0::DOUBLE * (total - 1)::DOUBLE)::BIGINT AS at
+    p AS (SELECT event_type, i AS point, floor(i::DOUBLE / 79.0::DOUBLE * (total - 1)::DOUBLE)::BIGINT AS nth
       FROM (SELECT DISTINCT event_type, total FROM r), range(80) g(i))
-    SELECT r.event_type, r.event_id, r.value AS y, p.point::INTEGER AS point FROM r JOIN p USING (event_type, at)""",
+    SELECT r.event_type, r.event_id, r.value AS y, p.point::INTEGER AS point FROM r JOIN p USING (event_type, nth)""",
 )
 def downsample(spark, sf):
     df = load(spark, sf, "events").select("event_type", "event_id", "value")
@@ -459,11 +461,11 @@ def downsample(spark, sf):
 
 @query(
     "downsample_sorted",
-    """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS at,
+    """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS nth,
       count(*) OVER () AS total FROM orders),
-    p AS (SELECT i AS point, floor(i::DOUBLE / 79.0::DOUBLE * (total - 1)::DOUBLE)::BIGINT AS at
+    p AS (SELECT i AS point, floor(i::DOUBLE / 79.0::DOUBLE * (total - 1)::DOUBLE)::BIGINT AS nth
       FROM (SELECT DISTINCT total FROM r), range(80) g(i))
-    SELECT r.o_orderkey, r.o_totalprice, p.point::INTEGER AS point FROM r JOIN p USING (at)""",
+    SELECT r.o_orderkey, r.o_totalprice, p.point::INTEGER AS point FROM r JOIN p USING (nth)""",
 )
 def downsample_sorted(spark, sf):
     df = load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
@@ -486,7 +488,7 @@ def axis_range(spark, sf):
     """WITH s AS (SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, split_part(o_orderpriority, '-', 1) || CASE WHEN
       o_orderstatus = 'F' THEN 'x' ELSE '' END AS coded, CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'n/a' END AS gap FROM orders),
     u AS (UNPIVOT s ON o_orderkey, o_orderstatus, coded, gap INTO NAME col VALUE v),
-    a AS (SELECT col, count(*) AS cells, count_if(v <> '') AS filled, count_if(regexp_matches(v, '^[0-9]+$')) AS numeric
+    a AS (SELECT col, count(*) AS cells, count_if(v <> '')::BIGINT AS filled, count_if(regexp_matches(v, '^[0-9]+$'))::BIGINT AS numeric
       FROM u GROUP BY 1)
     SELECT col AS "column", cells, filled, numeric, filled > 0 AND numeric >= 0.6 * filled AS is_numeric FROM a""",
 )
@@ -690,8 +692,8 @@ def routing_units_of(spark, sf):
 
 @query(
     "object_counts",
-    """SELECT count_if(o_orderstatus = 'F') AS chandeg, count_if(o_orderstatus = 'O') AS outlet,
-      count_if(o_orderstatus = 'P') AS recall, count(*) AS total FROM orders""",
+    """SELECT count_if(o_orderstatus = 'F')::BIGINT AS chandeg, count_if(o_orderstatus = 'O')::BIGINT AS outlet,
+      count_if(o_orderstatus = 'P')::BIGINT AS recall, count(*) AS total FROM orders""",
 )
 def object_counts(spark, sf):
     from linkfold.operators.subset import object_counts as counts

@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Catalog-derived frames are hinted for broadcast only up to this many rows.
+#: Catalog and per-file frames are hinted for broadcast only up to this many counted rows.
 BROADCAST_ROWS = 50_000
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -59,3 +59,13 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def attached(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A per-file frame fixed once and counted, to be joined to lines where they are.
+
+    Up to ``limit`` rows it is hinted for broadcast, so the lines are not shuffled. A larger frame
+    is left to the optimizer, which may shuffle and splits skewed files at run time.
+    """
+    fixed = durable(df)
+    return F.broadcast(fixed) if fixed.limit(limit + 1).count() <= limit else fixed

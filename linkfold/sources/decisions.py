@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkfold.functions import text
 from linkfold.functions.ordinals import with_ordinal
 from linkfold.operators.chain import on_chain
+from linkfold.session import attached
 from linkfold.sources.records import named_cells
 from linkfold.sources.tables import FILE
 
@@ -34,10 +35,14 @@ def decision_tables(lines: DataFrame, names: DataFrame) -> tuple[DataFrame, Data
     optional column line, and ``acts`` action lines (blank lines do count). Where a table ends
     decides where the next begins, so the heads are found by following the chain of line numbers.
     """
-    inside = lines.join(names, FILE).withColumn("tokens", text.tokens(F.col("raw")))
+    inside = (
+        lines.filter(F.col("file_name").endswith(".dtl"))
+        .join(attached(names), FILE)
+        .withColumn("tokens", text.tokens(F.col("raw")))
+    )
     stated = F.max(F.when(F.col("line_no") == 2, text.integer(F.trim("raw"))))
     files = inside.groupBy(*FILE).agg(stated.alias("_tables"), F.max("line_no").alias("_last"))
-    files = files.filter("_tables >= 0")
+    files = attached(files.filter("_tables >= 0"))
     body = inside.join(files, FILE).filter("line_no >= 3")
     filled = with_ordinal(body.filter(F.size("tokens") > 0), FILE, "line_no", "k").withColumn(
         "_upper", F.upper(F.get("tokens", F.lit(0)))

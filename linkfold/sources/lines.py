@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkfold.functions import text
 
+#: Split offsets are broadcast up to this many; the bound is checked before planning.
+BROADCAST_SPLITS = 1_000_000
+
 
 def scan_lines(
     spark: SparkSession, path: str | list[str], whole_files: bool = False, name_glob: str | None = None
@@ -47,11 +50,31 @@ def scan_lines(
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         )
     )
+    if _most_splits(lines) <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     return lines.join(splits, ["_file", "_split"]).select(
         _clean_path("_file"), (F.col("_id") + F.col("_shift")).alias("line_no"), "raw"
     )
 
 
+def _most_splits(lines: DataFrame) -> float:
+    """Upper bound of the number of splits, from the listed files and their total size."""
+    spark = lines.sparkSession
+    size = float(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    factor = float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0"))
+    widest = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    narrowest = _bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    # Splits shrink when there are more cores than data; allow for four times today's cores.
+    per_core = size / (4 * spark.sparkContext.defaultParallelism)
+    return len(lines.inputFiles()) + size / factor / max(min(widest, max(narrowest, per_core)), 1.0)
+
+
+def _bytes(setting: str) -> float:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    low = setting.strip().lower().removesuffix("b") or "0"
+    return float(low[:-1]) * units[low[-1]] if low[-1] in units else float(low)
+
+
 def _clean_path(column: str):
     """Path without its scheme and with percent escapes undone."""
     return F.url_decode(F.replace(F.regexp_replace(column, "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("path")

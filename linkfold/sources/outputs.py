@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkfold.functions import text
+from linkfold.session import attached
 
 FILE = ["dataset_id", "file_name"]
 
@@ -74,6 +75,7 @@ def read_output_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("_h.line_no").alias("header_line"),
         F.col("_h.line_no").alias("last_head_line"),
     )
+    layouts = attached(layouts)
     rows = (
         filled.join(layouts.select(*FILE, "columns", "header_line"), FILE)
         .filter(F.col("line_no") > F.col("header_line"))
@@ -193,7 +195,7 @@ def detect_output_layout(lines: DataFrame) -> DataFrame:
             columns = ["dataset_id", "file_name", "title", "columns", "units", "mode", "bounds", "header_line", "last_head_line"]
             yield pd.DataFrame(out, columns=columns)
 
-    return heads.mapInPandas(decide, f"dataset_id string, file_name string, {LAYOUT_SCHEMA}")
+    return attached(heads.mapInPandas(decide, f"dataset_id string, file_name string, {LAYOUT_SCHEMA}"))
 
 
 def read_output_text(lines: DataFrame, layouts: DataFrame) -> DataFrame:

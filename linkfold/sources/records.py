@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkfold.functions import text
+from linkfold.session import attached
 from linkfold.sources.tables import FILE, child_lines
 
 # Column names of the child lines of each file.
@@ -55,12 +56,12 @@ def soil_profiles(mains: DataFrame) -> DataFrame:
 
 def soil_layers(mains: DataFrame, lines: DataFrame) -> DataFrame:
     count = text.integer(F.get("tokens", F.lit(1)))
-    children = child_lines(mains, lines, count)
+    children = child_lines(mains, lines, "soils.sol", count)
     return _flat(children, named_cells(SOIL_LAYER, F.col("tokens"), layer=F.col("ord").cast("string")))
 
 
 def plant_members(mains: DataFrame, lines: DataFrame) -> DataFrame:
-    children = child_lines(mains, lines, plant_count())
+    children = child_lines(mains, lines, "plant.ini", plant_count())
     return _flat(children, named_cells(PLANT_MEMBER, F.col("tokens")))
 
 
@@ -87,7 +88,7 @@ def management_ops(mains: DataFrame, lines: DataFrame) -> DataFrame:
     are taken from.
     """
     counted = management_counts(mains)
-    children = child_lines(counted, lines, F.col("numb_auto") + F.col("numb_ops"))
+    children = child_lines(counted, lines, "management.sch", F.col("numb_auto") + F.col("numb_ops"))
     tokens = F.col("tokens")
     auto = named_cells(AUTO_LINE, tokens, name=text.cell(tokens, 0), section=F.lit("auto"))
     op = named_cells(OPERATION_LINE, tokens, op_ref=text.cell(tokens, 6), section=F.lit("op"))
@@ -96,7 +97,7 @@ def management_ops(mains: DataFrame, lines: DataFrame) -> DataFrame:
 
 def generator_months(mains: DataFrame, lines: DataFrame) -> DataFrame:
     """Twelve month lines per station; the line right below the station is a header."""
-    children = child_lines(mains, lines, F.lit(12), skip=1)
+    children = child_lines(mains, lines, "weather-wgn.cli", F.lit(12), skip=1)
     return _flat(children, named_cells(MONTH_LINE, F.col("tokens"), month=F.col("ord").cast("string")))
 
 
@@ -112,7 +113,7 @@ def deposition_blocks(mains: DataFrame, lines: DataFrame) -> DataFrame:
         return F.coalesce(text.integer(F.try_element_at("values", F.lit(name))), F.lit(0))
 
     stations = F.when((count("num_sta") > 0) & (count("num_aa") > 0), count("num_sta") * 5).otherwise(0)
-    children = child_lines(mains, lines, stations)
+    children = child_lines(mains, lines, "atmo.cli", stations)
     series = F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1)))
     aggregates = [
         F.max(F.when(F.col("_part") == 0, F.col("line_no"))).alias("line_no"),
@@ -147,12 +148,13 @@ def weather_series(lines: DataFrame, columns: dict[str, tuple[str, ...]]) -> tup
     # Minima merge map-side, so finding the two head lines moves one row per file and task.
     header = full.groupBy(*FILE).agg(F.min("line_no").alias("_header"))
     station = (
-        full.join(header, FILE)
+        full.join(attached(header), FILE)
         .filter(F.col("line_no") > F.col("_header"))
         .groupBy(*FILE)
         .agg(F.min_by(F.struct("line_no", "raw"), "line_no").alias("_s"))
         .select(*FILE, F.col("_s.line_no").alias("station_line"), F.col("_s.raw").alias("_station"))
     )
+    station = attached(station)
     comment = inside.filter("line_no = 1").select(*FILE, F.trim("raw").alias("_comment"))
     station_columns = ("nbyr", "tstep", "lat", "lon", "elev")
     tokens = text.tokens(F.col("_station"))

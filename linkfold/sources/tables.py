@@ -8,6 +8,7 @@ from linkfold.catalog import MAX_CHILD_LINES, Catalog
 from linkfold.functions import text
 from linkfold.functions.ordinals import with_ordinal
 from linkfold.operators.chain import on_chain
+from linkfold.session import attached
 
 FILE = ["dataset_id", "file_name"]
 
@@ -27,10 +28,11 @@ def resolve_header(lines: DataFrame, bound: DataFrame, catalog: Catalog) -> Data
     The header line decides the columns when at least one of its tokens is a known column. A count
     standing alone in the header slot moves header and data down by one line if the next line fits
     the catalog better. Adds ``header_line, data_line`` (1-based, the first line that may hold data),
-    ``header_columns`` and ``columns``.
+    ``header_columns``, ``columns`` and ``key_column``. The result, one row per file, is computed here
+    and marked for broadcast while it is small enough.
     """
     spark = lines.sparkSession
-    files = bound.join(catalog.tables_frame(spark), ["table_name", "schema_file"])
+    files = attached(bound.join(catalog.tables_frame(spark), ["table_name", "schema_file"]))
     slot = F.greatest(F.col("data_starts_after"), F.lit(1))
     heads = (
         lines.join(files.select(*FILE, slot.alias("_slot")), FILE)
@@ -52,7 +54,7 @@ def resolve_header(lines: DataFrame, bound: DataFrame, catalog: Catalog) -> Data
     shifted = F.coalesce(
         F.trim("_first").rlike("^[0-9]+$") & (matches(F.col("_h2")) > matches(F.col("_h1"))), F.lit(False)
     )
-    return (
+    resolved = (
         files.join(heads, FILE, "left")
         .withColumn("_h1", header("_first"))
         .withColumn("_h2", header("_second"))
@@ -73,6 +75,17 @@ def resolve_header(lines: DataFrame, bound: DataFrame, catalog: Catalog) -> Data
         .withColumn("header_raw", F.when(F.col("shifted"), F.col("_second")).otherwise(F.col("_first")))
         .drop("_h1", "_h2", "_first", "_second")
     )
+    return attached(resolved.withColumn("key_column", key_column()))
+
+
+def key_column() -> Column:
+    """Column a file's keys come from: the catalog's first key, else ``name``, else ``filename``."""
+    has = lambda c: F.array_contains(F.col("columns"), c)
+    return (
+        F.when(F.col("pk_column").isNotNull() & has(F.col("pk_column")), F.col("pk_column"))
+        .when(has(F.lit("name")), F.lit("name"))
+        .when(has(F.lit("filename")), F.lit("filename"))
+    )
 
 
 def cell_map(tokens: Column, columns: Column) -> Column:
@@ -89,7 +102,7 @@ def cell_map(tokens: Column, columns: Column) -> Column:
 
 def table_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Data lines of bound files, split into tokens and named cells."""
-    info = headers.select(*FILE, "table_name", "schema_file", "columns", "data_line", "pk_column")
+    info = headers.select(*FILE, "table_name", "schema_file", "columns", "data_line", "key_column")
     return (
         lines.join(info, FILE)
         .filter((F.col("line_no") >= F.col("data_line")) & ~F.col("schema_file").endswith(".dtl"))
@@ -104,12 +117,24 @@ def parse_tables(lines: DataFrame, headers: DataFrame, catalog: Catalog) -> Data
     counted records go through the chain of record starts first.
     """
     parsed = table_lines(lines, headers)
-    counted = [f for f, layout in catalog.layouts.items() if layout.counted]
+    counted = counted_files(catalog)
     plain = parsed.filter(~F.col("file_name").isin(counted)).filter(F.size("tokens") > 0)
     soils = [f for f, layout in catalog.layouts.items() if layout.heuristic == "soils"]
     plain = plain.filter(~F.col("file_name").isin(soils) | is_soil_main(F.col("tokens")))
-    mains = plain.select(*_row_columns()).unionByName(main_lines(parsed, headers, catalog).select(*_row_columns()))
-    return assign_keys(mains)
+    mains = plain.select(*_row_columns())
+    if counted and not headers.filter(F.col("file_name").isin(counted)).isEmpty():
+        mains = mains.unionByName(main_lines(parsed, headers, catalog).select(*_row_columns()))
+    return assign_keys(mains, ordinals=not headers.filter("key_column is null").isEmpty())
+
+
+def counted_files(catalog: Catalog) -> list[str]:
+    """Files with counted records that a table of the catalog can be bound to."""
+    possible = {v for t in catalog.tables for v in _spellings(t.file_name, catalog.table_files.get(t.table_name))}
+    return [f for f, layout in catalog.layouts.items() if layout.counted and f in possible]
+
+
+def _spellings(*names: str | None) -> set[str]:
+    return {v for n in names if n for v in (n, n.replace("-", "_"), n.replace("_", "-"))}
 
 
 def _row_columns() -> list:
@@ -117,43 +142,27 @@ def _row_columns() -> list:
         *FILE,
         "table_name",
         "line_no",
-        "pk_column",
-        "columns",
+        "key_column",
         cell_map(F.col("tokens"), F.col("columns")).alias("values"),
         "tokens",
     ]
 
 
-def assign_keys(mains: DataFrame) -> DataFrame:
-    """Key of each row: the first catalog key, else ``name``, else ``filename``, else its ordinal.
+def assign_keys(mains: DataFrame, ordinals: bool = True) -> DataFrame:
+    """Key of each row: its cell in the file's key column, else its 0-based ordinal in the file.
 
-    Ordinals are only computed for files that have none of the key columns.
+    ``ordinals=False`` says that every file has a key column, and saves numbering the rows.
     """
-    has = lambda c: F.array_contains(F.col("columns"), c)
-    chosen = (
-        F.when(F.col("pk_column").isNotNull() & has(F.col("pk_column")), F.col("pk_column"))
-        .when(has(F.lit("name")), F.lit("name"))
-        .when(has(F.lit("filename")), F.lit("filename"))
-    )
-    rows = mains.withColumn("_key", chosen)
-    keyed = rows.filter("_key is not null").withColumn("pk_value", F.try_element_at("values", F.col("_key")))
-    loose = with_ordinal(rows.filter("_key is null"), FILE, "line_no", "_n").withColumn(
-        "pk_value", (F.col("_n") - 1).cast("string")
-    )
     columns = ["dataset_id", "table_name", "file_name", "line_no", "pk_value", "values", "tokens"]
-    return (
-        keyed.select(*columns)
-        .unionByName(loose.select(*columns))
-        .select(
-            "dataset_id",
-            "table_name",
-            "file_name",
-            "line_no",
-            "pk_value",
-            F.lower("pk_value").alias("pk_lc"),
-            "values",
-            "tokens",
-        )
+    keyed = mains.filter("key_column is not null").withColumn(
+        "pk_value", F.try_element_at("values", F.col("key_column"))
+    )
+    rows = keyed.select(*columns)
+    if ordinals:
+        loose = with_ordinal(mains.filter("key_column is null"), FILE, "line_no", "_n")
+        rows = rows.unionByName(loose.withColumn("pk_value", (F.col("_n") - 1).cast("string")).select(*columns))
+    return rows.withColumn("pk_lc", F.lower("pk_value")).select(
+        "dataset_id", "table_name", "file_name", "line_no", "pk_value", "pk_lc", "values", "tokens"
     )
 
 
@@ -197,7 +206,7 @@ def child_count(catalog: Catalog) -> Column:
 
 def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataFrame:
     """Record starts of the counted files, with ``children`` (lines that belong to the record)."""
-    counted = [f for f, layout in catalog.layouts.items() if layout.counted]
+    counted = counted_files(catalog)
     inside = (
         parsed.filter(F.col("file_name").isin(counted))
         .withColumn("values", cell_map(F.col("tokens"), F.col("columns")))
@@ -213,10 +222,10 @@ def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataF
     return inside.filter("children is not null").join(reached, [*FILE, "line_no"], "left_semi")
 
 
-def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0) -> DataFrame:
+def child_lines(mains: DataFrame, lines: DataFrame, file: str, count: Column, skip: int = 0) -> DataFrame:
     """Lines ``1 .. count`` below each main line, after ``skip`` lines, with their ordinal.
 
-    The wanted line numbers are listed per record and joined by equality; no range join, no window.
+    Only lines of files named ``file`` take part. The wanted line numbers are listed per record and joined by equality; no range join, no window.
     Columns: the keys, ``main_line``, ``ord`` (1-based), ``line_no``, ``tokens``, and the mains' other
     columns.
     """
@@ -228,7 +237,9 @@ def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0
         .withColumn("line_no", F.col("main_line") + F.col("ord") + F.lit(skip))
         .drop("_count", "tokens", "values")
     )
-    body = lines.select(*FILE, "line_no", text.tokens(F.col("raw")).alias("tokens"), "raw")
+    body = lines.filter(F.col("file_name") == file).select(
+        *FILE, "line_no", text.tokens(F.col("raw")).alias("tokens"), "raw"
+    )
     return wanted.join(body, [*FILE, "line_no"])
 
 
