@@ -43,7 +43,7 @@ def with_ordinal(
 def with_global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> DataFrame:
     """0-based rank of each row in a total order, found by a range-partitioned sort.
 
-    The sorted rows are checkpointed so that the partition counts and the rows agree.
+    The sorted rows are written so that the partition counts and the rows agree.
     """
     fixed = durable(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
     # The high bits of the id are the partition, the low 33 bits the row inside it.

@@ -34,13 +34,14 @@ def number(value: Column, thousands: bool = False) -> Column:
     text = F.trim(value)
     if thousands:
         text = F.replace(text, F.lit(","), F.lit(""))
-    parsed = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    # No match extracts an empty text, which is no double either.
+    parsed = F.regexp_extract(text, NUMBER, 0).try_cast("double")
     return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
 
 
 def integer(value: Column) -> Column:
     """Whole number written in digits only, else null."""
-    return F.when(value.rlike(INTEGER), value.try_cast("bigint"))
+    return F.regexp_extract(value, INTEGER, 0).try_cast("bigint")
 
 
 def is_whole(value: Column) -> Column:

@@ -339,7 +339,7 @@ def typed_table(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
             return text.number(value)
         if kind == "bigint":
             parsed = text.number(value)
-            return F.when(parsed == F.floor(parsed), F.coalesce(value.try_cast("bigint"), parsed.try_cast("bigint")))
+            return F.coalesce(text.integer(value), F.when(parsed == F.floor(parsed), parsed.try_cast("bigint")))
         if kind == "boolean":
             low = F.lower(value)
             return F.when(low.isin("1", "y", "yes", "true"), True).when(low.isin("0", "n", "no", "false"), False)

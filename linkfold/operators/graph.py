@@ -99,7 +99,7 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3, max_ro
 
     Each round goes ``hops`` steps further in one job: parallel edges are dropped up front, a step
     joins only newly reached nodes and ends in a distinct with map-side combine, so a node with
-    very many edges costs no single task more than its share. Rounds are checkpointed; the loop
+    very many edges costs no single task more than its share. Rounds are written to the shared folder; the loop
     ends when a round finds nothing new, which also makes it safe on cycles.
     """
     links = durable(
@@ -127,7 +127,7 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3, max_ro
         frontier = durable(reached.distinct().join(visited, NODE, "left_anti"))
         if frontier.isEmpty():
             return visited
-        # The pieces are checkpoints already; they are merged only now and then to keep plans short.
+        # The pieces are written tables already; they are merged only now and then to keep plans short.
         visited = visited.union(frontier)
         if round_ % 16 == 15:
             visited = durable(visited)

@@ -1,7 +1,7 @@
 """Text renderings of tables, so that the text readers can be checked against the tables.
 
 Everything is rendered row by row; line numbers come from ``with_ordinal``, so no table, file or key
-passes through one task. The lines are checkpointed, which stands for the text files of a corpus.
+passes through one task. The lines are written once, which stands for the text files of a corpus.
 """
 
 from __future__ import annotations

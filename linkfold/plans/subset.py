@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from linkfold.functions import text
 from linkfold.operators import graph, subset
-from linkfold.session import durable
+from linkfold.session import attached, durable, scratch_path
 from linkfold.sources.store import NOT_COPIED
 
+#: Files both kinds of subset rewrite whenever they exist.
+SHARED = ("ls_unit.ele", "ls_unit.def", "rout_unit.ele", "rout_unit.def", "object.cnt", "file.cio")
+ISOLATED = (*SHARED, "hru.con", "hru-data.hru", "rout_unit.rtu", "print.prt")
+ROUTED = (*SHARED, *(f for files in graph.OBJECT_FILES.values() for f in files if f))
+
+
+def staged(lines: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Lines of the named files, stored once by file name in the shared folder.
+
+    Each step of a subset works on one or two files; stored this way it opens only those instead of
+    reading the whole corpus again.
+    """
+    spark = lines.sparkSession
+    path = scratch_path(spark, "subset")
+    wanted = lines.filter(F.lower("file_name").isin(sorted({n.lower() for n in names})))
+    wanted.select("dataset_id", "file_name", "line_no", "raw").write.partitionBy("file_name").parquet(path)
+    stored = spark.read.schema("dataset_id string, line_no bigint, raw string, file_name string").parquet(path)
+    return stored.select("dataset_id", "file_name", "line_no", "raw")
+
 
-def _with_rest(lines: DataFrame, pieces: list[DataFrame]) -> DataFrame:
-    """Rewritten files plus every copied file none of the pieces rewrote."""
-    rewritten = pieces[0]
-    for piece in pieces[1:]:
-        rewritten = rewritten.unionByName(piece)
-    rewritten = durable(rewritten)
-    names = rewritten.select("dataset_id", "file_name").distinct()
-    rest = lines.filter(~F.col("file_name").rlike(NOT_COPIED)).join(names, ["dataset_id", "file_name"], "left_anti")
-    return rewritten.unionByName(rest.select("dataset_id", "file_name", "line_no", "raw"))
+def _copied(lines: DataFrame) -> DataFrame:
+    return lines.filter(~F.col("file_name").rlike(NOT_COPIED)).select("dataset_id", "file_name", "line_no", "raw")
+
+
+def _union(pieces: Sequence[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, pieces)
 
 
 def isolated(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Selected units only: ``(lines of the new datasets, id maps dataset_id, typ, id, new_id)``."""
+    rest = _copied(lines).filter(~F.lower("file_name").isin(list(ISOLATED)))
+    lines = staged(lines, ISOLATED)
     connect, ids, properties = subset.isolated_connect(lines, selected)
-    ids = durable(ids)
+    ids, properties = durable(ids), durable(properties)
     wanted = properties.unionByName(
         ids.join(properties.select("dataset_id").distinct(), "dataset_id", "left_anti").select("dataset_id", "id", "new_id")
     )
@@ -45,8 +66,9 @@ def isolated(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFram
         subset.update_counts(lines, counts),
         subset.nullify_list(lines, subset.ISOLATED_NULL),
         subset.disable_print(lines),
+        rest,
     ]
-    return _with_rest(lines, pieces), unit_map.select("dataset_id", "typ", "id", "new_id")
+    return _union(pieces), unit_map.select("dataset_id", "typ", "id", "new_id")
 
 
 def kept_objects(lines: DataFrame, selected: DataFrame) -> DataFrame:
@@ -71,9 +93,12 @@ def kept_objects(lines: DataFrame, selected: DataFrame) -> DataFrame:
 
 def routed(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Selected units with all they drain to: ``(lines of the new datasets, id maps)``."""
-    kept = kept_objects(lines, selected)
-    maps = durable(graph.id_maps(kept))
+    copied = _copied(lines)
+    lines = staged(lines, ROUTED)
+    maps = durable(graph.id_maps(kept_objects(lines, selected)))
+    types = attached(maps.select("dataset_id", "typ").distinct())
     connect, properties = subset.routed_connect(lines, maps)
+    properties = durable(properties)
     pieces = [connect]
     for typ, (_, data_file) in graph.OBJECT_FILES.items():
         if not data_file:
@@ -84,13 +109,13 @@ def routed(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]
         wanted = by_property.unionByName(
             own.join(by_property.select("dataset_id").distinct(), "dataset_id", "left_anti")
         ).select("dataset_id", "id", "new_id")
-        pieces.append(subset.data_table(lines, data_file, wanted, strict=False, by_rank=True))
+        kept = lines.join(types.filter(F.col("typ") == typ).select("dataset_id"), "dataset_id", "left_semi")
+        pieces.append(subset.data_table(kept, data_file, wanted, strict=False, by_rank=True))
     unit_elements, element_map = subset.element_table(
         lines, "rout_unit.ele", maps, number_by_object=False, sort_by_object=False, gap="  "
     )
-    unit_map = maps.filter("typ = 'ru'")
     unit_defs, _ = subset.definition_table(
-        lines, "rout_unit.def", element_map, total_at=2, kept=unit_map, gap="  "
+        lines, "rout_unit.def", element_map, total_at=2, kept=maps.filter("typ = 'ru'"), gap="  "
     )
     land_elements, land_map = subset.element_table(
         lines, "ls_unit.ele", maps.filter("typ = 'hru'"), number_by_object=True
@@ -101,7 +126,17 @@ def routed(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]
         unit_defs,
         land_elements,
         land_defs,
-        subset.update_counts(lines, subset.object_counts(kept)),
-        subset.nullify_unkept(lines, kept),
+        subset.update_counts(lines, subset.object_counts(maps)),
+        subset.nullify_unkept(lines, maps),
+        _untouched(copied, types),
     ]
-    return _with_rest(lines, pieces), maps
+    return _union(pieces), maps
+
+
+def _untouched(copied: DataFrame, types: DataFrame) -> DataFrame:
+    """Copied files nothing rewrites: files of object types a dataset does not keep stay as they are."""
+    owner = {f: typ for typ, files in graph.OBJECT_FILES.items() for f in files if f}
+    others = copied.filter(~F.lower("file_name").isin(list(SHARED))).withColumn(
+        "typ", text.lookup(F.lower("file_name"), owner, F.lit(""))
+    )
+    return others.join(types, ["dataset_id", "typ"], "left_anti").drop("typ")

@@ -53,12 +53,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives lost executors."""
+    """Cut lineage: write the frame to the shared folder and go on from there.
+
+    The written table survives lost executors, is read column by column, and tells the optimizer
+    its true size.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def attached(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -68,4 +71,4 @@ def attached(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     is left to the optimizer, which may shuffle and splits skewed files at run time.
     """
     fixed = durable(df)
-    return F.broadcast(fixed) if fixed.limit(limit + 1).count() <= limit else fixed
+    return F.broadcast(fixed) if fixed.count() <= limit else fixed

@@ -75,7 +75,11 @@ def resolve_header(lines: DataFrame, bound: DataFrame, catalog: Catalog) -> Data
         .withColumn("header_raw", F.when(F.col("shifted"), F.col("_second")).otherwise(F.col("_first")))
         .drop("_h1", "_h2", "_first", "_second")
     )
-    return attached(resolved.withColumn("key_column", key_column()))
+    placed = resolved.withColumn("_places", cell_places(F.col("columns"))).withColumn("key_column", key_column())
+    placed = _with_counts(placed, catalog)
+    return attached(
+        placed.withColumn("cell_names", F.col("_places.name")).withColumn("cell_at", F.col("_places.at")).drop("_places")
+    )
 
 
 def key_column() -> Column:
@@ -88,21 +92,23 @@ def key_column() -> Column:
     )
 
 
-def cell_map(tokens: Column, columns: Column) -> Column:
-    """Tokens by column name: missing cells empty, surplus dropped, a repeated name keeps its last."""
-    last = F.filter(
-        F.transform(columns, lambda c, i: F.struct(c.alias("name"), i.alias("at"))),
-        lambda e: ~F.array_contains(F.slice(columns, e["at"] + 2, F.size(columns)), e["name"]),
-    )
-    return F.map_from_arrays(
-        F.transform(last, lambda e: e["name"]),
-        F.transform(last, lambda e: F.coalesce(F.get(tokens, e["at"]), F.lit(""))),
-    )
+def cell_places(columns: Column) -> Column:
+    """Distinct column names with the 0-based place of their cell; a repeated name keeps its last."""
+    placed = F.transform(columns, lambda c, i: F.struct(c.alias("name"), i.alias("at")))
+    return F.filter(placed, lambda e: ~F.array_contains(F.slice(columns, e["at"] + 2, F.size(columns)), e["name"]))
+
+
+def cell_map() -> Column:
+    """Cells by column name: missing cells empty, surplus dropped. The places come with the file."""
+    return F.map_from_arrays("cell_names", F.transform("cell_at", lambda i: F.coalesce(F.get("tokens", i), F.lit(""))))
 
 
 def table_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Data lines of bound files, split into tokens and named cells."""
-    info = headers.select(*FILE, "table_name", "schema_file", "columns", "data_line", "key_column")
+    info = headers.select(
+        *FILE, "table_name", "schema_file", "cell_names", "cell_at", "data_line", "key_column",
+        "count_fixed", "count_times", "count_second", "count_at",
+    )
     return (
         lines.join(info, FILE)
         .filter((F.col("line_no") >= F.col("data_line")) & ~F.col("schema_file").endswith(".dtl"))
@@ -143,7 +149,7 @@ def _row_columns() -> list:
         "table_name",
         "line_no",
         "key_column",
-        cell_map(F.col("tokens"), F.col("columns")).alias("values"),
+        cell_map().alias("values"),
         "tokens",
     ]
 
@@ -178,30 +184,41 @@ def is_soil_main(tokens: Column) -> Column:
     )
 
 
-def child_count(catalog: Catalog) -> Column:
+def _with_counts(files: DataFrame, catalog: Catalog) -> DataFrame:
+    """Per file, where its child line counts come from: a fixed number, or cells to add up."""
+    counted = {f: layout for f, layout in catalog.layouts.items() if layout.counted}
+    name = F.col("file_name")
+
+    def setting(values: dict[str, str], default: str) -> Column:
+        return text.lookup(name, values, F.lit(default))
+
+    fields = F.split(setting({f: "+".join(x.fields) for f, x in counted.items()}, ""), r"\+")
+    places = F.transform(
+        F.filter("_places", lambda e: F.array_contains(fields, e["name"])), lambda e: e["at"]
+    )
+    return (
+        files.withColumn("count_fixed", setting({f: str(x.fixed) for f, x in counted.items()}, "0").cast("bigint"))
+        .withColumn("count_times", setting({f: str(x.multiplier) for f, x in counted.items()}, "1").cast("bigint"))
+        .withColumn("count_second", setting({f: "y" for f, x in counted.items() if x.heuristic == "plants"}, "n") == "y")
+        .withColumn("count_at", places)
+    )
+
+
+def child_count() -> Column:
     """Child lines claimed by a line read as a main record, at most the fixed limit.
 
-    Uses ``file_name``, ``values`` and ``tokens``; null when the line is no main record.
+    Null when the line is no main record: in files that fall back on their second token, a line
+    that neither states a count nor has an integer there.
     """
-
-    def positive(name: str) -> Column:
-        return F.greatest(F.coalesce(text.integer(F.try_element_at("values", F.lit(name))), F.lit(0)), F.lit(0))
-
-    out = F.lit(0).cast("bigint")
-    for file, layout in catalog.layouts.items():
-        if not layout.counted:
-            continue
-        if layout.fixed:
-            count = F.lit(layout.fixed)
-        else:
-            count = sum((positive(f) for f in layout.fields), F.lit(0).cast("bigint")) * F.lit(layout.multiplier)
-        if layout.heuristic == "plants":
-            given = text.integer(F.get("tokens", F.lit(1)))
-            fallback = F.when(given.isNotNull(), F.greatest(given, F.lit(0)))
-            count = F.when(count > 0, count).otherwise(fallback)
-        limited = F.when(count.isNotNull(), F.least(count, F.lit(MAX_CHILD_LINES)))
-        out = F.when(F.col("file_name") == file, limited.cast("bigint")).otherwise(out)
-    return out
+    positive = lambda v: F.greatest(F.coalesce(text.integer(v), F.lit(0)), F.lit(0))
+    stated = F.aggregate(
+        "count_at", F.lit(0).cast("bigint"), lambda total, at: total + positive(F.get("tokens", at))
+    )
+    count = F.when(F.col("count_fixed") > 0, F.col("count_fixed")).otherwise(stated * F.col("count_times"))
+    second = text.integer(F.get("tokens", F.lit(1)))
+    fallback = F.when(second.isNotNull(), F.greatest(second, F.lit(0)))
+    count = F.when(F.col("count_second") & (count <= 0), fallback).otherwise(count)
+    return F.when(count.isNotNull(), F.least(count, F.lit(MAX_CHILD_LINES)))
 
 
 def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataFrame:
@@ -209,8 +226,7 @@ def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataF
     counted = counted_files(catalog)
     inside = (
         parsed.filter(F.col("file_name").isin(counted))
-        .withColumn("values", cell_map(F.col("tokens"), F.col("columns")))
-        .withColumn("children", F.when(F.size("tokens") > 0, child_count(catalog)))
+        .withColumn("children", F.when(F.size("tokens") > 0, child_count()))
     )
     nodes = inside.select(
         *FILE,
