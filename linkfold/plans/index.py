@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from linkfold.catalog import WEATHER_TABLES, Catalog
 from linkfold.functions import text
 from linkfold.operators import checks, refs, report
+from linkfold.session import attached, durable
 from linkfold.sources import decisions, filelist, lines as line_source, records, tables
 from linkfold.sources.tables import FILE
 
 
 @dataclass
 class Index:
-    """Frames of an indexed corpus; nothing is computed until they are used."""
+    """Frames of an indexed corpus.
+
+    Rows, children and references are written to the shared folder once, each when it is built, so
+    that checks and lookups do not parse the text again. The lines themselves are never copied.
+    """
 
     catalog: Catalog
     inventory: DataFrame
@@ -50,7 +55,7 @@ def build_index(
     whole_files: bool = False,
 ) -> Index:
     """Index every dataset below ``path`` in one plan."""
-    inventory = line_source.list_inventory(spark, path)
+    inventory = durable(line_source.list_inventory(spark, path))
     scanned = line_source.scan_lines(spark, path, whole_files, input_glob(catalog, include_weather))
     lines = line_source.dataset_lines(scanned, inventory)
     return index_lines(lines, line_source.dataset_files(inventory), catalog, include_weather, pointer_mode)
@@ -73,19 +78,22 @@ def index_lines(
     pointer_mode: str = "strict",
 ) -> Index:
     """Index of given corpus lines and file inventory."""
-    entries = filelist.file_list_entries(lines.filter(F.lower("file_name") == filelist.FILE_LIST), catalog)
-    bound = filelist.bind_files(inventory, catalog, entries)
+    entries = durable(
+        filelist.file_list_entries(lines.filter(F.lower("file_name") == filelist.FILE_LIST), catalog)
+    )
+    bound = attached(filelist.bind_files(inventory, catalog, entries))
     tabular = bound.filter(
         (F.lower("file_name") != filelist.FILE_LIST) & ~F.col("file_name").endswith(".dtl")
     )
     headers = tables.resolve_header(lines, tabular, catalog)
-    plain = tables.parse_tables(lines, headers, catalog)
+    plain = durable(tables.parse_tables(lines, headers, catalog))
 
     only = lambda name: plain.filter(F.col("file_name") == name)
     soils = records.soil_profiles(only("soils.sol"))
     schedules = only("management.sch")
     dtl_rows, dtl_children = decisions.decision_tables(lines, decisions.decision_table_names(inventory, bound))
-    children = (
+    dtl_children = durable(dtl_children)
+    children = durable(
         records.soil_layers(soils, lines)
         .unionByName(records.plant_members(only("plant.ini"), lines))
         .unionByName(records.management_ops(schedules, lines))
@@ -112,12 +120,13 @@ def index_lines(
     rows = text_rows.unionByName(dtl_rows.select(*kept)).unionByName(list_rows)
     if include_weather:
         rows = rows.unionByName(_weather_rows(lines, catalog, bound).select(*kept))
+    rows = durable(rows)
     found = (
         refs.extract_fk_refs(text_rows, catalog, pointer_mode)
         .unionByName(refs.management_refs(children.filter("file_name = 'management.sch'"), catalog))
         .unionByName(refs.dtl_action_refs(dtl_children, catalog))
     )
-    resolved = refs.resolve_refs(found, rows)
+    resolved = durable(refs.resolve_refs(found, rows))
     return Index(catalog, inventory, lines, bound, entries, rows, children, found, resolved)
 
 
