@@ -16,8 +16,8 @@ BOOLEAN_LITERALS = ("0", "1", "y", "n", "yes", "no", "true", "false")
 
 def tokens(line: Column) -> Column:
     """Whitespace-separated tokens; a blank line has none."""
-    trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
+    # Only leading or trailing blanks make empty pieces.
+    return F.array_remove(F.split(line, r"\s+"), "")
 
 
 def is_blank(line: Column) -> Column:
@@ -190,9 +190,37 @@ def expand_signed_ranges(cells: Column) -> Column:
     """``[4, 9, -12, 20]`` to ``[4, 9, 10, 11, 12, 20]``; a negative closes the range opened before it.
 
     Non-integers are ignored; a range may run downwards. A negative value that follows a closed
-    range stands for itself.
+    range stands for itself. Lists in which every negative follows a non-negative take one linear
+    pass; only the others are folded value by value.
     """
-    values = F.filter(F.transform(cells, integer), lambda v: v.isNotNull())
+    numbers = F.filter(F.transform(cells, integer), lambda v: v.isNotNull())
+
+    def expanded(values: Column) -> Column:
+        loose = F.filter(values, lambda v, i: (v < 0) & ((i == 0) | (F.get(values, i - 1) < 0)))
+
+        def span(value: Column, i: Column) -> Column:
+            following = F.get(values, i + 1)
+            return (
+                F.when(value < 0, F.array().cast("array<bigint>"))
+                .when(following < 0, _sequence(value, F.abs(following)))
+                .otherwise(F.array(value))
+            )
+
+        return F.when(F.size(loose) == 0, F.flatten(F.transform(values, span))).otherwise(_folded_ranges(values))
+
+    return bind(numbers, expanded)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sequence(first: Column, last: Column) -> Column:
+    return F.sequence(first, last, F.when(first <= last, F.lit(1)).otherwise(F.lit(-1)))
+
+
+def _folded_ranges(values: Column) -> Column:
     state = "struct<out:array<bigint>,open:bigint>"
     empty = F.struct(
         F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("open")
@@ -200,9 +228,8 @@ def expand_signed_ranges(cells: Column) -> Column:
 
     def step(acc: Column, value: Column) -> Column:
         open_, out = acc["open"], acc["out"]
-        end = F.abs(value)
         closes = open_.isNotNull() & (value < 0)
-        ranged = F.concat(out, F.sequence(open_, end, F.when(open_ <= end, F.lit(1)).otherwise(F.lit(-1))))
+        ranged = F.concat(out, _sequence(open_, F.abs(value)))
         flushed = F.when(open_.isNull(), out).otherwise(F.concat(out, F.array(open_)))
         return F.struct(
             F.when(closes, ranged).otherwise(flushed).alias("out"),

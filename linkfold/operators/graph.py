@@ -37,20 +37,24 @@ def target_groups(tokens, count_at=None):
     is no number counts as 1.
     """
     at = F.lit(TARGET_COUNT) if count_at is None else count_at
-    stated = F.coalesce(text.integer(F.get(tokens, at)), F.lit(0))
-    fitting = F.floor((F.size(tokens) - at - 1) / F.lit(4))
+    return text.bind(tokens, lambda cells: _groups(cells, at))
+
+
+def _groups(cells, at):
+    stated = F.coalesce(text.integer(F.get(cells, at)), F.lit(0))
+    fitting = F.floor((F.size(cells) - at - 1) / F.lit(4))
     groups = F.greatest(F.least(stated, fitting), F.lit(0)).cast("int")
-    nth = F.when(groups > 0, F.sequence(F.lit(0), groups - 1)).otherwise(F.array().cast("array<int>"))
+    nth = F.slice(F.sequence(F.lit(0), groups), F.lit(1), groups)
 
     def group(i):
         base = at + 1 + i * 4
         return F.struct(
             i.alias("nth"),
-            F.get(tokens, base).alias("obj_typ"),
-            text.integer(F.get(tokens, base + 1)).alias("obj_id"),
-            F.get(tokens, base + 2).alias("hyd_typ"),
-            F.coalesce(text.number(F.get(tokens, base + 3)), F.lit(1.0)).alias("frac"),
-            F.get(tokens, base + 3).alias("frac_text"),
+            F.get(cells, base).alias("obj_typ"),
+            text.integer(F.get(cells, base + 1)).alias("obj_id"),
+            F.get(cells, base + 2).alias("hyd_typ"),
+            F.coalesce(text.number(F.get(cells, base + 3)), F.lit(1.0)).alias("frac"),
+            F.get(cells, base + 3).alias("frac_text"),
         )
 
     return F.filter(F.transform(nth, group), lambda g: g["obj_id"].isNotNull())
@@ -64,15 +68,14 @@ def connect_rows(lines: DataFrame) -> DataFrame:
     types = {files[0]: typ for typ, files in OBJECT_FILES.items()}
     parsed = (
         lines.filter(F.col("file_name").isin(list(types)) & (F.col("line_no") > 2))
-        .withColumn("tokens", text.tokens(F.col("raw")))
-        .withColumn("id", text.integer(F.get("tokens", F.lit(0))))
+        .withColumn("id", text.integer(F.regexp_extract("raw", r"^\s*(\S+)", 1)))
         .filter("id is not null")
         .withColumn("typ", text.lookup(F.col("file_name"), types))
     )
     return (
         parsed.groupBy("dataset_id", "file_name", "typ", "id")
-        .agg(F.max_by(F.struct("line_no", "tokens"), "line_no").alias("_l"))
-        .select("dataset_id", "file_name", "typ", "id", "_l.line_no", "_l.tokens")
+        .agg(F.max(F.struct("line_no", "raw")).alias("_l"))
+        .select("dataset_id", "file_name", "typ", "id", "_l.line_no", text.tokens(F.col("_l.raw")).alias("tokens"))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkfold.functions import text
 from linkfold.functions.ordinals import with_ordinal
 from linkfold.operators.chain import on_chain
-from linkfold.session import attached
+from linkfold.session import attached, durable
 from linkfold.sources.records import named_cells
 from linkfold.sources.tables import FILE
 
@@ -43,9 +43,12 @@ def decision_tables(lines: DataFrame, names: DataFrame) -> tuple[DataFrame, Data
     stated = F.max(F.when(F.col("line_no") == 2, text.integer(F.trim("raw"))))
     files = inside.groupBy(*FILE).agg(stated.alias("_tables"), F.max("line_no").alias("_last"))
     files = attached(files.filter("_tables >= 0"))
-    body = inside.join(files, FILE).filter("line_no >= 3")
-    filled = with_ordinal(body.filter(F.size("tokens") > 0), FILE, "line_no", "k").withColumn(
-        "_upper", F.upper(F.get("tokens", F.lit(0)))
+    # Only decision table files get here; their lines are looked up by several keys below.
+    body = durable(inside.join(files, FILE).filter("line_no >= 3").drop("raw"))
+    filled = durable(
+        with_ordinal(body.filter(F.size("tokens") > 0), FILE, "line_no", "k").withColumn(
+            "_upper", F.upper(F.get("tokens", F.lit(0)))
+        )
     )
     spot = filled.select(*FILE, "k", F.col("line_no").alias("_line"), "_upper")
 
@@ -75,6 +78,7 @@ def decision_tables(lines: DataFrame, names: DataFrame) -> tuple[DataFrame, Data
     heads = heads.withColumn(
         "_end", F.coalesce(F.col("_act_line") + F.col("_acts"), F.col("_last") + 1)
     )
+    heads = durable(heads)
     nodes = body.select(*FILE, F.col("line_no").alias("pos")).join(
         heads.select(*FILE, F.col("line_no").alias("pos"), "_end"), [*FILE, "pos"], "left"
     )
