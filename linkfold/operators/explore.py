@@ -331,10 +331,9 @@ def id_range(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def typed_table(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Generic rows as typed columns; cells that do not convert become null."""
-    v = F.col("values")
 
-    def convert(name: str, kind: str) -> Column:
-        value = F.try_element_at(v, F.lit(name))
+    def convert(cells: Column, name: str, kind: str) -> Column:
+        value = F.try_element_at(cells, F.lit(name))
         if kind == "double":
             return text.number(value)
         if kind == "bigint":
@@ -345,6 +344,9 @@ def typed_table(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
             return F.when(low.isin("1", "y", "yes", "true"), True).when(low.isin("0", "n", "no", "false"), False)
         return value
 
-    return rows.select(
-        "dataset_id", "file_name", "line_no", *[convert(n, k).alias(n) for n, k in types.items()]
+    typed = text.bind(
+        F.col("values"), lambda cells: F.struct(*[convert(cells, n, k).alias(n) for n, k in types.items()])
+    )
+    return rows.select("dataset_id", "file_name", "line_no", typed.alias("_typed")).select(
+        "dataset_id", "file_name", "line_no", "_typed.*"
     )
