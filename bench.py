@@ -34,7 +34,6 @@ HEADLINE = (
     "json_records",
     "format_issue_cap",
     "file_list_class_summary",
-    "subset_routed_connect",
 )
 
 
