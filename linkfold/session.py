@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +14,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 50_000
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, so they need no path of the driver's."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    target = Path(tempfile.mkdtemp(prefix="linkfold-ship-")) / "linkfold.zip"
+    target.write_bytes(body.getvalue())
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "linkfold") -> SparkSession:
