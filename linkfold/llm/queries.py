@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from linkfold.llm import bpe, chat, packing, quality, rules, token_counts, topk, toxicity
+from linkfold.llm import bpe, chat, line_dedup, minhash, packing, quality, rules, token_counts, topk, toxicity
 from linkfold.llm.common import fold, table, written
 
 
@@ -73,6 +73,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +92,8 @@ QUERIES = {
         op6_exact_topk,
         op7_token_counts,
         op8_best_fit_packing,
+        op9_minmax_near_dedup,
+        op10_line_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
