@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from linkfold.llm import bpe, chat, line_dedup, minhash, packing, quality, rules, token_counts, topk, toxicity
+from linkfold.llm import bpe, chat, line_dedup, minhash, oracles, packing, quality, rules, token_counts, topk, toxicity
 from linkfold.llm.common import fold, table, written
 
 
@@ -96,4 +96,10 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Trained models, tokenizers' ids, packing and edit similarity have no SQL; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": oracles.OP3,
+    "op5_chat_format": oracles.OP5,
+    "op6_exact_topk": oracles.OP6,
+    "op9_minmax_near_dedup": oracles.OP9,
+}
