@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from linkfold.functions import text
-from linkfold.session import attached
+from linkfold.session import attached, durable
 
 FILE = ["dataset_id", "file_name"]
 
@@ -86,116 +83,108 @@ def read_output_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- structured text ------------------------------------------------------------
 
-LAYOUT_SCHEMA = (
-    "title string, columns array<string>, units array<string>, mode string,"
-    " bounds array<struct<start:int,end:int>>, header_line bigint, last_head_line bigint"
-)
-
-
-class _Head:
-    """Layout decision over the first lines of one file."""
-
-    _numeric = re.compile(text.NUMBER)
-    _blank_words = {"", "-", "--", "na", "n/a"}
-
-    def __init__(self, raws: Sequence[str]):
-        self.raws = list(raws)
-
-    def line(self, i: int) -> str:
-        return self.raws[i] if i < len(self.raws) else ""
-
-    @staticmethod
-    def bounds(line: str) -> list[tuple[str, int, int]]:
-        """Column labels with borders in the middle of the gaps between header words."""
-        words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", line)]
-        borders = [0] + [(a[2] + b[1]) // 2 for a, b in zip(words, words[1:])] + [len(line)]
-        return [(w[0], borders[i], borders[i + 1]) for i, w in enumerate(words)]
-
-    @staticmethod
-    def sliced(line: str, bounds: Sequence[tuple[str, int, int]]) -> list[str]:
-        return [line[a:b].strip() for _, a, b in bounds] if bounds else line.split()
-
-    def share(self, cells: Sequence[str]) -> float:
-        """Share of cells that read as numbers."""
-        if not cells:
-            return 0.0
-        plain = [c.strip().replace(",", "") for c in cells]
-        good = [c for c in plain if c.lower() not in self._blank_words and self._numeric.match(c)]
-        return len(good) / len(cells)
-
-    def is_data(self, cells: Sequence[str], width: int) -> bool:
-        if not cells:
-            return False
-        share = self.share(cells)
-        same_width = len(cells) == width and share >= 0.3
-        return same_width or (share >= 0.45 and len(cells) >= max(2, int(width * 0.6)))
-
-    def is_units(self, cells: Sequence[str], following: Sequence[str]) -> bool:
-        filled = [c for c in cells if c.strip()]
-        if not filled or not following or all(re.fullmatch("[-=]+", c) for c in filled):
-            return False
-        own, next_share = self.share(cells), self.share(following)
-        hinted = any(re.search(r"[a-zA-Z/%()]", c) for c in filled)
-        gaps = len(filled) < len(cells)
-        return own <= 0.25 and self.is_data(following, len(cells)) and (hinted or gaps) and (gaps or next_share >= own)
-
-    def is_header(self, i: int) -> bool:
-        bounds = self.bounds(self.raws[i])
-        labels = [b[0] for b in bounds]
-        banner = len(labels) <= 2 and re.search("--.*--", self.raws[i])
-        if len(labels) < 2 or self.share(labels) > 0.25 or banner:
-            return False
-        one, two = self.line(i + 1), self.line(i + 2)
-        words, cut = one.split(), self.sliced(one, bounds)
-        fits = len(words) == len(labels)
-        return (
-            (fits and self.is_units(words, two.split()))
-            or self.is_units(cut, self.sliced(two, bounds))
-            or (fits and self.is_data(words, len(labels)))
-            or self.is_data(cut, len(labels))
-        )
+#: A cell of a units row has one of these characters.
+UNIT_MARK = "[a-zA-Z/%()]"
+RULE = "^[-=]+$"
+
+
+def _stripped(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
+def _numeric_share(cells: Column) -> Column:
+    """Share of cells that read as numbers, 0 for no cells."""
+    numbers = F.filter(cells, lambda c: text.number(_stripped(c), thousands=True).isNotNull())
+    return F.when(F.size(cells) > 0, F.size(numbers) / F.size(cells)).otherwise(F.lit(0.0))
 
-    def layout(self, file_name: str, numbers: Sequence[int]) -> dict | None:
-        if len(self.raws) < 2:
-            return None
-        last = min(len(self.raws) - 1, 6)
-        at = next((i for i in range(1, last + 1) if self.is_header(i)), 1)
-        bounds = self.bounds(self.raws[at])
-        one, two = self.line(at + 1), self.line(at + 2)
-        sparse = 0 < len(one.split()) < len(bounds) and self.is_data(two.split(), len(bounds))
-        fixed = bool(two) and sparse and self.is_units(self.sliced(one, bounds), self.sliced(two, bounds))
-        cut = (lambda line: self.sliced(line, bounds)) if fixed else str.split
-        has_units = bool(two) and self.is_units(cut(one), cut(two))
-        title = " ".join(r.strip() for r in self.raws[:at] if r.strip())
-        return {
-            "title": title or file_name,
-            "columns": [b[0] for b in bounds],
-            "units": cut(one) if has_units else None,
-            "mode": "fixed_width" if fixed else "whitespace",
-            "bounds": [{"start": a, "end": b} for _, a, b in bounds],
-            "header_line": int(numbers[at]),
-            "last_head_line": int(numbers[at + 1 if has_units else at]),
-        }
+
+def _reads_as_data(size: Column, share: Column, width: Column) -> Column:
+    """Mostly numbers: fewer are enough where the number of cells is the expected one."""
+    enough = F.greatest(F.lit(2), F.floor(width * F.lit(0.6)))
+    return (size > 0) & (((size == width) & (share >= 0.3)) | ((share >= 0.45) & (size >= enough)))
+
+
+def _reading(first: Column, second: Column, width: Column) -> Column:
+    """What two lines below a header look like when they are split in one way."""
+    filled = F.filter(first, lambda c: c != "")
+    size, share, next_share = F.size(first), _numeric_share(first), _numeric_share(second)
+    gaps = F.size(filled) < size
+    units = (
+        (F.size(filled) > 0)
+        & F.exists(filled, lambda c: ~c.rlike(RULE))
+        & (share <= 0.25)
+        & _reads_as_data(F.size(second), next_share, size)
+        & (gaps | (F.exists(filled, lambda c: c.rlike(UNIT_MARK)) & (next_share >= share)))
+    )
+    return F.struct(
+        first.alias("cells"),
+        units.alias("units"),
+        _reads_as_data(size, share, width).alias("data"),
+        _reads_as_data(F.size(second), next_share, width).alias("next_data"),
+    )
 
 
 def detect_output_layout(lines: DataFrame) -> DataFrame:
     """Title, columns, units, column borders and last head line of each structured text output.
 
-    Only the first nine filled lines of a file travel to Python, one small row per file.
+    The second to seventh filled line of a file each are a candidate, a row of its own with the two
+    lines below it, read word by word and cut at the borders in the middle of the gaps between the
+    candidate's words. The header is the first candidate that units or data follow in one of the two
+    readings, or else the second filled line.
     """
-    heads = first_filled(lines, FILE, HEAD_LINES)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for dataset, name, head in zip(pdf["dataset_id"], pdf["file_name"], pdf["lines"]):
-                found = _Head([h["raw"] for h in head]).layout(name, [h["line_no"] for h in head])
-                if found:
-                    out.append({"dataset_id": dataset, "file_name": name, **found})
-            columns = ["dataset_id", "file_name", "title", "columns", "units", "mode", "bounds", "header_line", "last_head_line"]
-            yield pd.DataFrame(out, columns=columns)
-
-    return attached(heads.mapInPandas(decide, f"dataset_id string, file_name string, {LAYOUT_SCHEMA}"))
+    heads = first_filled(lines, FILE, HEAD_LINES).filter(F.size("lines") > 1)
+    below = lambda n: F.coalesce(F.get("lines", F.col("nth") + n)["raw"], F.lit(""))
+    candidates = heads.select(*FILE, "lines", F.posexplode(F.slice("lines", 2, 6)).alias("_i", "head")).select(
+        *FILE, "lines", (F.col("_i") + 1).alias("nth"), "head", text.token_spans(F.col("head.raw")).alias("spans")
+    )
+    middle = lambda a, b: F.floor((a["col_end"] + b["col_start"]) / 2).cast("int")
+    spans = F.col("spans")
+    borders = F.transform(
+        spans,
+        lambda w, i: F.struct(
+            F.when(i == 0, F.lit(0)).otherwise(middle(F.get(spans, i - 1), w)).alias("start"),
+            F.coalesce(middle(w, F.get(spans, i + 1)), F.length("head.raw")).alias("end"),
+        ),
+    )
+    cut = lambda line: F.transform("bounds", lambda b: _stripped(line.substr(b["start"] + 1, b["end"] - b["start"])))
+    read = (
+        candidates.select(*FILE, "lines", "nth", "head", F.transform(spans, lambda w: w["token"]).alias("columns"), borders.alias("bounds"), below(1).alias("one"), below(2).alias("two"))
+        .withColumn("width", F.size("columns"))
+        .withColumn("by_words", _reading(text.tokens(F.col("one")), text.tokens(F.col("two")), F.col("width")))
+        .withColumn("by_borders", _reading(cut(F.col("one")), cut(F.col("two")), F.col("width")))
+    )
+    banner = (F.col("width") <= 2) & F.col("head.raw").rlike("--.*--")
+    same = F.size("by_words.cells") == F.col("width")
+    is_header = (
+        (F.col("width") > 1)
+        & (_numeric_share(F.col("columns")) <= 0.25)
+        & ~banner
+        & ((same & (F.col("by_words.units") | F.col("by_words.data"))) | F.col("by_borders.units") | F.col("by_borders.data"))
+    )
+    fields = ("lines", "nth", "head", "columns", "bounds", "two", "width", "by_words", "by_borders")
+    # Candidates that are no header come after all others, in their order.
+    chosen = read.groupBy(*FILE).agg(F.min_by(F.struct(*fields), F.col("nth") + F.when(is_header, 0).otherwise(HEAD_LINES)).alias("_c")).select(*FILE, "_c.*")
+    few = (F.size("by_words.cells") > 0) & (F.size("by_words.cells") < F.col("width")) & F.col("by_words.next_data")
+    more = F.col("two") != ""
+    fixed = more & few & F.col("by_borders.units")
+    kind = chosen.withColumn("mode", F.when(fixed, "fixed_width").otherwise("whitespace")).withColumn(
+        "_units", F.when(fixed, F.col("by_borders")).when(more & F.col("by_words.units"), F.col("by_words"))
+    )
+    above = F.filter(F.transform(F.slice("lines", F.lit(1), F.col("nth")), lambda x: _stripped(x["raw"])), lambda t: t != "")
+    title = F.array_join(above, " ")
+    last = F.when(F.col("_units").isNotNull(), F.get("lines", F.col("nth") + 1)["line_no"]).otherwise(F.col("head.line_no"))
+    return attached(
+        kind.select(
+            *FILE,
+            F.when(title != "", title).otherwise(F.col("file_name")).alias("title"),
+            "columns",
+            F.col("_units.cells").alias("units"),
+            "mode",
+            "bounds",
+            F.col("head.line_no").alias("header_line"),
+            last.alias("last_head_line"),
+        )
+    )
 
 
 def read_output_text(lines: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -232,86 +221,124 @@ def named_output(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 # Keys that are searched for records first.
 CONTAINER_KEYS = ("outputs", "output", "tables", "records", "result", "results", "items")
 
-JSON_SCHEMA = (
-    "record int, title string, columns array<string>, units array<string>, row_no bigint, cells array<string>"
-)
 
 
-def _visits(node) -> Iterator[dict]:
-    """Record objects at any depth, container keys first; those below such a key come up again."""
-    if isinstance(node, list):
-        for child in node:
-            yield from _visits(child)
-    elif isinstance(node, dict):
-        if "data" in node and ("header" in node or "title" in node):
-            yield node
-        ordered = [node[k] for k in CONTAINER_KEYS if node.get(k) is not None]
-        for child in ordered + list(node.values()):
-            if isinstance(child, (dict, list)):
-                yield from _visits(child)
+def _kind(value: Column) -> Column:
+    """Type of a variant without its parameters; ``VOID`` is JSON's null."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
-def _records(document) -> Iterator[tuple[int, dict]]:
-    """Each record once, with the number of its first visit (which names untitled records)."""
-    seen: set[int] = set()
-    for n, record in enumerate(_visits(document), start=1):
-        if id(record) not in seen:
-            seen.add(id(record))
-            yield n, record
+def _members(raw: Column) -> Column:
+    """Members of a JSON object: ``array<struct<key, raw, kind>>`` in the order of the document, texts as written."""
+    kinds = F.parse_json(raw).cast("map<string,variant>")
+    return F.transform(
+        F.map_entries(F.from_json(raw, "map<string,string>")),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), _kind(F.element_at(kinds, e["key"])).alias("kind")),
+    )
 
 
-def _words(value) -> list[str]:
-    if value is None:
-        return []
-    if isinstance(value, list):
-        return [str(v) for v in value]
-    return value.split() if isinstance(value, str) else [str(value)]
+def _elements(raw: Column) -> Column:
+    """Elements of a JSON array: ``array<struct<raw, kind>>``."""
+    kinds = F.parse_json(raw).cast("array<variant>")
+    return F.transform(
+        F.from_json(raw, "array<string>"), lambda x, i: F.struct(x.alias("raw"), _kind(F.get(kinds, i)).alias("kind"))
+    )
 
 
-def _table(rows, header: list[str]) -> tuple[list[str], list[list]]:
-    if not isinstance(rows, list):
-        return header, []
-    if rows and isinstance(rows[0], dict):
-        columns = header or list(dict.fromkeys(k for row in rows if isinstance(row, dict) for k in row))
-        return columns, [[row.get(c, "") for c in columns] for row in rows if isinstance(row, dict)]
-    lists = [row if isinstance(row, list) else [row] for row in rows]
-    columns = header or [f"col{i + 1}" for i in range(max(map(len, lists), default=0))]
-    return columns, [(row + [""] * len(columns))[: len(columns)] for row in lists]
+def _records(documents: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``keys, record, members`` of each object with data and a header or a title, at any depth.
 
+    All documents are opened one level at a time. ``route`` orders the places as a reader meets them:
+    an object's container members first, then all its members, so what lies in a container is met
+    twice; ``record`` counts the meetings, and a record has the number of its first one.
+    """
+    level = documents.select(
+        *keys, F.array().cast("array<int>").alias("route"), F.lit("$").alias("place"), F.col(column).alias("raw"), _kind(F.parse_json(column)).alias("kind")
+    )
+    met: DataFrame | None = None
+    while True:
+        opened = durable(
+            level.select(
+                *keys, "route", "place",
+                F.when(F.col("kind") == "OBJECT", _members(F.col("raw"))).alias("members"),
+                F.when(F.col("kind") == "ARRAY", _elements(F.col("raw"))).alias("elements"),
+            )
+        )
+        if opened.limit(1).count() == 0:
+            break
+        names = F.transform("members", lambda m: m["key"])
+        found = opened.filter(F.array_contains(names, "data") & (F.array_contains(names, "header") | F.array_contains(names, "title")))
+        found = found.select(*keys, "route", "place", "members")
+        met = found if met is None else met.unionByName(found)
+        order = F.array(*[F.lit(k) for k in CONTAINER_KEYS])
+        inside = lambda m, n: F.struct(n.cast("int").alias("nth"), m["key"].alias("step"), m["raw"].alias("raw"), m["kind"].alias("kind"))
+        first = F.transform(
+            F.filter("members", lambda m: F.array_contains(order, m["key"]) & (m["kind"] != "VOID")),
+            lambda m: inside(m, F.array_position(order, m["key"])),
+        )
+        every = F.transform("members", lambda m, i: inside(m, i + len(CONTAINER_KEYS) + 1))
+        listed = F.transform(
+            "elements", lambda x, i: F.struct(i.cast("int").alias("nth"), i.cast("string").alias("step"), x["raw"].alias("raw"), x["kind"].alias("kind"))
+        )
+        below = F.when(F.col("members").isNotNull(), F.concat(first, every)).otherwise(listed)
+        level = (
+            opened.select(*keys, "route", "place", F.explode(below).alias("c"))
+            .filter(F.col("c.kind").isin("OBJECT", "ARRAY"))
+            .select(*keys, F.concat("route", F.array("c.nth")).alias("route"), F.concat_ws("\x00", "place", "c.step").alias("place"), "c.raw", "c.kind")
+        )
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("route"))
+    return met.withColumn("record", number).groupBy(*keys, "place").agg(F.min("record").alias("record"), F.min_by("members", "record").alias("members"))
 
-def _text(value) -> str | None:
-    return None if value is None else value if isinstance(value, str) else json.dumps(value)
+
+def _listed(member: Column) -> Column:
+    """Words of a header or units member: elements of an array, words of a text, nothing for null or none."""
+    return (
+        F.when(member["kind"] == "ARRAY", F.transform(F.from_json(member["raw"], "array<string>"), lambda v: F.coalesce(v, F.lit("null"))))
+        .when(member["kind"] == "STRING", text.tokens(member["raw"]))
+        .when(member.isNotNull() & (member["kind"] != "VOID"), F.array(member["raw"]))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
 def read_output_json(documents: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Rows of every record ``{title, header, units, data}`` found in JSON documents.
 
     One input row per document. Output: ``keys``, the record's number, title, columns and units, the
-    row number and its cells; short rows are padded, long ones cut to the header.
+    row number and its cells; short rows are padded, long ones cut to the header. Values keep their
+    spelling. Text that is no JSON is an error.
     """
     keys = list(keys)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, "record", "title", "columns", "units", "row_no", "cells"]
-        for pdf in batches:
-            out: list[tuple] = []
-            for values, document in zip(pdf[keys].itertuples(index=False, name=None), pdf[column]):
-                # Numbers keep the spelling they have in the document.
-                parsed = json.loads(document, parse_float=str, parse_int=str)
-                for n, record in _records(parsed):
-                    columns, rows = _table(record.get("data"), _words(record.get("header")))
-                    units = _words(record.get("units"))
-                    units = (units + [""] * len(columns))[: len(columns)] if units else None
-                    title = str(record.get("title") or f"table_{n}")
-                    for i, row in enumerate(rows, start=1):
-                        out.append((*values, n, title, columns, units, i, [_text(v) for v in row]))
-                    if len(out) >= 10_000:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-            yield pd.DataFrame(out, columns=names)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.select(*keys).schema)
-    return documents.select(*keys, column).mapInPandas(walk, f"{schema}, {JSON_SCHEMA}")
+    member = lambda name: F.get(F.filter("members", lambda m: m["key"] == name), F.lit(0))
+    parts = _records(documents, column, keys).select(
+        *keys, "record", member("title").alias("_title"), _listed(member("header")).alias("header"), _listed(member("units")).alias("_units"), member("data").alias("_data")
+    )
+    rows = F.when(F.col("_data.kind") == "ARRAY", _elements(F.col("_data.raw")))
+    parts = durable(parts.withColumn("rows", rows).withColumn("named", F.coalesce(F.get("rows", F.lit(0))["kind"] == "OBJECT", F.lit(False))).drop("_data"))
+    opened = F.transform(
+        F.filter("rows", lambda x: ~F.col("named") | (x["kind"] == "OBJECT")),
+        lambda x: F.struct(
+            F.when(F.col("named"), F.from_json(x["raw"], "map<string,string>")).alias("by_name"),
+            F.when(x["kind"] == "ARRAY", F.from_json(x["raw"], "array<string>")).when(~F.col("named"), F.array(x["raw"])).alias("by_place"),
+        ),
+    )
+    parts = parts.withColumn("rows", opened)
+    found = F.array_distinct(F.flatten(F.transform("rows", lambda x: F.map_keys(x["by_name"]))))
+    widest = F.coalesce(F.array_max(F.transform("rows", lambda x: F.size(x["by_place"]))), F.lit(0))
+    numbered = F.when(widest > 0, F.transform(F.sequence(F.lit(1), F.greatest(widest, F.lit(1))), lambda i: F.concat(F.lit("col"), i.cast("string")))).otherwise(
+        F.array().cast("array<string>")
+    )
+    columns = F.when(F.size("header") > 0, F.col("header")).when(F.col("named"), found).otherwise(numbered)
+    told = F.when((F.col("_title.kind") == "STRING") & (F.col("_title.raw") != ""), F.col("_title.raw")).when(
+        ~F.col("_title.kind").isin("STRING", "VOID") & ~F.col("_title.raw").isin("false", "[]", "{}"), F.col("_title.raw")
+    )
+    wide = lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.size("columns"))), F.lit(1), F.size("columns"))
+    shown = parts.withColumn("columns", columns).select(
+        *keys, "record", F.coalesce(told, F.format_string("table_%d", "record")).alias("title"), "columns",
+        F.when(F.size("_units") > 0, wide(F.col("_units"))).alias("units"), F.posexplode("rows").alias("_i", "_row"),
+    )
+    by_name = F.transform("columns", lambda c: F.when(F.map_contains_key(F.col("_row.by_name"), c), F.element_at(F.col("_row.by_name"), c)).otherwise(F.lit("")))
+    cells = F.when(F.col("_row.by_name").isNotNull(), by_name).otherwise(wide(F.col("_row.by_place")))
+    return shown.select(*keys, F.col("record").cast("int").alias("record"), "title", "columns", "units", (F.col("_i") + 1).cast("bigint").alias("row_no"), cells.alias("cells"))
 
 
 # --- which files are outputs -------------------------------------------------------
