@@ -17,9 +17,6 @@ from linkfold.session import BROADCAST_ROWS
 # Cells that stand for "no reference".
 NULL_SENTINELS = ("null", "0", "")
 
-# Fixed value: most child lines one record may claim.
-MAX_CHILD_LINES = 1000
-
 # Header spellings per file and the column they mean.
 HEADER_ALIASES = {
     "calibration.cal": {

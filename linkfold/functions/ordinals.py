@@ -40,6 +40,14 @@ def with_ordinal(
     )
 
 
+def explode_upto(df: DataFrame, count: Column, name: str, block: int = 10_000) -> DataFrame:
+    """Each row ``count`` times with ``name`` from 1 on; no array is longer than ``block`` or the count over it."""
+    blocks = df.withColumn("_count", count.cast("bigint")).filter("_count > 0")
+    blocks = blocks.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_count") - 1) / block))))
+    first = F.col("_block") * block
+    return blocks.withColumn(name, F.explode(F.sequence(first + 1, F.least(first + block, F.col("_count"))))).drop("_count", "_block")
+
+
 def with_global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> DataFrame:
     """0-based rank of each row in a total order, found by a range-partitioned sort.
 

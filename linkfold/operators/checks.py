@@ -12,9 +12,6 @@ from linkfold.functions import text
 from linkfold.session import attached
 from linkfold.sources.tables import FILE, normalized_header, resolve_header
 
-#: Most row issues reported per file.
-ISSUES_PER_FILE = 20
-
 ISSUE_COLUMNS = ("dataset_id", "file_name", "line_no", "column", "kind", "message", "expected", "actual")
 
 
@@ -154,12 +151,12 @@ def column_positions(headers: DataFrame, catalog: Catalog) -> DataFrame:
     return headers.withColumn("_actual", actual).withColumn("positions", placed).drop("_actual")
 
 
-def row_issues(lines: DataFrame, placed: DataFrame, catalog: Catalog, cap: int | None = ISSUES_PER_FILE) -> DataFrame:
+def row_issues(lines: DataFrame, placed: DataFrame, catalog: Catalog, cap: int | None = None) -> DataFrame:
     """Column count and cell type issues of plain tables, line by line.
 
-    A line that is too short is not type-checked. At most ``cap`` issues per file are kept, in line
-    order and in the order integer, decimal, boolean within a line; tasks cut their part before the
-    shuffle.
+    A line that is too short is not type-checked. All issues are kept unless a display asks for the
+    first ``cap`` of each file, in line order and in the order integer, decimal, boolean within a
+    line; tasks then cut their part before the shuffle.
     """
     special = catalog.hierarchical_files()
     info = placed.filter(
@@ -232,7 +229,7 @@ def row_issues(lines: DataFrame, placed: DataFrame, catalog: Catalog, cap: int |
     )
 
 
-def format_issues(lines: DataFrame, bound: DataFrame, catalog: Catalog, cap: int | None = ISSUES_PER_FILE) -> DataFrame:
+def format_issues(lines: DataFrame, bound: DataFrame, catalog: Catalog, cap: int | None = None) -> DataFrame:
     """All format issues of all bound files.
 
     Empty files are reported once and not looked at further. Hierarchical files and decision tables

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from linkfold.functions import text
@@ -97,7 +99,7 @@ def routing_edges(connects: DataFrame) -> DataFrame:
     )
 
 
-def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3, max_rounds: int = 10_000) -> DataFrame:
+def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """All nodes reachable from the seeds, seeds included, for all datasets at once.
 
     Each round goes ``hops`` steps further in one job: parallel edges are dropped up front, a step
@@ -118,7 +120,7 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3, max_ro
     )
     visited = durable(seeds.select(*NODE).distinct())
     frontier = visited
-    for round_ in range(max_rounds):
+    for round_ in itertools.count():
         reached = step = frontier
         for _ in range(hops):
             step = (
@@ -134,7 +136,6 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3, max_ro
         visited = visited.union(frontier)
         if round_ % 16 == 15:
             visited = durable(visited)
-    raise RuntimeError(f"closure did not end within {max_rounds} rounds")
 
 
 def id_maps(kept: DataFrame) -> DataFrame:

@@ -416,13 +416,16 @@ def suppress_pointer_refs(unresolved: DataFrame, catalog: Catalog) -> DataFrame:
     return unresolved.join(pointers, condition, "left_anti")
 
 
-def orphan_rows(rows: DataFrame, resolved: DataFrame, include_child_refs: DataFrame | None = None) -> DataFrame:
+def orphan_rows(rows: DataFrame, refs: DataFrame, include_child_refs: DataFrame | None = None) -> DataFrame:
     """Rows that nothing refers to and that refer to nothing, by table then line.
 
+    ``refs`` need not be resolved: a row that some reference names is referred to. References to
+    decision tables may name a key of any of them, so those count for all.
+
     References found on child lines carry the child's line; pass ``include_child_refs``
     (``dataset_id, file_name, line_no, main_line``) to credit them to the main row.
     """
-    outbound = resolved.select(
+    outbound = refs.select(
         "dataset_id",
         F.col("source_table").alias("table_name"),
         F.col("source_file").alias("file_name"),
@@ -433,13 +436,15 @@ def orphan_rows(rows: DataFrame, resolved: DataFrame, include_child_refs: DataFr
             "dataset_id", "table_name", "file_name", F.col("main_line").alias("line_no")
         )
         outbound = outbound.unionByName(lifted).distinct()
-    inbound = (
-        resolved.filter("resolved")
-        .select("dataset_id", F.col("actual_target_table").alias("table_name"), F.col("fk_lc").alias("pk_lc"))
-        .distinct()
-    )
-    return rows.join(outbound, ["dataset_id", "table_name", "file_name", "line_no"], "left_anti").join(
-        inbound, ["dataset_id", "table_name", "pk_lc"], "left_anti"
+    space = lambda table, shared: F.when(shared, F.lit("*dtl")).otherwise(F.col(table))
+    inbound = refs.select(
+        "dataset_id", space("target_table", is_decision_ref()).alias("_space"), F.col("fk_lc").alias("pk_lc")
+    ).distinct()
+    return (
+        rows.join(outbound, ["dataset_id", "table_name", "file_name", "line_no"], "left_anti")
+        .withColumn("_space", space("table_name", F.contains("table_name", F.lit("dtl"))))
+        .join(inbound, ["dataset_id", "_space", "pk_lc"], "left_anti")
+        .drop("_space")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkfold.functions import text
+from linkfold.session import durable
 
 
 def index_stats(rows: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def dependency_edges(counted: DataFrame) -> DataFrame:
     )
 
 
-def unresolved_by(counted: DataFrame, table: str, column: str, k: int = 25) -> DataFrame:
+def unresolved_by(counted: DataFrame, table: str, column: str, k: int | None = None) -> DataFrame:
     """Most frequent ``table.column`` among unresolved references, per dataset.
 
     ``counted`` has the named columns, ``n`` and ``resolved``.
@@ -54,10 +55,10 @@ def unresolved_by(counted: DataFrame, table: str, column: str, k: int = 25) -> D
     return top_k(totals, ["dataset_id"], [F.desc("unresolved_count"), F.asc("name")], k)
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """First ``k`` rows per key; Spark cuts each task's rows to ``k`` before the shuffle."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+def top_k(df: DataFrame, keys: list[str], order: list, k: int | None = None) -> DataFrame:
+    """Rows ranked per key, all or the first ``k``; Spark cuts each task's rows to ``k`` before the shuffle."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def outbound_counts(refs: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def issue_counts_by_kind(issues: DataFrame) -> DataFrame:
     return issues.groupBy("dataset_id", "kind").agg(F.count(F.lit(1)).alias("issues"))
 
 
-def missing_file_summary(missing: DataFrame, file_column: str, k: int = 5) -> DataFrame:
+def missing_file_summary(missing: DataFrame, file_column: str, k: int | None = None) -> DataFrame:
     """One line per dataset: total, the most frequent missing files, and how many more there are."""
     counts = missing.groupBy("dataset_id", F.col(file_column).alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy("dataset_id").agg(
@@ -122,9 +123,9 @@ def missing_file_summary(missing: DataFrame, file_column: str, k: int = 5) -> Da
         .groupBy("dataset_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_heads"))
     )
-    more = F.when(
-        F.col("distinct_files") > k, F.format_string(" +%d more", F.col("distinct_files") - k)
-    ).otherwise("")
+    more = F.lit("")
+    if k is not None:
+        more = F.when(F.col("distinct_files") > k, F.format_string(" +%d more", F.col("distinct_files") - k)).otherwise("")
     return totals.join(heads, "dataset_id").select(
         "dataset_id",
         "total",
@@ -140,10 +141,17 @@ def preflight_report(
     missing_tables: DataFrame,
     unresolved_counts: DataFrame,
     orphans: DataFrame,
-    sample: int = 200,
-    top: int = 25,
+    sample: int | None = None,
+    top: int | None = None,
 ) -> DataFrame:
-    """Markdown report as ``dataset_id, section, ord, line``; every list is cut per dataset by rank."""
+    """Markdown report as ``dataset_id, section, ord, line``.
+
+    Lists are whole unless a display asks for the first ``sample`` rows or ``top`` names of each
+    dataset; the totals always count everything. Each input is kept once and read for all its uses.
+    """
+    stats, issues, pointers, missing_tables, unresolved_counts, orphans = (
+        durable(frame) for frame in (stats, issues, pointers, missing_tables, unresolved_counts, orphans)
+    )
     pointer_total = pointers.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_pointers"))
     table_total = missing_tables.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_tables"))
     issue_total = issues.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_issues"))
@@ -203,7 +211,7 @@ def preflight_report(
         )
         out = out.unionByName(heads)
     titles = [(1, "## Summary", None), (5, "## Top unresolved targets", None), (6, "## Top unresolved source columns", None)]
-    titles += [(s, f"## {name} (sample, max {k})", header) for s, name, _, _, _, k, header in parts]
+    titles += [(s, f"## {name}" + (f" (sample, max {k})" if k is not None else ""), header) for s, name, _, _, _, k, header in parts]
     return out.unionByName(_frame_titles(stats.sparkSession, stats, out, titles)).orderBy("dataset_id", "section", "ord")
 
 

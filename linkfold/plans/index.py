@@ -88,16 +88,19 @@ def index_lines(
     headers = tables.resolve_header(lines, tabular, catalog)
     plain = durable(tables.parse_tables(lines, headers, catalog))
 
-    only = lambda name: plain.filter(F.col("file_name") == name)
+    # By the schema's file: a bound file may be spelled with other separators.
+    only = lambda name: plain.filter(F.col("schema_file") == name)
     soils = records.soil_profiles(only("soils.sol"))
     schedules = only("management.sch")
     dtl_rows, dtl_children = decisions.decision_tables(lines, decisions.decision_table_names(inventory, bound))
     dtl_children = durable(dtl_children)
+    operations = durable(records.management_ops(schedules, lines))
     children = durable(
         records.soil_layers(soils, lines)
         .unionByName(records.plant_members(only("plant.ini"), lines))
-        .unionByName(records.management_ops(schedules, lines))
+        .unionByName(operations)
         .unionByName(records.generator_months(only("weather-wgn.cli"), lines))
+        .unionByName(records.deposition_children(only("atmo.cli"), lines))
         .unionByName(dtl_children)
     )
     list_rows = entries.select(
@@ -116,14 +119,14 @@ def index_lines(
         ).alias("values"),
     )
     kept = ["dataset_id", "table_name", "file_name", "line_no", "pk_value", "pk_lc", "values"]
-    text_rows = plain.filter("file_name <> 'soils.sol'").select(*kept).unionByName(soils.select(*kept))
+    text_rows = plain.filter("schema_file <> 'soils.sol'").select(*kept).unionByName(soils.select(*kept))
     rows = text_rows.unionByName(dtl_rows.select(*kept)).unionByName(list_rows)
     if include_weather:
         rows = rows.unionByName(_weather_rows(lines, catalog, bound).select(*kept))
     rows = durable(rows)
     found = (
         refs.extract_fk_refs(text_rows, catalog, pointer_mode)
-        .unionByName(refs.management_refs(children.filter("file_name = 'management.sch'"), catalog))
+        .unionByName(refs.management_refs(operations, catalog))
         .unionByName(refs.dtl_action_refs(dtl_children, catalog))
     )
     resolved = durable(refs.resolve_refs(found, rows))

@@ -253,14 +253,15 @@ def required_fk_missing(spark, sf):
 
 @query(
     "orphan_rows",
-    f"""WITH {_REFS} SELECT k.table_name, k.pk_lc, k.line_no FROM keys k
-    WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.ok AND r.target_table = k.table_name AND r.fk_value = k.pk_lc)
-      AND NOT EXISTS (SELECT 1 FROM refs s WHERE s.source_table = k.table_name AND s.source_line = k.line_no)""",
+    """WITH """ + _REFS[: _REFS.index("resolved AS")].rstrip().rstrip(",").replace("refs AS (", "refs AS MATERIALIZED (").replace("keys AS (", "keys AS MATERIALIZED (")
+    + """ SELECT k.table_name, k.pk_lc, k.line_no FROM keys k
+    LEFT JOIN (SELECT DISTINCT target_table, fk_value FROM refs) i ON i.target_table = k.table_name AND i.fk_value = k.pk_lc
+    LEFT JOIN (SELECT DISTINCT source_table, source_line FROM refs) o ON o.source_table = k.table_name AND o.source_line = k.line_no
+    WHERE i.fk_value IS NULL AND o.source_line IS NULL""",
 )
 def orphan_rows(spark, sf):
-    keys = star_keys(spark, sf, ACTIVE)
-    found = refs.resolve_column_refs(star_refs(spark, sf), keys)
-    return refs.orphan_rows(keys, found).select("table_name", "pk_lc", "line_no").orderBy("table_name", "line_no")
+    found = refs.orphan_rows(star_keys(spark, sf, ACTIVE), star_refs(spark, sf))
+    return found.select("table_name", "pk_lc", "line_no").orderBy("table_name", "line_no")
 
 
 @query(

@@ -619,7 +619,7 @@ def _order_files(spark, sf):
 _CHECKED = Catalog(tables=(_ORDERS,))
 
 
-def _issues(spark, sf, cap=checks.ISSUES_PER_FILE):
+def _issues(spark, sf, cap=None):
     lines = _order_files(spark, sf)
     return checks.format_issues(lines, r.bound(r.files_of(lines), _CHECKED), _CHECKED, cap)
 
@@ -650,7 +650,7 @@ def format_issues_rows(spark, sf):
     (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY line_no, ord) AS n FROM i) WHERE n <= 20""",
 )
 def format_issue_cap(spark, sf):
-    return _issues(spark, sf).filter(F.col("line_no") > 2).select("dataset_id", "line_no", "kind")
+    return _issues(spark, sf, cap=20).filter(F.col("line_no") > 2).select("dataset_id", "line_no", "kind")
 
 
 @query(

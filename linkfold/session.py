@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Catalog and per-file frames are hinted for broadcast only up to this many counted rows.
 BROADCAST_ROWS = 50_000
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+#: Where a session that names no shared folder keeps its intermediate tables.
+DEFAULT_FOLDER = "/tmp/linkfold-shared"
+
 _SHIPPED: set[str] = set()
 
 
@@ -52,19 +54,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lin
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master without that setting gets a temporary folder of its own.
+    Where that is unset, as in tests, one fixed folder of the default file system, on every master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="linkfold-")
-    return _LOCAL_FOLDERS[app]
+    return configured or DEFAULT_FOLDER
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

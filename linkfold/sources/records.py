@@ -56,12 +56,12 @@ def soil_profiles(mains: DataFrame) -> DataFrame:
 
 def soil_layers(mains: DataFrame, lines: DataFrame) -> DataFrame:
     count = text.integer(F.get("tokens", F.lit(1)))
-    children = child_lines(mains, lines, "soils.sol", count)
+    children = child_lines(mains, lines, count)
     return _flat(children, named_cells(SOIL_LAYER, F.col("tokens"), layer=F.col("ord").cast("string")))
 
 
 def plant_members(mains: DataFrame, lines: DataFrame) -> DataFrame:
-    children = child_lines(mains, lines, "plant.ini", plant_count())
+    children = child_lines(mains, lines, plant_count())
     return _flat(children, named_cells(PLANT_MEMBER, F.col("tokens")))
 
 
@@ -88,7 +88,7 @@ def management_ops(mains: DataFrame, lines: DataFrame) -> DataFrame:
     are taken from.
     """
     counted = management_counts(mains)
-    children = child_lines(counted, lines, "management.sch", F.col("numb_auto") + F.col("numb_ops"))
+    children = child_lines(counted, lines, F.col("numb_auto") + F.col("numb_ops"))
     tokens = F.col("tokens")
     auto = named_cells(AUTO_LINE, tokens, name=text.cell(tokens, 0), section=F.lit("auto"))
     op = named_cells(OPERATION_LINE, tokens, op_ref=text.cell(tokens, 6), section=F.lit("op"))
@@ -97,7 +97,7 @@ def management_ops(mains: DataFrame, lines: DataFrame) -> DataFrame:
 
 def generator_months(mains: DataFrame, lines: DataFrame) -> DataFrame:
     """Twelve month lines per station; the line right below the station is a header."""
-    children = child_lines(mains, lines, "weather-wgn.cli", F.lit(12), skip=1)
+    children = child_lines(mains, lines, F.lit(12), skip=1)
     return _flat(children, named_cells(MONTH_LINE, F.col("tokens"), month=F.col("ord").cast("string")))
 
 
@@ -113,7 +113,7 @@ def deposition_blocks(mains: DataFrame, lines: DataFrame) -> DataFrame:
         return F.coalesce(text.integer(F.try_element_at("values", F.lit(name))), F.lit(0))
 
     stations = F.when((count("num_sta") > 0) & (count("num_aa") > 0), count("num_sta") * 5).otherwise(0)
-    children = child_lines(mains, lines, "atmo.cli", stations)
+    children = child_lines(mains, lines, stations)
     series = F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(1)))
     aggregates = [
         F.max(F.when(F.col("_part") == 0, F.col("line_no"))).alias("line_no"),
@@ -132,6 +132,28 @@ def deposition_blocks(mains: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
+def deposition_children(mains: DataFrame, lines: DataFrame) -> DataFrame:
+    """Stations and their series as child lines: the name, or the kind and the values, by position."""
+    blocks = deposition_blocks(mains, lines)
+    station = F.struct(
+        F.col("line_no").alias("line_no"), F.create_map(F.lit("station_name"), F.col("station_name"), F.lit("section"), F.lit("station")).alias("values")
+    )
+    series = [
+        F.struct(
+            F.col(f"{name}_line").alias("line_no"),
+            F.create_map(F.lit("section"), F.lit(name), F.lit("values"), F.array_join(name, " ")).alias("values"),
+        )
+        for name in DEPOSITION
+    ]
+    tables = mains.select(*FILE, F.col("line_no").alias("main_line"), "table_name")
+    return (
+        blocks.join(tables, [*FILE, "main_line"])
+        .select("dataset_id", "table_name", "file_name", "main_line", F.inline(F.filter(F.array(station, *series), lambda x: x["line_no"].isNotNull())))
+        .withColumn("ord", (F.col("line_no") - F.col("main_line")).cast("int"))
+        .select("dataset_id", "table_name", "file_name", "main_line", "ord", "line_no", "values")
+    )
+
+
 def weather_series(lines: DataFrame, columns: dict[str, tuple[str, ...]]) -> tuple[DataFrame, DataFrame]:
     """Station weather files: ``(stations, data)``.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from linkfold.catalog import MAX_CHILD_LINES, Catalog
+from linkfold.catalog import Catalog
 from linkfold.functions import text
-from linkfold.functions.ordinals import with_ordinal
+from linkfold.functions.ordinals import explode_upto, with_ordinal
 from linkfold.operators.chain import on_chain
 from linkfold.session import attached
 
@@ -124,17 +124,17 @@ def parse_tables(lines: DataFrame, headers: DataFrame, catalog: Catalog) -> Data
     """
     parsed = table_lines(lines, headers)
     counted = counted_files(catalog)
-    plain = parsed.filter(~F.col("file_name").isin(counted)).filter(F.size("tokens") > 0)
+    plain = parsed.filter(~F.col("schema_file").isin(counted)).filter(F.size("tokens") > 0)
     soils = [f for f, layout in catalog.layouts.items() if layout.heuristic == "soils"]
-    plain = plain.filter(~F.col("file_name").isin(soils) | is_soil_main(F.col("tokens")))
+    plain = plain.filter(~F.col("schema_file").isin(soils) | is_soil_main(F.col("tokens")))
     mains = plain.select(*_row_columns())
-    if counted and not headers.filter(F.col("file_name").isin(counted)).isEmpty():
+    if counted and not headers.filter(F.col("schema_file").isin(counted)).isEmpty():
         mains = mains.unionByName(main_lines(parsed, headers, catalog).select(*_row_columns()))
     return assign_keys(mains, ordinals=not headers.filter("key_column is null").isEmpty())
 
 
 def counted_files(catalog: Catalog) -> list[str]:
-    """Files with counted records that a table of the catalog can be bound to."""
+    """Schema files with counted records; the bound file may be spelled in another way."""
     possible = {v for t in catalog.tables for v in _spellings(t.file_name, catalog.table_files.get(t.table_name))}
     return [f for f, layout in catalog.layouts.items() if layout.counted and f in possible]
 
@@ -147,6 +147,7 @@ def _row_columns() -> list:
     return [
         *FILE,
         "table_name",
+        "schema_file",
         "line_no",
         "key_column",
         cell_map().alias("values"),
@@ -159,7 +160,7 @@ def assign_keys(mains: DataFrame, ordinals: bool = True) -> DataFrame:
 
     ``ordinals=False`` says that every file has a key column, and saves numbering the rows.
     """
-    columns = ["dataset_id", "table_name", "file_name", "line_no", "pk_value", "values", "tokens"]
+    columns = ["dataset_id", "table_name", "file_name", "line_no", "pk_value", "values", "tokens", "schema_file"]
     keyed = mains.filter("key_column is not null").withColumn(
         "pk_value", F.try_element_at("values", F.col("key_column"))
     )
@@ -168,7 +169,7 @@ def assign_keys(mains: DataFrame, ordinals: bool = True) -> DataFrame:
         loose = with_ordinal(mains.filter("key_column is null"), FILE, "line_no", "_n")
         rows = rows.unionByName(loose.withColumn("pk_value", (F.col("_n") - 1).cast("string")).select(*columns))
     return rows.withColumn("pk_lc", F.lower("pk_value")).select(
-        "dataset_id", "table_name", "file_name", "line_no", "pk_value", "pk_lc", "values", "tokens"
+        "dataset_id", "table_name", "file_name", "line_no", "pk_value", "pk_lc", "values", "tokens", "schema_file"
     )
 
 
@@ -187,7 +188,7 @@ def is_soil_main(tokens: Column) -> Column:
 def _with_counts(files: DataFrame, catalog: Catalog) -> DataFrame:
     """Per file, where its child line counts come from: a fixed number, or cells to add up."""
     counted = {f: layout for f, layout in catalog.layouts.items() if layout.counted}
-    name = F.col("file_name")
+    name = F.col("schema_file")
 
     def setting(values: dict[str, str], default: str) -> Column:
         return text.lookup(name, values, F.lit(default))
@@ -205,27 +206,27 @@ def _with_counts(files: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def child_count() -> Column:
-    """Child lines claimed by a line read as a main record, at most the fixed limit.
+    """Child lines claimed by a line read as a main record, as many as it says.
 
     Null when the line is no main record: in files that fall back on their second token, a line
     that neither states a count nor has an integer there.
     """
-    positive = lambda v: F.greatest(F.coalesce(text.integer(v), F.lit(0)), F.lit(0))
+    # No file has 2**40 lines: a larger count only must not overflow.
+    positive = lambda v: F.least(F.greatest(F.coalesce(text.integer(v), F.lit(0)), F.lit(0)), F.lit(1 << 40))
     stated = F.aggregate(
         "count_at", F.lit(0).cast("bigint"), lambda total, at: total + positive(F.get("tokens", at))
     )
     count = F.when(F.col("count_fixed") > 0, F.col("count_fixed")).otherwise(stated * F.col("count_times"))
     second = text.integer(F.get("tokens", F.lit(1)))
-    fallback = F.when(second.isNotNull(), F.greatest(second, F.lit(0)))
-    count = F.when(F.col("count_second") & (count <= 0), fallback).otherwise(count)
-    return F.when(count.isNotNull(), F.least(count, F.lit(MAX_CHILD_LINES)))
+    fallback = F.when(second.isNotNull(), positive(F.get("tokens", F.lit(1))))
+    return F.when(F.col("count_second") & (count <= 0), fallback).otherwise(count)
 
 
 def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataFrame:
     """Record starts of the counted files, with ``children`` (lines that belong to the record)."""
     counted = counted_files(catalog)
     inside = (
-        parsed.filter(F.col("file_name").isin(counted))
+        parsed.filter(F.col("schema_file").isin(counted))
         .withColumn("children", F.when(F.size("tokens") > 0, child_count()))
     )
     nodes = inside.select(
@@ -233,34 +234,36 @@ def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataF
         F.col("line_no").alias("pos"),
         (F.col("line_no") + 1 + F.coalesce("children", F.lit(0))).alias("nxt"),
     )
-    starts = headers.filter(F.col("file_name").isin(counted)).select(*FILE, F.col("data_line").alias("pos"))
+    starts = headers.filter(F.col("schema_file").isin(counted)).select(*FILE, F.col("data_line").alias("pos"))
     reached = on_chain(nodes, FILE, starts).withColumnRenamed("pos", "line_no")
     return inside.filter("children is not null").join(reached, [*FILE, "line_no"], "left_semi")
 
 
-def child_lines(mains: DataFrame, lines: DataFrame, file: str, count: Column, skip: int = 0) -> DataFrame:
+def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0) -> DataFrame:
     """Lines ``1 .. count`` below each main line, after ``skip`` lines, with their ordinal.
 
-    Only lines of files named ``file`` take part. The wanted line numbers are listed per record and joined by equality; no range join, no window.
+    Only lines of the mains' files take part, and no count goes beyond a file's last line. The wanted line
+    numbers are listed per record and joined by equality; no range join, no window.
     Columns: the keys, ``main_line``, ``ord`` (1-based), ``line_no``, ``tokens``, and the mains' other
     columns.
     """
-    wanted = (
-        mains.withColumnRenamed("line_no", "main_line")
-        .withColumn("_count", count.cast("int"))
-        .filter("_count > 0")
-        .withColumn("ord", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-        .withColumn("line_no", F.col("main_line") + F.col("ord") + F.lit(skip))
-        .drop("_count", "tokens", "values")
-    )
-    body = lines.filter(F.col("file_name") == file).select(
-        *FILE, "line_no", text.tokens(F.col("raw")).alias("tokens"), "raw"
+    files = attached(mains.select(*FILE).distinct())
+    body = lines.join(files, FILE).select(*FILE, "line_no", text.tokens(F.col("raw")).alias("tokens"), "raw")
+    ends = attached(body.groupBy(*FILE).agg(F.max("line_no").alias("_last")))
+    counted = (
+        mains.withColumn("_wanted", count.cast("bigint"))
+        .join(ends, FILE)
+        .withColumnRenamed("line_no", "main_line")
+        .drop("tokens", "values", "schema_file")
     )
+    there = F.least(F.col("_wanted"), F.col("_last") - F.col("main_line") - F.lit(skip))
+    wanted = explode_upto(counted, there, "ord").drop("_wanted", "_last")
+    wanted = wanted.withColumn("line_no", F.col("main_line") + F.col("ord") + F.lit(skip)).withColumn("ord", F.col("ord").cast("int"))
     return wanted.join(body, [*FILE, "line_no"])
 
 
 def nest_children(mains: DataFrame, children: DataFrame) -> DataFrame:
-    """Rows with their children as an array; meant for records, whose size the limit bounds."""
+    """Rows with their children as an array; meant for records of a size that fits a row."""
     nested = children.groupBy(*FILE, F.col("main_line").alias("line_no")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("at"), "values"))).alias("_c")
     )
