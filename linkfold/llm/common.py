@@ -24,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str = "llm") -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkfold.llm import hashing
 from linkfold.llm.common import extended, row_groups, text_buffer
+from linkfold.session import ship
 from linkfold.llm.toxicity import labelled_sample
 
 ORDERS = (3, 4)
@@ -138,6 +139,7 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Params
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """Train on the bounded sample in one task, which gets hashed features only, never more than the bound."""
+    ship(docs.sparkSession)
     rows, share1 = labelled_sample(docs, labels, "quality", params.sample_per_class)
 
     def hashed(batches):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from linkfold.llm import hashing
 from linkfold.llm.common import extended, row_groups, text_buffer
+from linkfold.session import ship
 
 #: Steps of the words in a feature: words, pairs, triples, skip-grams.
 FAMILIES = ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3))
@@ -121,6 +122,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """Train on the bounded sample in one task, which gets hashed features only, never more than the bound."""
+    ship(docs.sparkSession)
     rows, share = labelled_sample(docs, labels, "toxic", params.sample_per_class)
 
     def hashed(batches):
