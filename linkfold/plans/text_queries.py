@@ -37,6 +37,20 @@ def scan_lines(spark, sf):
     return lines.join(shift, "path").select("raw", (F.col("doc") - F.col("_first") + 1 == F.col("line_no")).alias("in_order"))
 
 
+@query(
+    "scan_document_text",
+    """SELECT raw, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents) GROUP BY raw""",
+)
+def scan_document_text(spark, sf):
+    """All texts written as text files and read back line by line, each number once in its file."""
+    path = scratch_path(spark, "texts")
+    load(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value")).repartition(4).write.text(path)
+    lines = durable(line_source.scan_lines(spark, path))
+    numbers = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line_no").alias("d"), F.max("line_no").alias("m"))
+    whole = numbers.filter("n = d AND n = m").select("path")
+    return lines.join(whole, "path", "left_semi").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "document_lines",
     r"""SELECT doc_id, i AS line_no, raw, len(list_filter(regexp_split_to_array(raw, '[ \t]+'), lambda t: t <> '')) AS tokens
@@ -226,6 +240,25 @@ def plant_members(spark, sf):
     )
 
 
+@query(
+    "plant_members_large",
+    """SELECT l_returnflag AS dataset_id, 3::BIGINT AS main_line, 'pl' || l_partkey AS plnt_name, l_linenumber::VARCHAR AS lc_status, l_quantity AS lai_init
+    FROM lineitem""",
+)
+def plant_members_large(spark, sf):
+    """One record per return flag that holds all its line items: records of any length stay whole."""
+    items = load(spark, sf, "lineitem").withColumn("dataset_id", F.col("l_returnflag")).withColumn("file_name", F.lit("plant.ini"))
+    child = r.words(F.concat(F.lit("pl"), F.col("l_partkey").cast("string")), F.col("l_linenumber"), "l_quantity", "l_tax")
+    body = r.numbered(items.select("dataset_id", "file_name", "l_orderkey", "l_linenumber", child.alias("raw")), "l_orderkey", ["l_linenumber", "raw"], 3)
+    counts = items.groupBy("dataset_id", "file_name").agg(F.count(F.lit(1)).alias("n"))
+    heads = r.head_lines(counts, F.lit("plants"), F.lit("PCOM_NAME plt_cnt rot_yr_ini"), r.words(F.lit("all"), "n", F.lit("1")))
+    lines = durable(heads.unionByName(body.select(*r.LINE)))
+    v = F.col("values")
+    return records.plant_members(_records(lines), lines).select(
+        "dataset_id", "main_line", v["plnt_name"].alias("plnt_name"), v["lc_status"].alias("lc_status"), v["lai_init"].cast("double").alias("lai_init")
+    )
+
+
 def _schedule_lines(spark, sf):
     main = r.words(_order_name(), "op_lines", "auto_lines")
     op = r.words(F.lower("l_linestatus"), "l_linenumber", F.lit("1"), F.lit("0.15"), "l_suppkey", F.lit("x"), F.concat(F.lit("op"), F.col("l_partkey").cast("string")), F.lit("9"))
@@ -325,6 +358,22 @@ def deposition_blocks(spark, sf):
     return blocks.select("dataset_id", "station_name", *series)
 
 
+@query(
+    "deposition_large",
+    "SELECT row_number() OVER (ORDER BY p_partkey) AS station, 'sta ' || p_partkey AS station_name, p_size::VARCHAR AS nh4_wet, '1,2' AS no3_wet FROM part",
+)
+def deposition_large(spark, sf):
+    """One deposition file with every part as a station."""
+    lines_of = F.array(F.concat(F.lit("sta "), F.col("p_partkey").cast("string")), r.words("p_size", F.lit("end")), F.lit("1 2 end"), F.lit("3"), F.lit("4 5"))
+    parts = load(spark, sf, "part").withColumn("dataset_id", F.lit("main")).withColumn("file_name", F.lit("atmo.cli"))
+    body = r.numbered(parts.select("dataset_id", "file_name", "p_partkey", F.posexplode(lines_of).alias("_i", "raw")), "p_partkey", ["_i"], 3)
+    counts = parts.groupBy("dataset_id", "file_name").agg(F.count(F.lit(1)).alias("n"))
+    heads = r.head_lines(counts, F.lit("deposition"), F.lit("num_sta timestep num_aa"), r.words("n", F.lit("mo"), F.lit("3")))
+    lines = durable(heads.unionByName(body.select(*r.LINE)))
+    blocks = records.deposition_blocks(_records(lines), lines)
+    return blocks.select("station", "station_name", *[F.array_join(c, ",").alias(c) for c in ("nh4_wet", "no3_wet")])
+
+
 def _decision_lines(spark, sf):
     conds, acts = F.col("auto_lines"), F.col("op_lines")
     main = r.words(_order_name(), conds, F.lit("2"), acts)

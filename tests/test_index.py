@@ -234,6 +234,23 @@ def test_deposition(index):
     ]
 
 
+def test_long_records_and_other_spellings(spark, tmp_path):
+    """Counts are bounded by the file only, and a record file may be spelled with other separators."""
+    folder = tmp_path / "TxtInOut"
+    folder.mkdir()
+    (folder / "file.cio").write_text(FILES["file.cio"])
+    (folder / "weather_wgn.cli").write_text(FILES["weather-wgn.cli"])
+    members = "\n".join(f" crop{k} y" for k in range(1500))
+    (folder / "plant.ini").write_text(f"plants\npcom_name plt_cnt rot_yr_ini\nbig 1500 1\n{members}\nlast 1 1\n whea y\nodd 99999999999999 1\n corn y")
+    stations = "\n".join(f"sta{k}\n 1 9\n 2 9\n 3 9\n 4 9" for k in range(250))
+    (folder / "atmo.cli").write_text(f"atmo\nnum_sta timestep mo_init yr_init num_aa\n250 mo 1 1990 2\n{stations}\n")
+    built = build_index(spark, str(tmp_path), Catalog.from_json(SCHEMA, METADATA))
+    rows = {(r["table_name"], r["pk_value"]) for r in built.rows.filter("table_name <> 'file_cio'").collect()}
+    assert rows == {("plant_ini", "big"), ("plant_ini", "last"), ("plant_ini", "odd"), ("weather_wgn_cli", "wgn1"), ("weather_wgn_cli", "wgn2"), ("atmo_cli", "0")}
+    kids = {r["file_name"]: r["n"] for r in built.children.groupBy("file_name").agg(F.count("*").alias("n")).collect()}
+    assert kids == {"plant.ini": 1502, "weather_wgn.cli": 24, "atmo.cli": 1250}
+
+
 def test_preflight(index):
     report_lines = one(index.preflight()).orderBy("section", "ord").collect()
     text = "\n".join(r["line"] for r in report_lines)
