@@ -327,6 +327,11 @@ def refs_for_line(refs: DataFrame, path: str, line_no: int) -> DataFrame:
     return refs_from_file(refs, path).filter(F.col("source_line") == line_no)
 
 
+def row_by_id(rows: DataFrame, table_name: str, pk_value: str) -> DataFrame:
+    """Rows of a table by their key, ignoring case."""
+    return rows.filter((F.col("table_name") == table_name) & (F.col("pk_lc") == pk_value.lower()))
+
+
 def references_to_row(resolved: DataFrame, table_name: str, pk_value: str) -> DataFrame:
     """Reverse lookup: references that landed on a row."""
     return resolved.filter(
@@ -490,8 +495,12 @@ def describe_table(spark, catalog: Catalog, table_name: str | None = None) -> Da
     )
 
 
-def position_refs(refs: DataFrame, lines: DataFrame) -> DataFrame:
-    """References with the first place their value stands in its line (``col_start``, ``col_end``)."""
+def position_refs(refs: DataFrame, lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """References with the place their value stands in its line (``col_start``, ``col_end``).
+
+    With resolved headers that is the place of the reference's column, so equal values in other columns
+    are not taken for it; otherwise, as for child lines, the first token that equals the value.
+    """
     spans = lines.select(
         "dataset_id",
         F.col("file_name").alias("source_file"),
@@ -499,12 +508,19 @@ def position_refs(refs: DataFrame, lines: DataFrame) -> DataFrame:
         text.token_spans(F.col("raw")).alias("_spans"),
     )
     hit = F.get(F.filter("_spans", lambda s: s["token"] == F.col("fk_value")), F.lit(0))
+    found = refs.join(spans, ["dataset_id", "source_file", "source_line"])
+    if headers is not None:
+        places = headers.select("dataset_id", F.col("file_name").alias("source_file"), "cell_names", "cell_at")
+        found = found.join(places, ["dataset_id", "source_file"], "left")
+        own = F.get("_spans", F.get("cell_at", F.array_position("cell_names", F.col("source_column")).cast("int") - 1))
+        hit = F.coalesce(F.when(own["token"] == F.col("fk_value"), own), hit)
+        found = found.withColumn("_place", hit).drop("cell_names", "cell_at")
+        hit = F.col("_place")
     return (
-        refs.join(spans, ["dataset_id", "source_file", "source_line"])
-        .withColumn("_hit", hit)
+        found.withColumn("_hit", hit)
         .withColumn("col_start", F.col("_hit.col_start"))
         .withColumn("col_end", F.col("_hit.col_end"))
-        .drop("_spans", "_hit")
+        .drop("_spans", "_hit", "_place")
     )
 
 

@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkfold.functions import text
-from linkfold.functions.classify import dir_categories, input_category
+from linkfold.functions.classify import category_filter, dir_categories, file_category, input_category
 from linkfold.operators import explore, graph, refs, report
 from linkfold.operators.explore import Condition
 from linkfold.plans.corpus import STAR, line_of, load, star_keys, star_refs, star_rows
+from linkfold.sources.store import copy_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -746,3 +747,114 @@ def dir_categories_query(spark, sf):
 def name_variants(spark, sf):
     name = F.concat("lang", F.lit("_"), "source", F.lit("-"), F.col("doc_id").cast("string"))
     return load(spark, sf, "documents").select("doc_id", F.explode(text.name_variants(name)).alias("variant"))
+
+
+# --- names and paths ---------------------------------------------------------------------
+
+
+_PATHS_SQL = r"""p AS (SELECT doc_id, lang, source, CASE WHEN lang = 'en' THEN 'C:\' || source || '\' || doc_id || '.Txt'
+  WHEN lang = 'de' THEN '/mnt/d/' || source || '/' || doc_id || '.txt' ELSE '/data/' || source || '/' || doc_id END AS path FROM documents)"""
+
+
+@query(
+    "path_forms",
+    rf"""WITH {_PATHS_SQL} SELECT doc_id,
+      CASE WHEN lang = 'en' THEN '/mnt/c/' || source || '/' || doc_id || '.Txt' ELSE path END AS mounted,
+      CASE WHEN lang = 'de' THEN 'D:\' || source || '\' || doc_id || '.txt' ELSE path END AS on_drive,
+      CASE WHEN lang = 'en' THEN 'c:/' || source || '/' || doc_id || '.txt' ELSE path END AS comparable,
+      replace(path, '\', '/')[:-(length(regexp_extract(replace(path, '\', '/'), '/[^/]*$')) + 1)] AS folder,
+      CASE WHEN lang IN ('en', 'de') THEN '.txt' ELSE '' END AS suffix, doc_id::VARCHAR AS stem,
+      lang = 'en' AND source = 'src1' AS below
+    FROM p""",
+)
+def path_forms(spark, sf):
+    """Paths of drives, of mounts and plain ones, in their other forms and parts."""
+    name = F.col("doc_id").cast("string")
+    path = (
+        F.when(F.col("lang") == "en", F.concat(F.lit("C:\\"), "source", F.lit("\\"), name, F.lit(".Txt")))
+        .when(F.col("lang") == "de", F.concat(F.lit("/mnt/d/"), "source", F.lit("/"), name, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("/data/"), "source", F.lit("/"), name))
+    )
+    p = F.col("path")
+    return load(spark, sf, "documents").withColumn("path", path).select(
+        "doc_id", text.stored_path(p).alias("mounted"), text.mount_to_drive(p).alias("on_drive"), text.comparable_path(p).alias("comparable"),
+        text.dir_name(p).alias("folder"), text.suffix(p).alias("suffix"), text.stem(p).alias("stem"),
+        text.path_starts_with(p, F.lit("c:/SRC1/")).alias("below"),
+    )
+
+
+@query(
+    "safe_titles",
+    r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'record_' || doc_id ELSE source || '__' || lang || '-ü_' || doc_id END AS title,
+      lower(replace(replace(source || '.' || lang || '-X', '.', '_'), '-', '_')) AS table_name FROM documents""",
+)
+def safe_titles(spark, sf):
+    """Titles as file names, and table names of files."""
+    number = F.col("doc_id").cast("string")
+    title = F.when(F.col("doc_id") % 4 == 0, F.lit(" *?* ")).otherwise(F.concat(F.lit("("), "source", F.lit(": "), "lang", F.lit("-ü/"), number, F.lit("!)")))
+    return load(spark, sf, "documents").select(
+        "doc_id",
+        text.safe_title(title, F.concat(F.lit("record_"), number)).alias("title"),
+        text.table_of_file(F.concat("source", F.lit("."), "lang", F.lit("-X"))).alias("table_name"),
+    )
+
+
+#: A name for each outcome of the category rules, and whether a subset takes such a file over.
+_NAMED = (
+    ("x_wgn.dat", "climate"), ("A.CNT", "simulation"), ("b.pcp", "climate"), ("c.rtu", "spatial"), ("d.sno", "land"), ("topo.hyd", "land"),
+    ("e.lum", "landuse"), ("plant.ini", "landuse"), ("f.ops", "operations"), ("structural.str", "operations"), ("h.wet", "waterbodies"),
+    ("i.cha", "channels"), ("gwflow.x", "groundwater"), ("k.lin", "connectivity"), ("l.ini", "initialization"), ("m.plt", "databases"),
+    ("n.rec", "other"), ("o.csv", "output"), ("p.txt", "output"), ("fort.9", "other"),
+)
+
+
+@query(
+    "file_categories",
+    f"""WITH n AS (SELECT doc_id, [{", ".join(f"'{c}'" for _, c in _NAMED)}][doc_id % {len(_NAMED)} + 1] AS c, doc_id % {len(_NAMED)} AS k FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'output' WHEN doc_id % 5 = 0 AND k IN (17, 18) THEN 'other' ELSE c END AS category,
+      k NOT IN (17, 18, 19) AS copied FROM n""",
+)
+def file_categories(spark, sf):
+    """Categories of output tables, known inputs and other files by name, and which of them a subset takes over."""
+    names = F.array(*[F.lit(n) for n, _ in _NAMED])
+    files = load(spark, sf, "documents").select("doc_id", F.get(names, (F.col("doc_id") % len(_NAMED)).cast("int")).alias("file_name"))
+    copied = copy_filter(files).select("doc_id", F.lit(True).alias("copied"))
+    kind = file_category(F.col("file_name"), F.col("doc_id") % 7 == 0, F.col("doc_id") % 5 == 0)
+    return files.withColumn("category", kind).join(copied, "doc_id", "left").select("doc_id", "category", F.coalesce("copied", F.lit(False)).alias("copied"))
+
+
+@query(
+    "category_ticks",
+    """SELECT doc_id, file_name FROM (SELECT doc_id, lang || '_' || doc_id || CASE lang WHEN 'en' THEN '.con' WHEN 'de' THEN '.hyd' WHEN 'fr' THEN '.plt' ELSE '.csv' END AS file_name, lang
+      FROM documents) WHERE lang IN ('en', 'fr')""",
+)
+def category_ticks(spark, sf):
+    files = _document_files(spark, sf).withColumn("category", input_category(F.col("file_name")))
+    return category_filter(files, ["connectivity", "databases"]).select("doc_id", "file_name")
+
+
+@query(
+    "nullified_names",
+    r"""SELECT doc_id, lang || ' ' || CASE WHEN source IN ('src1', 'src10') THEN 'null' ELSE upper(source) || '.DAT' END || ' my' || source || '.dat' AS line FROM documents""",
+)
+def nullified_names(spark, sf):
+    line = F.concat("lang", F.lit(" "), F.upper("source"), F.lit(".DAT my"), "source", F.lit(".dat"))
+    return load(spark, sf, "documents").select("doc_id", text.nullify_names(line, ["src1.dat", "src10.dat"]).alias("line"))
+
+
+@query(
+    "refs_of_lines",
+    f"""WITH {_REFS} SELECT source_table, source_line, source_column, fk_value, target_table FROM refs
+    WHERE source_table = 'supplier' OR (source_table = 'lineitem' AND source_line = 11)""",
+)
+def refs_of_lines(spark, sf):
+    """References of a whole file and of one line, by paths in another spelling."""
+    every = star_refs(spark, sf)
+    of_file = refs.refs_from_file(every, STAR.table("supplier").file_name)
+    return of_file.unionByName(refs.refs_for_line(every, STAR.table("lineitem").file_name, 11)).select(*_FLAT)
+
+
+@query("row_by_id", "SELECT p_partkey AS line_no, p_name AS name FROM part WHERE p_partkey = 7")
+def row_by_id(spark, sf):
+    row = refs.row_by_id(star_rows(spark, sf, ["part", "orders"]), "part", "7")
+    return row.select("line_no", F.col("values")["p_name"].alias("name"))

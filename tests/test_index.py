@@ -251,6 +251,24 @@ def test_long_records_and_other_spellings(spark, tmp_path):
     assert kids == {"plant.ini": 1502, "weather_wgn.cli": 24, "atmo.cli": 1250}
 
 
+def test_position_by_column(spark):
+    """Equal values in two reference columns: each position gives the reference of its own column."""
+    from linkfold.operators import refs
+
+    found = spark.createDataFrame(
+        [("d", "f", 3, "one", "corn"), ("d", "f", 3, "two", "corn"), ("d", "f", 4, "two", "x")],
+        "dataset_id string, source_file string, source_line long, source_column string, fk_value string",
+    )
+    text_lines = spark.createDataFrame([("d", "f", 3, "corn  corn"), ("d", "f", 4, " x")], "dataset_id string, file_name string, line_no long, raw string")
+    headers = spark.createDataFrame([("d", "f", ["one", "two"], [0, 1])], "dataset_id string, file_name string, cell_names array<string>, cell_at array<int>")
+    placed = refs.position_refs(found, text_lines, headers)
+    at = lambda line, char: [
+        r["source_column"]
+        for r in refs.target_at(placed, spark.createDataFrame([("d", "f", line, char)], "dataset_id string, source_file string, source_line long, char int")).collect()
+    ]
+    assert (at(3, 1), at(3, 8), at(3, 5), at(4, 1)) == (["one"], ["two"], [], ["two"])
+
+
 def test_preflight(index):
     report_lines = one(index.preflight()).orderBy("section", "ord").collect()
     text = "\n".join(r["line"] for r in report_lines)
