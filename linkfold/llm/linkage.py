@@ -1,84 +1,194 @@
 """Groups of linked items: candidates from shared keys, verified links, connected components.
 
-No key is expanded into all its pairs. In each round every key that still holds items of several components
-compares a few of them, its pivots, with its items of other components; verified links merge components, and
-pivots leave the key, as nothing is left to learn from them there. Each round takes twice as many pivots, so
-a key of m items is done after about log2(m) rounds even if none of its items are alike, and after one or two
-if they are. At the end every pair of items that share a key was either compared or found in one component.
+No key is expanded into all its pairs. First every key compares one item, its pivot, with its items of other
+components, twice with components merged in between: of a group of copies that leaves few. Then the keys
+that still hold several components are settled inside tasks: blocks of at most ``BLOCK`` items meet two by two,
+compare what is in different components, and report a link only if it merges two of them. So every pair of
+items that share a key was compared or found in one component, while only links leave a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
-from linkfold.llm.common import written
+from linkfold.llm.common import row_groups, written
+
+#: Rounds in which each key has one pivot.
+STARS = 2
+#: Items that meet inside a task: two blocks of so many, with their texts, are the most that one holds.
+BLOCK = 1024
+
+
+class Comparison(Protocol):
+    def links(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of the texts ``others`` text x is linked to."""
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b): the smallest node it is connected to.
 
-    Each round a node takes the smallest grandparent among its neighbours', hands it to its parent too, and
-    skips to its own grandparent, so the number of rounds grows with the logarithm of the longest path.
+    Each round merges every node into the first of its neighbours and itself and keeps the links between
+    what is left. First is the smallest in the first round, which ends stars at once, and by a hash that
+    changes from round to round later, which takes a share of the nodes of any graph away each time.
     """
-    links = links.select("a", "b").filter("a <> b")
-    both = written(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).select(F.col("a").alias("node"), "up"), "labels")
-    while True:
-        above = label.select(F.col("node").alias("_p"), F.col("up").alias("top"))
-        grand = written(label.join(above, F.col("up") == F.col("_p")).select("node", "up", "top"), "grand")
-        best = written(
-            both.join(grand.select(F.col("node").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("best")).select(F.col("a").alias("_a"), "best"), "best"
-        )
-        own = grand.join(best, F.col("node") == F.col("_a"))
-        hooks = own.select("node", "best").union(own.select(F.col("up").alias("node"), "best")).union(grand.select("node", F.col("top").alias("best")))
-        least = hooks.groupBy("node").agg(F.min("best").alias("best")).withColumnRenamed("node", "_n")
-        new = label.join(least, F.col("node") == F.col("_n"), "left").select("node", F.least("up", "best").alias("next"), "up")
-        new = written(new, "labels")
-        moved = new.filter("next <> up").limit(1).count()
-        label = new.select("node", F.col("next").alias("up"))
-        if not moved:
-            return label.withColumnRenamed("up", "component")
+    edges = written(links.select("a", "b").filter("a <> b").distinct(), "links")
+    label = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "labels")
+    turn = 0
+    while edges.limit(1).count():
+        order = lambda c: F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(c, F.lit(turn)), F.col(c).alias("node"))  # noqa: E731, B023
+        both = edges.union(edges.select("b", "a"))
+        into = both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a")))["node"].alias("_to")).select(F.col("a").alias("_from"), "_to")
+        into = written(into, "into")
+        merged = edges.join(into, F.col("a") == F.col("_from")).select(F.col("_to").alias("a"), "b")
+        merged = merged.join(into, F.col("b") == F.col("_from")).select("a", F.col("_to").alias("b")).filter("a <> b")
+        edges = written(merged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        label = written(label.join(into, F.col("root") == F.col("_from"), "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+        turn += 1
+    least = label.groupBy("root").agg(F.min("node").alias("component")).withColumnRenamed("root", "_r")
+    return written(label.join(least, F.col("root") == F.col("_r")).select("node", "component"), "components")
 
 
 def linked_components(
-    buckets: DataFrame, alike: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+    buckets: DataFrame, texts: DataFrame, alike: Callable[[Column, Column], Column], compare: Callable[[pa.Array], Comparison]
 ) -> DataFrame:
-    """(node, component) of every node with a verified link.
+    """(node, component) of every node with a link.
 
-    ``buckets`` is (key, node, info), stable when read again. ``alike(info, info)`` is a cheap exact condition
-    that links need; ``verify`` takes distinct pairs (a, b) with a < b and returns those that are links.
+    ``buckets`` is (key, node, info) and ``texts`` (node, text), both stable when read again. ``alike(info, info)``
+    is a cheap exact condition that links need; ``compare`` prepares texts, whose ``links(x, others)`` tells which
+    of the others x is linked to.
     """
-    label: DataFrame | None = None
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    left, turn = buckets, 0
-    while True:
-        if label is None:
-            labelled = left.withColumn("component", F.col("node"))
-        else:
-            own = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-            labelled = left.join(own, F.col("node") == F.col("_n"), "left").withColumn("component", F.coalesce("_c", "node")).drop("_n", "_c")
-        labelled = written(labelled, "labelled") if label is not None else labelled
-        stats = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"), F.count("*").alias("size"))
-        # Keys whose items are all in one component are done.
-        open_keys = written(stats.filter("low <> high").select(F.col("key").alias("_k"), "first", "size"), "open")
-        # Hot keys of the left side are split by adaptive execution; the right side has one row a key.
-        now = written(labelled.join(open_keys, F.col("key") == F.col("_k")).drop("_k"), "now")
-        if not now.limit(1).count():
-            return label if label is not None else buckets.select("node", F.col("node").alias("component")).limit(0)
-        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < F.lit((1 << min(turn, 40)) - 1)
-        flagged = now.withColumn("pivot", chance | (F.col("node") == F.col("first")))
-        pivots = flagged.filter("pivot").select(F.col("key").alias("_k"), F.col("node").alias("_p"), F.col("info").alias("_i"), F.col("component").alias("_c"))
-        met = flagged.join(pivots, F.col("key") == F.col("_k")).filter((F.col("component") != F.col("_c")) & alike(F.col("info"), F.col("_i")))
-        pairs = met.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(verify(pairs).select("a", "b"), "found")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        label = written(components(links), "components")
-        left = flagged.filter("not pivot").select("key", "node", "info")
-        turn += 1
+    label = links = None
+    left = buckets
+    for turn in range(STARS):
+        now = _open_keys(left, label)
+        # Hot keys are split by adaptive execution; the pivots' side has one row a key.
+        pivots = now.filter(F.col("node") == F.col("pivot")).select(F.col("key").alias("_k"), F.col("node").alias("_p"), F.col("info").alias("_i"), F.col("component").alias("_c"))
+        met = now.join(pivots, F.col("key") == F.col("_k")).filter((F.col("component") != F.col("_c")) & alike(F.col("info"), F.col("_i")))
+        pairs = written(met.select(F.col("_p").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        found = written(_confirmed(pairs, texts, compare), "found")
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        left = now.filter(F.col("node") != F.col("pivot")).select("key", "node", "info")
+    found = written(_settled(_open_keys(left, label), texts, compare), "settled")
+    return components(links.unionByName(found)) if found.limit(1).count() else label
+
+
+def _open_keys(left: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Rows of the keys with several components, with their component, the key's size and a pivot."""
+    if label is None:
+        labelled = left.withColumn("component", F.col("node"))
+    else:
+        own = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        joined = left.join(own, F.col("node") == F.col("_n"), "left")
+        labelled = written(joined.withColumn("component", F.coalesce("_c", "node")).drop("_n", "_c"), "labelled")
+    stats = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("node").alias("pivot"), F.count("*").alias("size"))
+    several = written(stats.filter("_low <> _high").select(F.col("key").alias("_k"), "pivot", "size"), "open")
+    return written(labelled.join(several, F.col("key") == F.col("_k")).drop("_k"), "now")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Comparison]) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    # The many different ends first: what is then dealt out by the pivots has no pivot's text yet.
+    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.add(pc.binary_length(batch.column("text_a")), pc.binary_length(batch.column("text_b"))).to_numpy(zero_copy_only=False)
+            for i, j in row_groups(np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]), 4_000_000):
+                part = batch.slice(i, j - i)
+                # Rows of one pivot mostly stand together: its text is prepared once.
+                a = part.column("text_a")
+                new = np.ones(j - i, bool)
+                if j - i > 1:
+                    new[1:] = pc.not_equal(a.slice(1), a.slice(0, j - i - 1)).to_numpy(zero_copy_only=False)
+                at = np.cumsum(new) - 1
+                own = compare(pa.concat_arrays([part.column("text_b"), a.take(pa.array(np.flatnonzero(new)))]))
+                keep = np.zeros(j - i, bool)
+                for k in range(int(at[-1]) + 1):
+                    rows = np.flatnonzero(at == k)
+                    keep[rows] = own.links(j - i + k, rows)
+                yield part.filter(pa.array(keep)).select(["a", "b"])
+
+    return joined.mapInArrow(run, joined.select("a", "b").schema)
+
+
+def _settled(now: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Comparison]) -> DataFrame:
+    """Links between the components of each key, each pair of components of a block pair once."""
+    rows = grouped_blocks(now.select("key", "size", "node", F.xxhash64("component").alias("code")), texts)
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        code, mine = batch.column("code").to_numpy(), batch.column("mine").to_numpy()
+        alone = batch.column("low")[0].as_py() == batch.column("high")[0].as_py()
+        _, group, sizes = np.unique(code, return_inverse=True, return_counts=True)
+        a, b = [], []
+        if len(sizes) > 1:
+            own = compare(batch.column("text"))
+            # Items of small components ask first; the largest is only asked.
+            rank = np.empty(len(sizes), np.int64)
+            rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
+            order, done = np.argsort(rank[group], kind="stable"), np.zeros(len(code), bool)
+            for x in order:
+                others = np.flatnonzero(~done & (group != group[x]) & (alone | (mine != mine[x])))
+                done[x] = True
+                hits = others[own.links(int(x), others)] if len(others) else others
+                for y in hits:
+                    if group[x] != group[y]:
+                        a.append(int(x))
+                        b.append(int(y))
+                        group[group == group[x]] = group[y]
+        node = batch.column("node")
+        return pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    kind = now.schema["node"].dataType
+    return rows.mapInArrow(by_group(settle), StructType([StructField("a", kind), StructField("b", kind)]))
+
+
+def grouped_blocks(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Rows (key, size, node, ...) so that any two of a key stand together in some group of (key, low, high).
+
+    A key is cut into blocks of about ``BLOCK`` rows, and a group is two of its blocks (or the only one), so
+    no group is large; ``mine`` is a row's block. Groups are sorted inside partitions, for ``by_group``. With
+    ``texts`` (node, text), rows have their text too.
+    """
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    blocks = rows.withColumn("mine", own).withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
+    spread = blocks.withColumn("low", F.least("mine", "_other")).withColumn("high", F.greatest("mine", "_other")).drop("_other", "size")
+    if texts is not None:
+        spread = spread.join(texts, "node")
+    return spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    """A function for ``mapInArrow`` that gives ``work`` each group of (key, low, high) of sorted rows as one batch."""
+
+    def run(batches):
+        held, out, rows = None, [], 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not table:
+                continue
+            whole = table[0]
+            keys = [whole.column(c).to_numpy() for c in ("key", "low", "high")]
+            begin = 0
+            for end in np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1:
+                out.append(work(whole.slice(begin, int(end) - begin)))
+                begin, rows = int(end), rows + out[-1].num_rows
+                if len(out) > 500 or rows > 10_000:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                    out, rows = [], 0
+            held = whole.slice(begin)
+        if held is not None and held.num_rows:
+            out.append(work(held))
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return run

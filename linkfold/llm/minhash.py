@@ -94,37 +94,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar; ``texts`` is (node, text)."""
-    # The many different ends first: what is then dealt out by the pivots has no pivot's text yet.
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batches):
-        for batch in batches:
-            data_a, at_a = text_buffer(batch.column("text_a"))
-            data_b, at_b = text_buffer(batch.column("text_b"))
-            same = batch.column("a").to_pylist()
-            keep = np.zeros(len(same), bool)
-            for i, j in row_groups(at_a + at_b, 2 * hashing.BLOCK):
-                others = sets(data_b[at_b[i] : at_b[j]], at_b[i : j + 1] - at_b[i])
-                # Rows of one pivot stand together mostly: its set is made once.
-                firsts = [k for k in range(i, j) if k == i or same[k] != same[k - 1] or at_a[k + 1] - at_a[k] != at_a[k] - at_a[k - 1]]
-                made = dict(zip(firsts, sets(*_picked(data_a, at_a, firsts))))
-                mine = None
-                for k in range(i, j):
-                    mine = made.get(k, mine)
-                    common = len(np.intersect1d(mine, others[k - i], assume_unique=True))
-                    keep[k] = common and 100 * common >= 75 * (len(mine) + len(others[k - i]) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _picked(data: np.ndarray, offsets: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [data[offsets[k] : offsets[k + 1]] for k in rows]
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+class ShingleSets:
+    """Full sets of some texts, for exact comparison: distinct shingles are numbered, a set is its numbers."""
+
+    def __init__(self, texts: pa.Array):
+        own = sets(*text_buffer(texts))
+        self.sizes = np.array([len(s) for s in own], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        values, self.numbers = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_inverse=True)
+        self.marked = np.zeros(len(values), bool)
+
+    def _of(self, k: int) -> np.ndarray:
+        return self.numbers[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+    def links(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.sizes[x]
+        out = np.zeros(len(others), bool)
+        sizes = self.sizes[others]
+        fit = np.flatnonzero((sizes > 0) & (100 * np.minimum(sizes, mine) >= 75 * np.maximum(sizes, mine)))
+        if not len(fit) or not mine:
+            return out
+        self.marked[self._of(x)] = True
+        picked = sizes[fit]
+        begin = np.cumsum(picked) - picked
+        at = np.repeat(self.ends[others[fit]] - picked - begin, picked) + np.arange(int(picked.sum()))
+        common = np.add.reduceat(self.marked[self.numbers[at]], begin, dtype=np.int64)
+        self.marked[self._of(x)] = False
+        out[fit] = 100 * common >= 75 * (picked + mine - common)
+        return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -135,12 +132,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")).withColumnRenamed("digest", "_d"), "classes")
     heads = usable.join(classes, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("_d"))).select("node", "n_shingles", "bands").dropDuplicates(["node", "n_shingles", "bands"])
     keys = heads.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("info"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).filter("_low <> _high").select(F.col("key").alias("_k"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"))
     buckets = written(keys.join(written(shared, "shared"), F.col("key") == F.col("_k"), "left_semi"), "buckets")
     nodes = written(buckets.select("node").distinct(), "nodes")
     texts = written(docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
     enough = lambda m, n: 100 * F.least(m, n) >= 75 * F.greatest(m, n)  # noqa: E731  sizes that allow a link
-    found = linked_components(buckets, enough, lambda pairs: confirm(pairs, texts))
+    found = linked_components(buckets, texts, enough, ShingleSets)
     label = written(found.select(F.col("node").alias("_n"), "component"), "label")
     member = rows.join(classes, F.col("digest") == F.col("_d"), "left").drop("_d", "bands")
     out = member.join(label, F.col("node") == F.col("_n"), "left")
