@@ -73,12 +73,13 @@ def blocks(data: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def word_hashes(
-    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = ALNUM, lower: bool = True, stems: tuple[int, ...] = ()
+    data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = ALNUM, lower: bool = True, stems: tuple[int, ...] = (), table: np.ndarray | None = None
 ) -> tuple[np.ndarray, ...]:
     """Hashes of all words in order, and the n + 1 offsets of the texts in them.
 
-    For each of ``stems``, hashes of the words' first so many bytes follow; 0 where a word is no longer than that.
+    ``table`` replaces each byte before hashing, in place of lower-casing. For each of ``stems``, hashes of the words' first so many bytes follow; 0 where a word is no longer than that.
     """
+    table = table if table is not None else LOWER if lower else None
     hashes, begins = [], []
     short: list[list[np.ndarray]] = [[] for _ in stems]
     edge = np.zeros(len(data) + 1, bool)
@@ -96,7 +97,7 @@ def word_hashes(
         end = np.flatnonzero(inside & (~after | edge[at + 1 : to + 1])) + 1
         total = np.zeros(len(piece) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            values = ((LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)) * _power("up", len(piece))[: len(piece)]
+            values = ((piece if table is None else table[piece]).astype(np.uint64) + np.uint64(1)) * _power("up", len(piece))[: len(piece)]
             np.cumsum(values, out=total[1:])
             h = (total[end] - total[begin]) * _power("down", len(piece) + 1)[begin]
             h += (end - begin).astype(np.uint64) << np.uint64(48)
@@ -112,6 +113,19 @@ def word_hashes(
     return np.concatenate(hashes), bounds, *(np.concatenate(own) for own in short)
 
 
+def sequence_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """128 bits (two columns) for the words of each text in order, from prefix sums as for words."""
+    n = len(words)
+    out = np.zeros((len(bounds) - 1, 2), np.uint64)
+    with np.errstate(over="ignore"):
+        for k, salt in enumerate((0x1F0D3804, 0x7A5BE915)):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(words + np.uint64(salt)) * _power("up", n + 1)[:n], out=total[1:])
+            h = (total[bounds[1:]] - total[bounds[:-1]]) * _power("down", n + 1)[bounds[:-1]]
+            out[:, k] = mix(h + np.diff(bounds).astype(np.uint64))
+    return out
+
+
 def grams(words: np.ndarray, bounds: np.ndarray, steps: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words at ``i + s`` for each step s, never across texts, and the row of each."""
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

@@ -70,13 +70,23 @@ def test_components(spark, seed):
     assert all(got[n] == want[n] for n in got) and all(n in got for a, b in links if a != b for n in (a, b))
 
 
-def test_linked_components_lose_no_link(spark):
-    """One key holds all nodes, and links are between near numbers only, so no single pivot sees them."""
-    rng = random.Random(2)
-    nodes = sorted(rng.sample(range(2000), 120))
+def test_linked_components_lose_no_link(spark, monkeypatch):
+    """One key holds all nodes, and links are between near numbers only, so no single pivot sees them; blocks are small."""
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+
+    class Close:
+        """Texts are numbers; those at most 12 apart are linked."""
+
+        def __init__(self, texts):
+            self.numbers = np.array([int(t.as_py()) for t in texts])
+
+        def links(self, x, others):
+            return abs(self.numbers[others] - self.numbers[x]) <= 12
+
+    nodes = sorted(random.Random(2).sample(range(2000), 120))
     buckets = spark.createDataFrame([(1, n, n) for n in nodes] + [(2, n, n) for n in nodes[:30]], "key long, node long, info long")
-    link = lambda a, b: F.abs(a - b) <= 12
-    found = linkage.linked_components(written(buckets), lambda a, b: F.lit(True), lambda pairs: pairs.filter(link(F.col("a"), F.col("b"))))
+    texts = spark.createDataFrame([(n, str(n)) for n in nodes], "node long, text string")
+    found = linkage.linked_components(written(buckets), texts, lambda a, b: F.lit(True), Close)
     got = {r["node"]: r["component"] for r in found.collect()}
     want = _components(nodes, [(a, b) for a in nodes for b in nodes if a < b <= a + 12])
     assert all(got.get(n, n) == want[n] for n in nodes)
@@ -142,7 +152,7 @@ def _plain_dedup(rows, p):
     places = {}
     for doc, text in rows:
         for k, line in enumerate(text.split("\n")):
-            words = re.sub(r"\d", "0", re.sub(r"[\W_]+", " ", line.lower())).strip()
+            words = " ".join(re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), line))))
             if len(words.split(" ")) >= p.min_words:
                 places.setdefault(words, []).append((doc, k))
     kinds = list(places)
@@ -150,7 +160,7 @@ def _plain_dedup(rows, p):
 
     from linkfold.llm.common import text_buffer
 
-    marks = line_dedup.simhashes(*text_buffer(pa.array(kinds, pa.string()))).view(np.uint64)
+    marks = line_dedup.simhashes(*line_dedup.words_of(*text_buffer(pa.array(kinds, pa.string())))).view(np.uint64)
     links = []
     for i, a in enumerate(kinds):
         for j in range(i):
@@ -194,6 +204,20 @@ def test_line_dedup(docs, prose):
     assert line_dedup.deduplicated(docs([])).count() == 0
 
 
+def test_near_marks(spark, monkeypatch):
+    """All pairs within three bits are seen, also where a key is too large for one look."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 200)
+    flipped = base[:60] ^ (np.int64(1) << rng.integers(0, 62, 60)) ^ (np.int64(1) << rng.integers(0, 62, 60))
+    marks = np.concatenate([base, flipped, base[:3], np.arange(300)])
+    unsigned = marks.view(np.uint64)
+    want = {int(m) for k, m in enumerate(marks) if (np.bitwise_count(unsigned ^ unsigned[k]) <= 3).sum() > 1}
+    frame = written(spark.createDataFrame([(int(m),) for m in marks], "simhash long"))
+    for run in (2048, 4):
+        monkeypatch.setattr(line_dedup, "RUN", run)
+        assert {r["simhash"] for r in line_dedup.near_marks(frame).collect()} == want
+
+
 def test_line_dedup_of_repeated_rows(docs, prose):
     text = prose(40, 1, line=20)
     rows = line_dedup.deduplicated(docs([text, text, text], [1, 1, 2])).select("doc_id", "text").collect()
