@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicated(docs)
+    out = line_dedup.deduplicated(docs, line_dedup.ALL_LINES)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -78,7 +78,7 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.ALL_LINES)
 
 
 QUERIES = {
