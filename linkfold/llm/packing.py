@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,28 @@ def _encoding(path: str, pattern: str, special: tuple[tuple[str, int], ...]):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def _ids(text: str, own, path: str) -> np.ndarray:
+    try:
+        return own.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        # Its expressions give up on white space of about a million characters without a break; the other library does not.
+        return np.array(_library(str(Path(path).with_suffix(".json"))).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def pieces(
     docs: DataFrame, path: str, pattern: str, special: dict[str, int], end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, piece, start, length and ids of every piece; only documents over ``capacity`` are cut, the first piece short.
 
-    ``path`` is the vocabulary's rank file on every machine; its ids are those of the merge list it was made from.
+    ``path`` is the vocabulary's rank file on every machine; its ids are those of the merge list it was made from,
+    which lies beside it as JSON and takes the texts that the rank file's library cannot.
     """
     specials = tuple(sorted(special.items()))
 
@@ -59,8 +76,7 @@ def pieces(
             for a, b in row_groups(sizes, 4_000_000):
                 source, number, start, length, blob = [], [], [], [], []
                 for k in range(a, b):
-                    ids = own.encode_to_numpy(column[k].as_py() or "", allowed_special="all")
-                    ids = np.append(ids, end_id).astype("<u4")
+                    ids = np.append(_ids(column[k].as_py() or "", own, path), end_id).astype("<u4")
                     n, at, j = len(ids), 0, 0
                     while at < n:
                         to = at + (capacity if at else (n - 1) % capacity + 1)
