@@ -1,11 +1,11 @@
-"""Best-fit packing by a configuration linear program over the histogram of lengths.
+"""Best-fit packing by a priced greedy over the histogram of lengths.
 
-A configuration is a multiset of lengths that fit into one sequence. The program covers every length's
-count with as few configurations as it can. Multiplicative weights price the lengths, knapsack dynamic
-programming finds for every length the most valuable configuration that holds it, and each round covers a
-part of what is left. Configurations are rounded down to whole numbers, and what rounding leaves is packed
-best-fit, longest first. All of this sees the histogram only, whose size is the sequence length, so it runs
-on the driver; pieces find their places by their rank among the pieces of their length.
+A configuration is a multiset of lengths that fit into one sequence. Lengths have prices, set by hand and
+raised a little each round for those that lag behind; knapsack dynamic programming finds for every length the
+most valuable configuration that holds it, and each round covers a part of what is left. No linear program is
+solved and no bound computed. Configurations are rounded down to whole numbers, and what rounding leaves is
+packed best-fit, longest first. All of this sees the histogram only, whose size is the sequence length, so it
+runs on the driver; pieces find their places by their rank among the pieces of their length.
 
 Null texts count as empty: one piece that holds the end token alone. Repeated rows, also with equal ids, are
 packed each on its own. Extra columns are not read. An empty table gives no pieces.
@@ -95,7 +95,7 @@ def pieces(
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-# --- the program --------------------------------------------------------------------------
+# --- the plan ------------------------------------------------------------------------------
 
 
 def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def _fill(last: np.ndarray, room: int) -> list[int]:
 
 
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The best of a few runs of the program, by the number of sequences."""
+    """The best of a few runs of the greedy, by the number of sequences."""
     runs = [covered(counts, capacity, bonus=b) for b in (0.05, 0.2, 1.0)]
     return min(runs, key=lambda plan: sum(many for _, many in plan))
 
