@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from linkfold.llm import bpe, chat, line_dedup, minhash, oracles, packing, quality, rules, token_counts, topk, toxicity
+from linkfold.llm import bpe, chat, decontamination, filter_audit, line_dedup, minhash, oracles, packing, quality, rules
+from linkfold.llm import token_counts, topk, toxicity, whitening
 from linkfold.llm.common import fold, table, written
 
 
@@ -81,6 +82,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.ALL_LINES)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64.0, shift=1_000_000, components=16)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("letter")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,12 +107,17 @@ QUERIES = {
         op8_best_fit_packing,
         op9_minmax_near_dedup,
         op10_line_dedup,
+        op11_whitening,
+        op12_decontamination,
+        op13_filter_audit,
     )
 }
-#: Trained models, tokenizers' ids, packing and edit similarity have no SQL; tests hold them against plain versions.
+#: Trained models, tokenizers' ids, packing, edit similarity and eigenvectors have no SQL; tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op3_quality_rules": oracles.OP3,
     "op5_chat_format": oracles.OP5,
     "op6_exact_topk": oracles.OP6,
     "op9_minmax_near_dedup": oracles.OP9,
+    "op12_decontamination": oracles.OP12,
+    "op13_filter_audit": oracles.OP13,
 }
