@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from linkfold.session import BROADCAST_ROWS
+from linkfold.session import BROADCAST_BYTES
 
 # Cells that stand for "no reference".
 NULL_SENTINELS = ("null", "0", "")
@@ -333,9 +333,9 @@ class Catalog:
 
 
 def bounded(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """Frame of catalog entries, hinted for broadcast while it is within the size bound."""
+    """Frame of catalog entries, hinted for broadcast while their text is within the size bound."""
     frame = spark.createDataFrame(rows, schema)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if sum(len(repr(row)) for row in rows) <= BROADCAST_BYTES else frame
 
 
 def _document(source: str | Mapping) -> Mapping:

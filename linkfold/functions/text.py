@@ -186,29 +186,31 @@ def token_spans(line: Column) -> Column:
 # --- integer lists ---------------------------------------------------------
 
 
-def expand_signed_ranges(cells: Column) -> Column:
-    """``[4, 9, -12, 20]`` to ``[4, 9, 10, 11, 12, 20]``; a negative closes the range opened before it.
+def signed_spans(cells: Column) -> Column:
+    """``[4, 9, -12, 20]`` to ``[(4, 4), (9, 12), (20, 20)]`` as ``array<struct<first, last>>``.
 
-    Non-integers are ignored; a range may run downwards. A negative value that follows a closed
-    range stands for itself. Lists in which every negative follows a non-negative take one linear
-    pass; only the others are folded value by value.
+    A negative closes the range opened before it; a range may run downwards. Non-integers are ignored. A negative
+    value that follows a closed range stands for itself. Lists in which every negative follows a non-negative take
+    one linear pass; only the others are folded value by value.
     """
     numbers = F.filter(F.transform(cells, integer), lambda v: v.isNotNull())
 
-    def expanded(values: Column) -> Column:
+    def spans(values: Column) -> Column:
         loose = F.filter(values, lambda v, i: (v < 0) & ((i == 0) | (F.get(values, i - 1) < 0)))
 
         def span(value: Column, i: Column) -> Column:
             following = F.get(values, i + 1)
-            return (
-                F.when(value < 0, F.array().cast("array<bigint>"))
-                .when(following < 0, _sequence(value, F.abs(following)))
-                .otherwise(F.array(value))
-            )
+            return F.when(value >= 0, _span(value, F.when(following < 0, F.abs(following)).otherwise(value)))
+
+        linear = F.filter(F.transform(values, span), lambda s: s.isNotNull())
+        return F.when(F.size(loose) == 0, linear).otherwise(_folded_spans(values))
 
-        return F.when(F.size(loose) == 0, F.flatten(F.transform(values, span))).otherwise(_folded_ranges(values))
+    return bind(numbers, spans)
 
-    return bind(numbers, expanded)
+
+def expand_signed_ranges(cells: Column) -> Column:
+    """``[4, 9, -12, 20]`` to ``[4, 9, 10, 11, 12, 20]``, for short lists: see ``signed_spans`` for those of any length."""
+    return F.flatten(F.transform(signed_spans(cells), lambda s: _sequence(s["first"], s["last"])))
 
 
 def bind(value: Column, body) -> Column:
@@ -220,23 +222,24 @@ def _sequence(first: Column, last: Column) -> Column:
     return F.sequence(first, last, F.when(first <= last, F.lit(1)).otherwise(F.lit(-1)))
 
 
-def _folded_ranges(values: Column) -> Column:
-    state = "struct<out:array<bigint>,open:bigint>"
-    empty = F.struct(
-        F.array().cast("array<bigint>").alias("out"), F.lit(None).cast("bigint").alias("open")
-    ).cast(state)
+def _span(first: Column, last: Column) -> Column:
+    return F.struct(first.alias("first"), last.alias("last"))
+
+
+def _folded_spans(values: Column) -> Column:
+    state = "struct<out:array<struct<first:bigint,last:bigint>>,open:bigint>"
+    empty = F.struct(F.array().alias("out"), F.lit(None).alias("open")).cast(state)
 
     def step(acc: Column, value: Column) -> Column:
         open_, out = acc["open"], acc["out"]
         closes = open_.isNotNull() & (value < 0)
-        ranged = F.concat(out, _sequence(open_, F.abs(value)))
-        flushed = F.when(open_.isNull(), out).otherwise(F.concat(out, F.array(open_)))
+        flushed = F.when(open_.isNull(), out).otherwise(F.concat(out, F.array(_span(open_, open_))))
         return F.struct(
-            F.when(closes, ranged).otherwise(flushed).alias("out"),
+            F.when(closes, F.concat(out, F.array(_span(open_, F.abs(value))))).otherwise(flushed).alias("out"),
             F.when(closes, F.lit(None).cast("bigint")).otherwise(value).alias("open"),
         ).cast(state)
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
+        return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_span(acc["open"], acc["open"]))))
 
     return F.aggregate(values, empty, step, finish)

@@ -7,10 +7,11 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from linkfold.functions import text
-from linkfold.functions.ordinals import with_global_ordinal, with_ordinal
+from linkfold.functions.ordinals import with_global_ordinal, with_sorted_ordinal
+from linkfold.session import durable
 
 # --- filters ---------------------------------------------------------------
 
@@ -230,7 +231,7 @@ def downsample(
     """
     limit = min(limit, 80) if chart == "bar" else limit
     points = df.withColumn("y", _as_number(df, y_column, thousands=True)).filter("y is not null")
-    ranked = with_ordinal(points, keys, position, "_rank", ties)
+    ranked = with_sorted_ordinal(points, keys, [position, *ties], "_rank")
     if limit <= 1:
         return ranked.withColumn("point", F.col("_rank") - 1).drop("_rank")
     totals = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
@@ -295,17 +296,22 @@ def numeric_columns(df: DataFrame, columns: Sequence[str], rule: str = "explorer
     return out.withColumn("is_numeric", verdict)
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+#: The sketch's ranks are off by at most 1 / ACCURACY of the rows; brackets are ``MARGIN`` times as wide at first.
+ACCURACY = 10_000
+MARGIN = 3
+
+
 def describe_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column.
 
-    ``exact`` quartiles keep every distinct value of a group in memory; ``exact=False`` uses the
-    mergeable sketch and is the one to use on large groups.
+    Quartiles are exact, interpolated between the two values at their place. ``exact=False`` takes the mergeable
+    sketch's values instead and reads the rows once.
     """
-    quartiles = [0.25, 0.5, 0.75]
+    keys = list(keys)
     aggregates = []
     for i, name in enumerate(columns):
         v = _as_number(df, name, thousands=True)
-        cuts = F.percentile(v, quartiles) if exact else F.percentile_approx(v, quartiles, 10_000)
         aggregates += [
             F.struct(
                 F.lit(name).alias("column"),
@@ -313,14 +319,81 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
                 F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"),
                 F.min(v).alias("min"),
-                F.get(cuts, F.lit(0)).alias("q25"),
-                F.get(cuts, F.lit(1)).alias("q50"),
-                F.get(cuts, F.lit(2)).alias("q75"),
                 F.max(v).alias("max"),
+                _around(v, MARGIN).alias("_cuts"),
             ).alias(f"_c{i}")
         ]
     grouped = df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
-    return grouped.select(*keys, F.inline(F.array(*[F.col(f"_c{i}") for i in range(len(columns))])))
+    stats = grouped.select(*keys, F.inline(F.array(*[F.col(f"_c{i}") for i in range(len(columns))])))
+    names = [f"q{int(100 * q)}" for q in QUARTILES]
+    out = [*keys, "column", "count", "mean", "std", "min", *names, "max"]
+    if not exact:
+        return stats.withColumns({n: F.get("_cuts", F.lit(3 * i + 1)) for i, n in enumerate(names)}).select(*out)
+    stats = durable(stats)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _as_number(df, c, thousands=True).alias("v")) for c in columns])
+    values = df.select(*keys, F.inline(cells)).filter("v is not null")
+    found = durable(_quartiles(values, stats, keys, MARGIN))
+    margin = MARGIN
+    # A rank outside its bracket: the sketch promises that there is none, the counts make sure of it.
+    while (lost := found.filter("not settled").select(*keys, "column").distinct()).limit(1).count():
+        margin *= 32
+        same = _same([*keys, "column"], lost, "_l")
+        again = values.join(same[0], same[1], "left_semi")
+        wider = again.groupBy(*keys, "column").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), _around(F.col("v"), margin).alias("_cuts"))
+        found = durable(found.filter("settled").unionByName(_quartiles(again, durable(wider), keys, margin)))
+    picked = found.groupBy(*keys, "column").agg(*[F.max(F.when(F.col("_q") == i, F.col("value"))).alias(n) for i, n in enumerate(names)])
+    right, on = _same([*keys, "column"], picked, "_p")
+    return stats.join(right, on, "left").select(*out)
+
+
+def _around(v: Column, margin: int) -> Column:
+    """For each quartile the sketch's values below, at and above its rank; at the ends of the ranks the extremes."""
+    wide = margin / ACCURACY
+    return F.percentile_approx(v, [min(max(q + d, 0.0), 1.0) for q in QUARTILES for d in (-wide, 0.0, wide)], ACCURACY)
+
+
+def _same(names: Sequence[str], right: DataFrame, mark: str) -> tuple[DataFrame, Column]:
+    """``right`` with its columns ``names`` renamed, and the null-safe condition that they equal the left ones."""
+    renamed = right.withColumnsRenamed({n: f"{mark}{i}" for i, n in enumerate(names)})
+    return renamed, functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{mark}{i}")) for i, n in enumerate(names)])
+
+
+def _quartiles(values: DataFrame, stats: DataFrame, keys: list[str], margin: int) -> DataFrame:
+    """``keys, column, _q, value, settled`` by counting below each quartile's bracket and ranking what lies inside.
+
+    Inside are a few rows in ten thousand, equal values counted together, so ranks are running sums over those; all
+    other values only add to a count. A quartile is settled if the bracket holds the ranks on both sides of its place.
+    """
+    group = [*keys, "column"]
+    place = F.array(*[F.lit(q) * (F.col("count") - 1) for q in QUARTILES])
+    wide = margin / ACCURACY
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("_q"),
+                (F.get("_cuts", F.lit(3 * i)) if q > wide else F.col("min")).alias("low"),
+                (F.get("_cuts", F.lit(3 * i + 2)) if q + wide < 1 else F.col("max")).alias("high"),
+                F.get(place, F.lit(i)).alias("place"),
+            )
+            for i, q in enumerate(QUARTILES)
+        ]
+    )
+    asked = durable(stats.filter("count > 0").select(*group, F.inline(brackets)))
+    told, on = _same(group, asked.groupBy(*group).agg(F.collect_list(F.struct("_q", "low", "high")).alias("_b")), "_a")
+    met = values.join(told, on).select(*group, "v", F.explode(F.filter("_b", lambda b: F.col("v") <= b["high"])).alias("b"))
+    # What lies below a bracket is one row with no value.
+    inside = F.when(F.col("v") >= F.col("b.low"), F.col("v"))
+    counts = met.groupBy(*group, F.col("b._q").alias("_q"), inside.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group, "_q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    right, on = _same([*group, "_q"], asked.select(*group, "_q", "place"), "_b")
+    ranked = counts.withColumn("upto", upto).join(right, on)
+    low, high = F.floor("place"), F.ceil("place")
+    at = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank) & F.col("v").isNotNull()
+    sides = ranked.groupBy(*group, "_q").agg(F.max(F.when(at(low), F.col("v"))).alias("a"), F.max(F.when(at(high), F.col("v"))).alias("b"), F.first("place").alias("place"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b"))
+    # A quartile with no row at all lies outside too.
+    right, on = _same([*group, "_q"], sides, "_s")
+    return asked.select(*group, "_q").join(right, on, "left").select(*group, "_q", value.alias("value"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("settled"))
 
 
 def id_range(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

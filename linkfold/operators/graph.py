@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame, functions as F
 
 from linkfold.functions import text
-from linkfold.functions.ordinals import with_ordinal
+from linkfold.functions.ordinals import with_ids_between, with_sorted_ordinal
 from linkfold.session import durable
 
 # Object type, its connect file and its data file.
@@ -99,13 +100,19 @@ def routing_edges(connects: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of plain steps before links are doubled: shallow graphs never need doubled ones.
+PLAIN_ROUNDS = 2
+
+
 def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """All nodes reachable from the seeds, seeds included, for all datasets at once.
 
-    Each round goes ``hops`` steps further in one job: parallel edges are dropped up front, a step
-    joins only newly reached nodes and ends in a distinct with map-side combine, so a node with
-    very many edges costs no single task more than its share. Rounds are written to the shared folder; the loop
-    ends when a round finds nothing new, which also makes it safe on cycles.
+    The first rounds go ``hops`` steps each. Where more is left, links are doubled: nodes with a single way on
+    are joined with themselves, so after k rounds a link leads 2**k nodes down, or to the end of the single way, and
+    a stretch of n such nodes is met in about log2(n) rounds instead of n. A node has one doubled link of each length at most, so no round
+    makes more links than there are nodes; where ways part, plain steps go on. Every link, plain or doubled, of a
+    reached node is followed once. Rounds are written to the shared folder; the loop ends when every reached node was
+    followed and nothing new came, also on cycles.
     """
     links = durable(
         edges.select(
@@ -119,16 +126,27 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> Dat
         .distinct()
     )
     visited = durable(seeds.select(*NODE).distinct())
-    frontier = visited
+    frontier, ways, jumps, left = visited, [links], None, 0
     for round_ in itertools.count():
-        reached = step = frontier
-        for _ in range(hops):
-            step = (
-                step.join(links, NODE)
-                .select("dataset_id", F.col("_typ").alias("typ"), F.col("_id").alias("id"))
-                .distinct()
-            )
-            reached = reached.union(step)
+        if round_ < PLAIN_ROUNDS:
+            reached = step = frontier
+            for _ in range(hops):
+                step = _step(step, links)
+                reached = reached.union(step)
+        else:
+            # New nodes take all ways known, old ones the new way.
+            reached = _step(frontier, functools.reduce(DataFrame.union, ways))
+            if jumps is None:
+                jumps = _single_ways(links)
+                left = jumps.count().bit_length()  # on a cycle every link can be doubled; more than this are of no use
+            if left:
+                jumps, left = _doubled(jumps), left - 1
+                further = jumps.filter("_moved").select(*links.columns)
+                if further.isEmpty():
+                    left = 0
+                else:
+                    ways.append(further)
+                    reached = reached.union(_step(visited, further))
         frontier = durable(reached.distinct().join(visited, NODE, "left_anti"))
         if frontier.isEmpty():
             return visited
@@ -138,14 +156,31 @@ def downstream_closure(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> Dat
             visited = durable(visited)
 
 
+def _step(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return nodes.join(links, NODE).select("dataset_id", F.col("_typ").alias("typ"), F.col("_id").alias("id")).distinct()
+
+
+def _single_ways(links: DataFrame) -> DataFrame:
+    """Links of the nodes that have one only."""
+    one = links.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_typ", "_id")).alias("_to")).filter("_n = 1")
+    return durable(one.select(*NODE, "_to._typ", "_to._id"))
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Links twice as far, or to where the single way ends; ``_moved`` tells which lead further than before."""
+    on = jumps.select("dataset_id", F.col("typ").alias("_typ"), F.col("id").alias("_id"), F.col("_typ").alias("_typ2"), F.col("_id").alias("_id2"))
+    met = jumps.select(*NODE, "_typ", "_id").join(on, ["dataset_id", "_typ", "_id"], "left")
+    return durable(met.select(*NODE, F.coalesce("_typ2", "_typ").alias("_typ"), F.coalesce("_id2", "_id").alias("_id"), F.col("_id2").isNotNull().alias("_moved")))
+
+
 def id_maps(kept: DataFrame) -> DataFrame:
     """Dense new ids per dataset and type in the order of the old ids: ``..., id, new_id``."""
-    return with_ordinal(kept.select(*NODE).distinct(), ["dataset_id", "typ"], "id", "new_id")
+    return with_sorted_ordinal(kept.select(*NODE).distinct(), ["dataset_id", "typ"], ["id"], "new_id")
 
 
 def renumber_dense(df: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:
     """Rank of each distinct id among the distinct ids of its group, as ``new_id``."""
-    ids = with_ordinal(df.select(*keys, id_column).distinct(), keys, id_column, "new_id")
+    ids = with_sorted_ordinal(df.select(*keys, id_column).distinct(), keys, [id_column], "new_id")
     return df.join(ids, [*keys, id_column])
 
 
@@ -163,20 +198,21 @@ def remap_targets(targets: DataFrame, maps: DataFrame, keys: Sequence[str]) -> D
 def routing_units_of(elements: DataFrame, definitions: DataFrame, selected: DataFrame, typ: str = "hru") -> DataFrame:
     """Units whose element list holds an element of a selected object.
 
-    ``elements``: ``dataset_id, elem_id, obj_typ, obj_id``; ``definitions``:
-    ``dataset_id, unit_id, elements array<bigint>``; ``selected``: ``dataset_id, id``.
+    ``elements``: ``dataset_id, elem_id, obj_typ, obj_id``; ``definitions``: ``dataset_id, unit_id, spans`` with
+    ``spans`` as ``text.signed_spans`` gives them; ``selected``: ``dataset_id, id``. A span is not written out: the
+    chosen elements inside are counted from its ends.
     """
     chosen = (
         elements.filter(F.col("obj_typ") == typ)
         .join(selected.select("dataset_id", F.col("id").alias("obj_id")), ["dataset_id", "obj_id"], "left_semi")
         .select("dataset_id", "elem_id")
-    )
-    return (
-        definitions.select("dataset_id", "unit_id", F.explode("elements").alias("elem_id"))
-        .join(chosen, ["dataset_id", "elem_id"], "left_semi")
-        .select("dataset_id", "unit_id")
         .distinct()
     )
+    spans = definitions.select("dataset_id", "unit_id", F.inline("spans")).select(
+        "dataset_id", "unit_id", F.least("first", "last").alias("low"), F.greatest("first", "last").alias("high")
+    )
+    placed, _ = with_ids_between(spans, chosen, ["dataset_id"], "elem_id", "low", "high")
+    return placed.filter("n_ids > 0").select("dataset_id", "unit_id").distinct()
 
 
 def retained_counts(kept: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkfold.functions import text
+from linkfold.functions.ordinals import with_sorted_ordinal
 from linkfold.session import durable
 
 
@@ -56,9 +57,11 @@ def unresolved_by(counted: DataFrame, table: str, column: str, k: int | None = N
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int | None = None) -> DataFrame:
-    """Rows ranked per key, all or the first ``k``; Spark cuts each task's rows to ``k`` before the shuffle."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+    """Rows ranked per key: the first ``k``, which every task cuts before the shuffle, or all, by one sort over ranges."""
+    if k is None:
+        return with_sorted_ordinal(df, keys, order, "rank")
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def outbound_counts(refs: DataFrame) -> DataFrame:
@@ -108,24 +111,25 @@ def issue_counts_by_kind(issues: DataFrame) -> DataFrame:
     return issues.groupBy("dataset_id", "kind").agg(F.count(F.lit(1)).alias("issues"))
 
 
-def missing_file_summary(missing: DataFrame, file_column: str, k: int | None = None) -> DataFrame:
-    """One line per dataset: total, the most frequent missing files, and how many more there are."""
-    counts = missing.groupBy("dataset_id", F.col(file_column).alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy("dataset_id").agg(
-        F.sum("_n").alias("total"), F.count(F.lit(1)).alias("distinct_files")
-    )
+def missing_file_counts(missing: DataFrame, file_column: str) -> DataFrame:
+    """How often each missing file is referred to: ``dataset_id, file, refs``."""
+    return missing.groupBy("dataset_id", F.col(file_column).alias("file")).agg(F.count(F.lit(1)).alias("refs"))
+
+
+def missing_file_summary(missing: DataFrame, file_column: str, k: int = 5) -> DataFrame:
+    """A line of text per dataset for display: total, the ``k`` most frequent missing files, and how many more there are.
+
+    ``missing_file_counts`` has all of them as rows.
+    """
+    counts = missing_file_counts(missing, file_column)
+    totals = counts.groupBy("dataset_id").agg(F.sum("refs").alias("total"), F.count(F.lit(1)).alias("distinct_files"))
     heads = (
-        top_k(counts, ["dataset_id"], [F.desc("_n"), F.asc("_file")], k)
-        .withColumn(
-            "_text",
-            F.format_string('"%s" (%d ref%s)', "_file", "_n", F.when(F.col("_n") == 1, "").otherwise("s")),
-        )
+        top_k(counts, ["dataset_id"], [F.desc("refs"), F.asc("file")], k)
+        .withColumn("_text", F.format_string('"%s" (%d ref%s)', "file", "refs", F.when(F.col("refs") == 1, "").otherwise("s")))
         .groupBy("dataset_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_heads"))
     )
-    more = F.lit("")
-    if k is not None:
-        more = F.when(F.col("distinct_files") > k, F.format_string(" +%d more", F.col("distinct_files") - k)).otherwise("")
+    more = F.when(F.col("distinct_files") > k, F.format_string(" +%d more", F.col("distinct_files") - k)).otherwise("")
     return totals.join(heads, "dataset_id").select(
         "dataset_id",
         "total",
@@ -159,6 +163,7 @@ def preflight_report(
     totals = stats
     for frame in (pointer_total, table_total, issue_total, orphan_total):
         totals = totals.join(frame, "dataset_id", "left")
+    # Labels, headings and table heads of the report.
     labels = [
         ("Tables indexed", "table_count"),
         ("Rows indexed", "row_count"),

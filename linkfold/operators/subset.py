@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkfold.functions import text
-from linkfold.functions.ordinals import with_ordinal
+from linkfold.functions.ordinals import explode_upto, with_ids_between, with_ordinal, with_sorted_ordinal
 from linkfold.operators import graph
 
 FILE = ["dataset_id", "file_name"]
@@ -133,7 +133,7 @@ def header_positions(lines: DataFrame, name: str, wanted: dict[str, tuple[tuple[
 
 def map_ids(ids: DataFrame) -> DataFrame:
     """``dataset_id, id`` to dense ``new_id`` in id order."""
-    return with_ordinal(ids.select("dataset_id", "id").distinct(), ["dataset_id"], "id", "new_id")
+    return with_sorted_ordinal(ids.select("dataset_id", "id").distinct(), ["dataset_id"], ["id"], "new_id")
 
 
 # --- connect and data files ------------------------------------------------------
@@ -334,14 +334,12 @@ def element_table(
 
 
 def definition_members(lines: DataFrame, name: str, total_at: int, heads: int) -> DataFrame:
-    """Definitions with their element lists expanded: ``..., line_no, tokens, id, elements``."""
+    """Definitions with their element lists as spans: ``..., line_no, tokens, id, spans``."""
     rows = _body(lines, name, heads).withColumn("id", text.integer(F.get("tokens", F.lit(0)))).withColumn(
         "total", text.integer(F.get("tokens", F.lit(total_at)))
     )
     listed = F.slice("tokens", F.lit(total_at + 2), F.greatest("total", F.lit(0)).cast("int"))
-    return rows.filter("id is not null and total is not null").withColumn(
-        "elements", text.expand_signed_ranges(listed)
-    )
+    return rows.filter("id is not null and total is not null").withColumn("spans", text.signed_spans(listed))
 
 
 def definition_table(
@@ -356,20 +354,22 @@ def definition_table(
 ) -> tuple[DataFrame, DataFrame]:
     """Definition file with renumbered elements: ``(lines, id map)``.
 
-    Element lists are expanded, mapped and counted again. Definitions left without elements go, and
-    the others are numbered in file order; with ``kept`` (``dataset_id, id, new_id``) exactly those
-    definitions stay, under their new ids, empty or not. ``count_line`` writes the number of rows
+    The elements inside the lists' spans are looked up, mapped and counted again; a span costs what it finds, however
+    wide it is. Definitions left without elements go, and the others are numbered in file order; with ``kept``
+    (``dataset_id, id, new_id``) exactly those definitions stay, under their new ids, empty or not. ``count_line`` writes the number of rows
     above the header.
     """
     rows = definition_members(lines, name, total_at, heads)
+    spans = rows.select(*FILE, "line_no", F.posexplode("spans").alias("nth", "s")).select(
+        *FILE, "line_no", "nth", (F.col("s.first") > F.col("s.last")).alias("down"), F.least("s.first", "s.last").alias("low"), F.greatest("s.first", "s.last").alias("high")
+    )
+    placed, ranked = with_ids_between(spans, elements.select("dataset_id", "id", F.col("new_id").alias("new_elem")), ["dataset_id"], "id", "low", "high")
+    members = explode_upto(placed, F.col("n_ids"), "_k").withColumn("rank", F.col("first_rank") + F.col("_k") - 1)
+    place = F.when(F.col("down"), -F.col("rank")).otherwise(F.col("rank"))
     mapped = (
-        rows.select(*FILE, "line_no", F.posexplode("elements").alias("nth", "elem"))
-        .join(
-            elements.select("dataset_id", F.col("id").alias("elem"), F.col("new_id").alias("new_elem")),
-            ["dataset_id", "elem"],
-        )
+        members.join(ranked.select("dataset_id", "rank", "new_elem"), ["dataset_id", "rank"])
         .groupBy(*FILE, "line_no")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "new_elem"))).alias("_e"))
+        .agg(F.array_sort(F.collect_list(F.struct("nth", place.alias("place"), "new_elem"))).alias("_e"))
     )
     joined = rows.join(mapped, [*FILE, "line_no"], "left" if kept is not None else "inner")
     if kept is not None:

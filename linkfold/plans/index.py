@@ -18,8 +18,8 @@ from linkfold.sources.tables import FILE
 class Index:
     """Frames of an indexed corpus.
 
-    Rows, children and references are written to the shared folder once, each when it is built, so
-    that checks and lookups do not parse the text again. The lines themselves are never copied.
+    The text is read once, into a line store. Rows, children and references are written to the shared folder
+    once, each when it is built, so that checks and lookups do not parse the text again.
     """
 
     catalog: Catalog
@@ -77,10 +77,12 @@ def index_lines(
     include_weather: bool = False,
     pointer_mode: str = "strict",
 ) -> Index:
-    """Index of given corpus lines and file inventory."""
-    entries = durable(
-        filelist.file_list_entries(lines.filter(F.lower("file_name") == filelist.FILE_LIST), catalog)
-    )
+    """Index of given corpus lines and file inventory; each reader takes the kinds of files it needs."""
+    def of(schema_file: str) -> DataFrame:
+        return line_source.of_kinds(lines, *_kinds(catalog, schema_file))
+
+    listed = line_source.of_kinds(lines, ".cio").filter(F.lower("file_name") == filelist.FILE_LIST)
+    entries = durable(filelist.file_list_entries(listed, catalog))
     bound = attached(filelist.bind_files(inventory, catalog, entries))
     tabular = bound.filter(
         (F.lower("file_name") != filelist.FILE_LIST) & ~F.col("file_name").endswith(".dtl")
@@ -92,15 +94,15 @@ def index_lines(
     only = lambda name: plain.filter(F.col("schema_file") == name)
     soils = records.soil_profiles(only("soils.sol"))
     schedules = only("management.sch")
-    dtl_rows, dtl_children = decisions.decision_tables(lines, decisions.decision_table_names(inventory, bound))
+    dtl_rows, dtl_children = decisions.decision_tables(line_source.of_kinds(lines, ".dtl"), decisions.decision_table_names(inventory, bound))
     dtl_children = durable(dtl_children)
-    operations = durable(records.management_ops(schedules, lines))
+    operations = durable(records.management_ops(schedules, of("management.sch")))
     children = durable(
-        records.soil_layers(soils, lines)
-        .unionByName(records.plant_members(only("plant.ini"), lines))
+        records.soil_layers(soils, of("soils.sol"))
+        .unionByName(records.plant_members(only("plant.ini"), of("plant.ini")))
         .unionByName(operations)
-        .unionByName(records.generator_months(only("weather-wgn.cli"), lines))
-        .unionByName(records.deposition_children(only("atmo.cli"), lines))
+        .unionByName(records.generator_months(only("weather-wgn.cli"), of("weather-wgn.cli")))
+        .unionByName(records.deposition_children(only("atmo.cli"), of("atmo.cli")))
         .unionByName(dtl_children)
     )
     list_rows = entries.select(
@@ -133,6 +135,12 @@ def index_lines(
     return Index(catalog, inventory, lines, bound, entries, rows, children, found, resolved)
 
 
+def _kinds(catalog: Catalog, schema_file: str) -> set[str]:
+    """Suffixes of the files that a schema file's table may be bound to."""
+    names = [schema_file, *(catalog.table_files.get(t.table_name) for t in catalog.tables if t.file_name == schema_file)]
+    return {"." + n.lower().rsplit(".", 1)[1] for n in names if n and "." in n}
+
+
 def weather_columns(catalog: Catalog) -> dict[str, tuple[str, ...]]:
     """Column names per weather file suffix, for the tables the catalog has."""
     known = {t.file_name: t for t in catalog.tables}
@@ -146,7 +154,7 @@ def weather_columns(catalog: Catalog) -> dict[str, tuple[str, ...]]:
 def _weather_rows(lines: DataFrame, catalog: Catalog, bound: DataFrame) -> DataFrame:
     """Station rows of weather data files that are no catalog tables themselves."""
     names = {suffix: catalog.table(WEATHER_TABLES[suffix]).table_name for suffix in weather_columns(catalog)}
-    loose = lines.join(bound.select(*FILE), FILE, "left_anti")
+    loose = line_source.of_kinds(lines, *WEATHER_TABLES).join(bound.select(*FILE), FILE, "left_anti")
     stations, _ = records.weather_series(loose, weather_columns(catalog))
     return stations.select(
         "dataset_id",

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from linkfold.functions import text
 from linkfold.functions.classify import category_filter, dir_categories, file_category, input_category
+from linkfold.functions.ordinals import with_global_ordinal, with_ordinal
 from linkfold.operators import explore, graph, refs, report
 from linkfold.operators.explore import Condition
 from linkfold.plans.corpus import STAR, line_of, load, star_keys, star_refs, star_rows
+from linkfold.session import durable
 from linkfold.sources.store import copy_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,7 +351,16 @@ def check_summary(spark, sf):
     missing = refs.unresolved_refs(_resolved(spark, sf)).withColumn(
         "file", F.concat_ws(":", "target_table", "fk_value")
     )
-    return report.missing_file_summary(missing, "file").drop("dataset_id")
+    return report.missing_file_summary(missing, "file", k=5).drop("dataset_id")
+
+
+@query(
+    "missing_file_counts",
+    f"WITH {_REFS} SELECT target_table || ':' || fk_value AS file, count(*) AS refs FROM resolved WHERE NOT ok GROUP BY 1",
+)
+def missing_file_counts(spark, sf):
+    missing = refs.unresolved_refs(_resolved(spark, sf)).withColumn("file", F.concat_ws(":", "target_table", "fk_value"))
+    return report.missing_file_counts(missing, "file").drop("dataset_id")
 
 
 # --- exploration -------------------------------------------------------------
@@ -615,6 +626,27 @@ def downstream_closure(spark, sf):
     return _closure(spark, sf).select("typ", "id")
 
 
+@query(
+    "chain_closure",
+    """SELECT 'rch' AS typ, k AS id FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k >= 100
+    UNION ALL SELECT 'out', 1""",
+)
+def chain_closure(spark, sf):
+    """All line items as one river, its upper part parted at every 10000th reach, followed from the 100th reach on."""
+    items = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    reaches = durable(with_global_ordinal(items, [F.col("l_orderkey"), F.col("l_linenumber")], "k").select((F.col("k") + 1).alias("k")))
+    last = reaches.agg(F.max("k").alias("last"))
+
+    def links(rows, typ, to):
+        return rows.select(F.lit("main").alias("dataset_id"), F.lit("rch").alias("src_typ"), F.col("k").alias("src_id"), F.lit(typ).alias("dst_typ"), to.cast("long").alias("dst_id"))
+
+    down = links(reaches.join(last, F.col("k") < F.col("last")), "rch", F.col("k") + 1)
+    side = links(reaches.join(last, F.col("k") + 500 < F.col("last")).filter("k % 10000 = 0 AND k <= 30000"), "rch", F.col("k") + 500)
+    out = links(last.select(F.col("last").alias("k")), "out", F.lit(1))
+    seeds = last.select(F.lit("main").alias("dataset_id"), F.lit("rch").alias("typ"), F.lit(100).cast("long").alias("id"))
+    return graph.downstream_closure(down.union(side).union(out), seeds).select("typ", "id")
+
+
 @query(
     "id_maps",
     f"""WITH RECURSIVE {_EDGES} SELECT typ, id, row_number() OVER (PARTITION BY typ ORDER BY id) AS new_id
@@ -661,13 +693,21 @@ def renumber_dense(spark, sf):
     return graph.renumber_dense(df, ["l_returnflag"], "l_orderkey")
 
 
+@query(
+    "renumber_hashed",
+    "SELECT l_returnflag, l_orderkey * 2654435761 % 4611686018427387847 * 1000003 % 9007199254740881 AS hashed, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 2654435761 % 4611686018427387847 * 1000003 % 9007199254740881)::BIGINT AS new_id FROM lineitem",
+)
+def renumber_hashed(spark, sf):
+    """Ids spread over 53 bits, no two near each other."""
+    hashed = F.expr("l_orderkey * 2654435761 % 4611686018427387847 * 1000003 % 9007199254740881").alias("hashed")
+    return graph.renumber_dense(load(spark, sf, "lineitem").select("l_returnflag", hashed), ["l_returnflag"], "hashed")
+
+
 @query(
     "renumber_in_file_order",
     "SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS new_id FROM orders",
 )
 def renumber_in_file_order(spark, sf):
-    from linkfold.functions.ordinals import with_ordinal
-
     df = load(spark, sf, "orders").select("o_orderstatus", "o_orderkey")
     return with_ordinal(df, ["o_orderstatus"], "o_orderkey", "new_id")
 
@@ -686,7 +726,7 @@ def routing_units_of(spark, sf):
         F.col("p_partkey").alias("obj_id"),
     )
     definitions = load(spark, sf, "lineitem").select(
-        F.lit("main").alias("dataset_id"), F.col("l_orderkey").alias("unit_id"), F.array("l_partkey").alias("elements")
+        F.lit("main").alias("dataset_id"), F.col("l_orderkey").alias("unit_id"), text.signed_spans(F.array(F.col("l_partkey").cast("string"))).alias("spans")
     )
     selected = parts.filter("p_size = 7").select(F.lit("main").alias("dataset_id"), F.col("p_partkey").alias("id"))
     return graph.routing_units_of(elements, definitions, selected, "part").select("unit_id")

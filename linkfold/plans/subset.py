@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from linkfold.functions import text
 from linkfold.operators import graph, subset
 from linkfold.session import attached, durable, scratch_path
-from linkfold.sources.store import NOT_COPIED
+from linkfold.sources.store import not_copied
 
 #: Files both kinds of subset rewrite whenever they exist.
 SHARED = ("ls_unit.ele", "ls_unit.def", "rout_unit.ele", "rout_unit.def", "object.cnt", "file.cio")
@@ -33,7 +33,7 @@ def staged(lines: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _copied(lines: DataFrame) -> DataFrame:
-    return lines.filter(~F.col("file_name").rlike(NOT_COPIED)).select("dataset_id", "file_name", "line_no", "raw")
+    return lines.filter(~not_copied(F.col("file_name"))).select("dataset_id", "file_name", "line_no", "raw")
 
 
 def _union(pieces: Sequence[DataFrame]) -> DataFrame:
@@ -82,7 +82,7 @@ def kept_objects(lines: DataFrame, selected: DataFrame) -> DataFrame:
         text.integer(F.get("_t", F.lit(3))).alias("obj_id"),
     )
     definitions = subset.definition_members(lines, "rout_unit.def", 2, 2).select(
-        "dataset_id", F.col("id").alias("unit_id"), "elements"
+        "dataset_id", F.col("id").alias("unit_id"), "spans"
     )
     units = graph.routing_units_of(elements, definitions, selected)
     seeds = selected.select("dataset_id", F.lit("hru").alias("typ"), "id").unionByName(

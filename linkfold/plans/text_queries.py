@@ -12,7 +12,7 @@ from linkfold.functions import text
 from linkfold.operators import checks, explore, graph, refs, subset
 from linkfold.plans import renderings as r, subset as subset_plan
 from linkfold.plans.corpus import load
-from linkfold.plans.star_queries import ACTIVE, query
+from linkfold.plans.star_queries import ACTIVE, ORACLES, query
 from linkfold.session import durable, scratch_path
 from linkfold.sources import decisions, filelist, lines as line_source, outputs, records, store, tables
 
@@ -819,14 +819,25 @@ def missing_listed_files(spark, sf):
       LEFT JOIN disk ON disk.dataset_id = d.dataset_id AND disk.file_name = a.actual""",
 )
 def expected_vs_actual(spark, sf):
-    plan = {"simulation": "time.sim print.prt", "climate": "pcp.cli - tmp.cli", "exco": "exco.exc"}
+    return _compared(spark, sf).withColumn("actual_file", F.coalesce("actual_file", F.lit("")))
+
+
+def _compared(spark, sf):
+    plan = {"simulation": ("time.sim", "print.prt"), "climate": ("pcp.cli", None, "tmp.cli"), "exco": ("exco.exc",)}
     # The customers' own files are the ones whose tables have rows.
     rows = load(spark, sf, "customer").select(
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("dataset_id"),
         F.concat(F.lit("g"), F.col("c_custkey").cast("string"), F.lit("_dat")).alias("table_name"),
     )
-    out = filelist.expected_vs_actual(_entries(spark, sf), _inventory(spark, sf), rows, Catalog(), plan)
-    return out.filter("expected_file <> '-'").withColumn("actual_file", F.coalesce("actual_file", F.lit("")))
+    return filelist.expected_vs_actual(_entries(spark, sf), _inventory(spark, sf), rows, Catalog(), plan)
+
+
+@query(
+    "indexed_counts",
+    f"""WITH x AS ({ORACLES["expected_vs_actual"]}) SELECT dataset_id, classification, count_if(is_indexed)::BIGINT AS indexed, count(*) AS expected FROM x GROUP BY ALL""",
+)
+def indexed_counts(spark, sf):
+    return filelist.indexed_counts(_compared(spark, sf))
 
 
 @query(
@@ -923,6 +934,22 @@ def subset_definitions(spark, sf):
     return _squeezed(lines).select("line_no", "raw")
 
 
+@query(
+    "subset_definitions_wide",
+    f"""WITH {_ROUTE_SQL}, g AS (SELECT (id - 1) // 10 + 1 AS unit, count(*) AS n, string_agg(new_id::VARCHAR, ' ' ORDER BY id) AS elems FROM sel GROUP BY 1),
+    m AS (SELECT row_number() OVER (ORDER BY unit) AS k, 'rtu' || unit AS name, n, elems FROM g
+      UNION ALL SELECT (SELECT count(*) FROM g) + 1, 'all', count(*), string_agg(new_id::VARCHAR, ' ' ORDER BY id) FROM sel
+      UNION ALL SELECT (SELECT count(*) FROM g) + 2, 'down', count(*), string_agg(new_id::VARCHAR, ' ' ORDER BY id DESC) FROM sel)
+    SELECT k + 2 AS line_no, concat_ws(' ', k, name, n, elems) AS raw FROM m UNION ALL SELECT 1, 'title' UNION ALL SELECT 2, 'id name elem_tot elements'""",
+)
+def subset_definitions_wide(spark, sf):
+    """Two more units that list thousands of millions of elements as one range, up and down."""
+    dataset = r.routed_dataset(spark, sf)
+    more = spark.createDataFrame([("main", "rout_unit.def", 1 << 40, "900001 all 2 1 -9000000000"), ("main", "rout_unit.def", (1 << 40) + 1, "900002 down 2 9000000000 -1")], dataset.schema)
+    lines, _ = subset.definition_table(dataset.unionByName(more), "rout_unit.def", subset.map_ids(_selected(spark, sf)), total_at=2)
+    return _squeezed(lines).select("line_no", "raw")
+
+
 _ROUTED_SQL = f"""{_ROUTE_SQL},
 ru AS (SELECT u AS id, row_number() OVER (ORDER BY u) AS new_id FROM (SELECT DISTINCT (id - 1) // 10 + 1 AS u FROM sel)),
 sdc AS (SELECT c AS id, row_number() OVER (ORDER BY c) AS new_id FROM (SELECT DISTINCT cust AS c FROM sel)),

@@ -8,10 +8,10 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Catalog and per-file frames are hinted for broadcast only up to this many counted rows.
-BROADCAST_ROWS = 50_000
+#: Frames made on the driver are hinted for broadcast up to so many bytes of text.
+BROADCAST_BYTES = 8 << 20
 
 #: Where a session that names no shared folder keeps its intermediate tables.
 DEFAULT_FOLDER = "/tmp/linkfold-shared"
@@ -54,11 +54,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "lin
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset, as in tests, one fixed folder of the default file system, on every master.
+    Where that is unset, one fixed folder, but only in local mode: on a cluster every executor would write to a disk
+    of its own, and tables read back would miss rows.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    settings = spark.sparkContext.getConf()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or settings.get("spark.checkpoint.dir")
+    if not configured and not settings.get("spark.master", "local").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured or DEFAULT_FOLDER
 
 
@@ -79,11 +81,10 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attached(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A per-file frame fixed once and counted, to be joined to lines where they are.
+def attached(df: DataFrame) -> DataFrame:
+    """A per-file frame fixed once, to be joined to lines where they are.
 
-    Up to ``limit`` rows it is hinted for broadcast, so the lines are not shuffled. A larger frame
-    is left to the optimizer, which may shuffle and splits skewed files at run time.
+    The written table tells the optimizer its bytes: below Spark's broadcast threshold the lines are not shuffled,
+    above it they are, and skewed files are split at run time.
     """
-    fixed = durable(df)
-    return F.broadcast(fixed) if fixed.count() <= limit else fixed
+    return durable(df)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from linkfold.catalog import Catalog, bounded
@@ -306,23 +308,23 @@ def expected_vs_actual(
     inventory: DataFrame,
     rows: DataFrame,
     catalog: Catalog,
-    expected: dict[str, str] | None = None,
+    expected: Mapping[str, Sequence[str | None]] | None = None,
 ) -> DataFrame:
     """Expected against listed file per classification and position.
 
+    ``expected`` has the file names of each classification by position, None where a position is unused.
     ``is_indexed`` says that the listed file exists and its table has rows.
     """
-    spark = entries.sparkSession
-    plan = bounded(
-        spark,
-        [
-            (name, i + 1, file)
-            for name, files in (expected or EXPECTED_FILES).items()
-            for i, file in enumerate(files)
-        ],
-        "classification string, position int, expected_file string",
+    plan = []
+    for name, files in (EXPECTED_FILES if expected is None else expected).items():
+        if isinstance(files, str):
+            raise TypeError(f"a sequence of file names is wanted for {name!r}, not a text")
+        plan += [(name, i + 1, file) for i, file in enumerate(files) if file is not None]
+    slots = F.array(
+        *[F.struct(F.lit(c).alias("classification"), F.lit(p).alias("position"), F.lit(f).alias("expected_file")) for c, p, f in plan]
     )
-    datasets = entries.select("dataset_id").distinct()
+    # Every dataset is measured against the same fixed plan, a few hundred entries at most.
+    wanted = entries.select("dataset_id").distinct().select("dataset_id", F.inline(slots))
     listed = (
         entries.groupBy(
             "dataset_id", F.lower("classification").alias("classification"), F.col("order_in_class").alias("position")
@@ -336,10 +338,8 @@ def expected_vs_actual(
     present = inventory.select("dataset_id", F.col("file_name").alias("actual_file")).distinct().withColumn(
         "_file", F.lit(True)
     )
-    # Every dataset is measured against the same fixed plan, a few hundred entries at most.
     return (
-        datasets.crossJoin(plan)
-        .join(listed, ["dataset_id", "classification", "position"], "left")
+        wanted.join(listed, ["dataset_id", "classification", "position"], "left")
         .join(present, ["dataset_id", "actual_file"], "left")
         .withColumn(
             "table_name", text.lookup(F.col("actual_file"), files, F.replace("actual_file", F.lit("."), F.lit("_")))
@@ -350,6 +350,13 @@ def expected_vs_actual(
     )
 
 
+def indexed_counts(compared: DataFrame) -> DataFrame:
+    """How many of each classification's expected places have an indexed file: ``dataset_id, classification, indexed, expected``."""
+    return compared.groupBy("dataset_id", "classification").agg(
+        F.count_if("is_indexed").alias("indexed"), F.count(F.lit(1)).alias("expected")
+    )
+
+
 def bind_files(inventory: DataFrame, catalog: Catalog, entries: DataFrame | None = None) -> DataFrame:
     """Which file holds which catalog table: ``dataset_id, file_name, schema_file, table_name``.
 

@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from linkfold.functions import text
-
-#: Split offsets are broadcast up to this many; the bound is checked before planning.
-BROADCAST_SPLITS = 1_000_000
-
+from linkfold.session import durable, scratch_path
 
 def scan_lines(
     spark: SparkSession, path: str | list[str], whole_files: bool = False, name_glob: str | None = None
 ) -> DataFrame:
-    """Every line of every file below ``path`` with its 1-based number: ``path, line_no, raw``.
+    """Every line of every file below ``path`` with its 1-based number: ``path, kind, line_no, raw``.
 
-    ``name_glob`` limits the listing to matching file names, so other files are never opened.
+    The text is read once: one pass writes a line store in the shared folder, split by the files' kind, their
+    lower-case suffix, so a reader that wants some kinds opens nothing else. ``name_glob`` limits the listing to
+    matching file names, so other files are never opened.
 
-    Files stay splittable. Inside a split the row id counts lines; the line counts of the splits
-    before give the offset, so no file passes through one task. ``whole_files`` reads each file in
-    one piece instead, which is cheaper for many small files and must not be used for big ones.
+    Files stay splittable. Inside a split the row id counts lines; the line counts of the splits before, taken from
+    the store, give the offset, so no file passes through one task. ``whole_files`` reads each file in one
+    piece instead, which is cheaper for many small files and must not be used for big ones.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
+    kind = text.suffix(text.base_name(F.col("path"))).alias("kind")
     if whole_files:
-        return (
-            reader.text(path, wholetext=True)
-            .select(
-                text.slashes(F.col("_metadata.file_path")).alias("path"),
-                # A trailing line end opens no further line.
-                F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("_i", "raw"),
-            )
-            .select(_clean_path("path"), (F.col("_i") + 1).cast("bigint").alias("line_no"), "raw")
+        pieces = reader.text(path, wholetext=True).select(
+            text.slashes(F.col("_metadata.file_path")).alias("path"),
+            # A trailing line end opens no further line.
+            F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("_i", "raw"),
+        )
+        return _stored(pieces.select(_clean_path("path"), (F.col("_i") + 1).cast("bigint").alias("line_no"), "raw").select("*", kind)).select(
+            "path", "kind", "line_no", "raw"
         )
     lines = reader.text(path).select(
         F.col("value").alias("raw"),
@@ -40,39 +39,30 @@ def scan_lines(
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        lines.groupBy("_file", "_split")
+    store = _stored(lines.withColumn("path", _clean_path("_file")).select("path", "_split", "_id", "raw", kind))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = durable(
+        store.groupBy("path", "_split")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_file",
-            "_split",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-        )
-    )
-    if _most_splits(lines) <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    return lines.join(splits, ["_file", "_split"]).select(
-        _clean_path("_file"), (F.col("_id") + F.col("_shift")).alias("line_no"), "raw"
+        .select("path", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
+    return store.join(splits, ["path", "_split"]).select("path", "kind", (F.col("_id") + F.col("_shift")).alias("line_no"), "raw")
 
 
-def _most_splits(lines: DataFrame) -> float:
-    """Upper bound of the number of splits, from the listed files and their total size."""
+def _stored(lines: DataFrame) -> DataFrame:
+    """The lines written once, in a folder for each kind."""
     spark = lines.sparkSession
-    size = float(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    factor = float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0"))
-    widest = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    narrowest = _bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
-    # Splits shrink when there are more cores than data; allow for four times today's cores.
-    per_core = size / (4 * spark.sparkContext.defaultParallelism)
-    return len(lines.inputFiles()) + size / factor / max(min(widest, max(narrowest, per_core)), 1.0)
+    path = scratch_path(spark, "lines")
+    lines.write.partitionBy("kind").parquet(path)
+    # An empty suffix is written as none.
+    return spark.read.schema(lines.schema).parquet(path).withColumn("kind", F.coalesce("kind", F.lit("")))
 
 
-def _bytes(setting: str) -> float:
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    low = setting.strip().lower().removesuffix("b") or "0"
-    return float(low[:-1]) * units[low[-1]] if low[-1] in units else float(low)
+def of_kinds(lines: DataFrame, *suffixes: str) -> DataFrame:
+    """Lines of files with one of the suffixes: on a line store, only their folders are opened."""
+    if "kind" in lines.columns:
+        return lines.filter(F.col("kind").isin(list(suffixes)))
+    return lines.filter(text.suffix(F.col("file_name")).isin(list(suffixes)))
 
 
 def _clean_path(column: str):
@@ -121,6 +111,7 @@ def dataset_files(inventory: DataFrame) -> DataFrame:
 
 
 def dataset_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Lines with their dataset: ``dataset_id, file_name, line_no, raw``."""
+    """Lines with their dataset: ``dataset_id, file_name, line_no, raw``, and ``kind`` if they come from a line store."""
     owner = dataset_files(inventory).select("path", "dataset_id", "file_name")
-    return lines.join(owner, "path").select("dataset_id", "file_name", "line_no", "raw")
+    kind = [c for c in ("kind",) if c in lines.columns]
+    return lines.join(owner, "path").select("dataset_id", "file_name", "line_no", "raw", *kind)

@@ -223,79 +223,117 @@ CONTAINER_KEYS = ("outputs", "output", "tables", "records", "result", "results",
 
 
 
-def _kind(value: Column) -> Column:
-    """Type of a variant without its parameters; ``VOID`` is JSON's null."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+# Characters that no JSON text may hold as they are; they stand for escapes and marks while a text is marked.
+_SLASH, _QUOTE, _OPEN, _MID, _CLOSE = "\x01", "\x02", "\x03", "\x04", "\x05"
+
+
+def marked_json(document: Column) -> Column:
+    """The document with an ``s`` before each string's content, and each number as a string after an ``n``.
+
+    Opening an object or array then leaves its parts with their kind and spelling: what begins with ``{`` or ``[`` is
+    a container, never a string. Escapes are out of the way meanwhile, so a string is what lies between two quotes.
+    """
+    plain = F.replace(F.replace(document, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    number = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+    # A string becomes OPEN content MID CLOSE, a number OPEN MID digits CLOSE.
+    found = F.regexp_replace(plain, f'"([^"]*+)"|({number})', f"{_OPEN}$1{_MID}$2{_CLOSE}")
+    for mark, text_ in ((_MID + _CLOSE, '"'), (_OPEN + _MID, '"n'), (_OPEN, '"s'), (_CLOSE, '"'), (_QUOTE, '\\"'), (_SLASH, "\\\\")):
+        found = F.replace(found, F.lit(mark), F.lit(text_))
+    return found
+
+
+def _unmarked(raw: Column) -> Column:
+    """A part as it was written: a string's content, a number's digits, or a container's text."""
+    plain = F.replace(F.replace(raw, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    inner = F.regexp_replace(F.regexp_replace(plain, '"s([^"]*+)"', f"{_OPEN}$1{_OPEN}"), '"n([^"]*+)"', "$1")
+    for mark, text_ in ((_OPEN, '"'), (_QUOTE, '\\"'), (_SLASH, "\\\\")):
+        inner = F.replace(inner, F.lit(mark), F.lit(text_))
+    return F.when(raw.startswith("s") | raw.startswith("n"), F.substr(raw, F.lit(2))).when(raw.startswith("{") | raw.startswith("["), inner).otherwise(raw)
+
+
+def _is(raw: Column, first: str) -> Column:
+    return F.coalesce(F.startswith(raw, F.lit(first)), F.lit(False))
 
 
 def _members(raw: Column) -> Column:
-    """Members of a JSON object: ``array<struct<key, raw, kind>>`` in the order of the document, texts as written."""
-    kinds = F.parse_json(raw).cast("map<string,variant>")
-    return F.transform(
-        F.map_entries(F.from_json(raw, "map<string,string>")),
-        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), _kind(F.element_at(kinds, e["key"])).alias("kind")),
-    )
+    """Members of a marked object in the order of the document: ``array<struct<key, raw>>``."""
+    return F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.struct(F.substr(e["key"], F.lit(2)).alias("key"), e["value"].alias("raw")))
 
 
 def _elements(raw: Column) -> Column:
-    """Elements of a JSON array: ``array<struct<raw, kind>>``."""
-    kinds = F.parse_json(raw).cast("array<variant>")
-    return F.transform(
-        F.from_json(raw, "array<string>"), lambda x, i: F.struct(x.alias("raw"), _kind(F.get(kinds, i)).alias("kind"))
-    )
+    return F.from_json(raw, "array<string>")
 
 
 def _records(documents: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """``keys, record, members`` of each object with data and a header or a title, at any depth.
+    """``keys, place, members, record`` of each object with data and a header or a title, at any depth.
 
-    All documents are opened one level at a time. ``route`` orders the places as a reader meets them:
-    an object's container members first, then all its members, so what lies in a container is met
-    twice; ``record`` counts the meetings, and a record has the number of its first one.
+    The document is marked once, and each level opens what the level before left unopened, so every container is
+    parsed once and looked at in one place. ``place`` is the way to it: for each step whether it is a container
+    member of an object, which a reader meets first and again among all members, and its position there.
     """
-    level = documents.select(
-        *keys, F.array().cast("array<int>").alias("route"), F.lit("$").alias("place"), F.col(column).alias("raw"), _kind(F.parse_json(column)).alias("kind")
-    )
+    step = "array<struct<first:int,nth:int>>"
+    # Text that is no JSON is an error, found by the one strict parse.
+    valid = F.length(F.schema_of_variant(F.parse_json(column))) > 0
+    level = documents.filter(valid).select(*keys, F.array().cast(step).alias("place"), marked_json(F.col(column)).alias("raw"))
+    order = F.array(*[F.lit(k) for k in CONTAINER_KEYS])
     met: DataFrame | None = None
     while True:
         opened = durable(
             level.select(
-                *keys, "route", "place",
-                F.when(F.col("kind") == "OBJECT", _members(F.col("raw"))).alias("members"),
-                F.when(F.col("kind") == "ARRAY", _elements(F.col("raw"))).alias("elements"),
+                *keys, "place",
+                F.when(_is(F.col("raw"), "{"), _members(F.col("raw"))).alias("members"),
+                F.when(_is(F.col("raw"), "["), _elements(F.col("raw"))).alias("elements"),
             )
         )
         if opened.limit(1).count() == 0:
             break
         names = F.transform("members", lambda m: m["key"])
         found = opened.filter(F.array_contains(names, "data") & (F.array_contains(names, "header") | F.array_contains(names, "title")))
-        found = found.select(*keys, "route", "place", "members")
+        found = found.select(*keys, "place", "members")
         met = found if met is None else met.unionByName(found)
-        order = F.array(*[F.lit(k) for k in CONTAINER_KEYS])
-        inside = lambda m, n: F.struct(n.cast("int").alias("nth"), m["key"].alias("step"), m["raw"].alias("raw"), m["kind"].alias("kind"))
-        first = F.transform(
-            F.filter("members", lambda m: F.array_contains(order, m["key"]) & (m["kind"] != "VOID")),
-            lambda m: inside(m, F.array_position(order, m["key"])),
+        at = lambda first, nth, raw: F.struct(F.struct(first.cast("int").alias("first"), nth.cast("int").alias("nth")).alias("step"), raw.alias("raw"))
+        below = F.when(F.col("members").isNotNull(), F.transform("members", lambda m, i: at(F.array_position(order, m["key"]), i, m["raw"]))).otherwise(
+            F.transform("elements", lambda x, i: at(F.lit(0), i, x))
         )
-        every = F.transform("members", lambda m, i: inside(m, i + len(CONTAINER_KEYS) + 1))
-        listed = F.transform(
-            "elements", lambda x, i: F.struct(i.cast("int").alias("nth"), i.cast("string").alias("step"), x["raw"].alias("raw"), x["kind"].alias("kind"))
+        level = opened.select(*keys, "place", F.inline(F.filter(below, lambda c: _is(c["raw"], "{") | _is(c["raw"], "[")))).select(
+            *keys, F.concat("place", F.array("step")).alias("place"), "raw"
         )
-        below = F.when(F.col("members").isNotNull(), F.concat(first, every)).otherwise(listed)
-        level = (
-            opened.select(*keys, "route", "place", F.explode(below).alias("c"))
-            .filter(F.col("c.kind").isin("OBJECT", "ARRAY"))
-            .select(*keys, F.concat("route", F.array("c.nth")).alias("route"), F.concat_ws("\x00", "place", "c.step").alias("place"), "c.raw", "c.kind")
-        )
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("route"))
-    return met.withColumn("record", number).groupBy(*keys, "place").agg(F.min("record").alias("record"), F.min_by("members", "record").alias("members"))
+    met = durable(met)
+    return met.join(_numbers(met.select(*keys, "place"), keys), [*keys, "place"])
+
 
+def _numbers(places: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, place, record``: how many records a reader has met when it first meets each place.
 
-def _listed(member: Column) -> Column:
+    A reader of an object meets it, then its container members, then all its members, so what lies below k steps to
+    container members is met 2**k times. Counts below every prefix of a place give what is met before it among
+    the members beside each of its steps; nothing is expanded by how often it is met.
+    """
+    prefixes = places.select(*keys, "place", F.explode(F.sequence(F.lit(0), F.size("place"))).alias("n"))
+    prefixes = prefixes.withColumn("head", F.slice("place", F.lit(1), F.col("n"))).withColumn("rest", F.slice("place", F.col("n") + 1, F.size("place")))
+    again = F.aggregate("rest", F.lit(1).cast("bigint"), lambda n, s: F.when(s["first"] > 0, n * 2).otherwise(n))
+    below = prefixes.groupBy(*keys, "head").agg(F.sum(again).alias("n"), F.max((F.size("rest") == 0).cast("bigint")).alias("own"))
+    below = below.withColumn("above", F.slice("head", F.lit(1), F.greatest(F.size("head") - 1, F.lit(0)))).withColumn("last", F.element_at("head", F.greatest(F.size("head"), F.lit(1))))
+    beside = lambda *order: Window.partitionBy(*keys, "above").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    container = F.col("last.first") > 0
+    every = Window.partitionBy(*keys, "above")
+    # Container members come first, in the order of their names; all members come in the order of the document.
+    among_first = F.coalesce(F.sum(F.when(container, F.col("n"))).over(beside(F.when(container, F.col("last.first")).otherwise(F.lit(1 << 30)), "last.nth")), F.lit(0))
+    all_first = F.coalesce(F.sum(F.when(container, F.col("n"))).over(every), F.lit(0))
+    in_order = F.coalesce(F.sum("n").over(beside("last.nth")), F.lit(0))
+    steps = below.filter(F.size("head") > 0).withColumn("before", F.when(container, among_first).otherwise(all_first + in_order)).select(*keys, "head", "before")
+    met = prefixes.filter("n > 0").join(steps, [*keys, "head"]).groupBy(*keys, "place").agg(F.sum("before").alias("_before"))
+    # The record itself, and every record that it lies in.
+    inside = prefixes.join(below.filter("own = 1").select(*keys, "head"), [*keys, "head"]).groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("_inside"))
+    return inside.join(met, [*keys, "place"], "left").select(*keys, "place", (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias("record"))
+
+
+def _listed(raw: Column) -> Column:
     """Words of a header or units member: elements of an array, words of a text, nothing for null or none."""
     return (
-        F.when(member["kind"] == "ARRAY", F.transform(F.from_json(member["raw"], "array<string>"), lambda v: F.coalesce(v, F.lit("null"))))
-        .when(member["kind"] == "STRING", text.tokens(member["raw"]))
-        .when(member.isNotNull() & (member["kind"] != "VOID"), F.array(member["raw"]))
+        F.when(_is(raw, "["), F.transform(_elements(raw), lambda v: F.coalesce(_unmarked(v), F.lit("null"))))
+        .when(_is(raw, "s"), text.tokens(_unmarked(raw)))
+        .when(raw.isNotNull(), F.array(_unmarked(raw)))
         .otherwise(F.array().cast("array<string>"))
     )
 
@@ -308,17 +346,17 @@ def read_output_json(documents: DataFrame, column: str, keys: Sequence[str]) ->
     spelling. Text that is no JSON is an error.
     """
     keys = list(keys)
-    member = lambda name: F.get(F.filter("members", lambda m: m["key"] == name), F.lit(0))
+    member = lambda name: F.get(F.filter("members", lambda m: m["key"] == name), F.lit(0))["raw"]
     parts = _records(documents, column, keys).select(
-        *keys, "record", member("title").alias("_title"), _listed(member("header")).alias("header"), _listed(member("units")).alias("_units"), member("data").alias("_data")
-    )
-    rows = F.when(F.col("_data.kind") == "ARRAY", _elements(F.col("_data.raw")))
-    parts = durable(parts.withColumn("rows", rows).withColumn("named", F.coalesce(F.get("rows", F.lit(0))["kind"] == "OBJECT", F.lit(False))).drop("_data"))
+        *keys, "record", member("title").alias("_title"), _listed(member("header")).alias("header"), _listed(member("units")).alias("_units"),
+        F.when(_is(member("data"), "["), _elements(member("data"))).alias("rows"),
+    )
+    parts = durable(parts.withColumn("named", _is(F.get("rows", F.lit(0)), "{")))
     opened = F.transform(
-        F.filter("rows", lambda x: ~F.col("named") | (x["kind"] == "OBJECT")),
+        F.filter("rows", lambda x: ~F.col("named") | _is(x, "{")),
         lambda x: F.struct(
-            F.when(F.col("named"), F.from_json(x["raw"], "map<string,string>")).alias("by_name"),
-            F.when(x["kind"] == "ARRAY", F.from_json(x["raw"], "array<string>")).when(~F.col("named"), F.array(x["raw"])).alias("by_place"),
+            F.when(F.col("named"), F.map_from_entries(F.transform(_members(x), lambda m: F.struct(m["key"], _unmarked(m["raw"]))))).alias("by_name"),
+            F.when(_is(x, "["), F.transform(_elements(x), _unmarked)).when(~F.col("named"), F.array(_unmarked(x))).alias("by_place"),
         ),
     )
     parts = parts.withColumn("rows", opened)
@@ -328,9 +366,8 @@ def read_output_json(documents: DataFrame, column: str, keys: Sequence[str]) ->
         F.array().cast("array<string>")
     )
     columns = F.when(F.size("header") > 0, F.col("header")).when(F.col("named"), found).otherwise(numbered)
-    told = F.when((F.col("_title.kind") == "STRING") & (F.col("_title.raw") != ""), F.col("_title.raw")).when(
-        ~F.col("_title.kind").isin("STRING", "VOID") & ~F.col("_title.raw").isin("false", "[]", "{}"), F.col("_title.raw")
-    )
+    shown_title = _unmarked(F.col("_title"))
+    told = F.when(_is(F.col("_title"), "s"), F.when(shown_title != "", shown_title)).when(~shown_title.isin("false", "[]", "{}"), shown_title)
     wide = lambda cells: F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.size("columns"))), F.lit(1), F.size("columns"))
     shown = parts.withColumn("columns", columns).select(
         *keys, "record", F.coalesce(told, F.format_string("table_%d", "record")).alias("title"), "columns",
