@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,12 @@ DEFAULT_FOLDER = "/tmp/linkfold-shared"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a default of its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_FOLDER).rstrip("/")
+    """``spark.checkpoint.dir`` of the session; a default of its own only in local mode where that is unset."""
+    settings = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or settings.get("spark.checkpoint.dir")
+    if not found and not settings.get("spark.master", "local").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or DEFAULT_FOLDER).rstrip("/")
 
 
 def written(df: DataFrame, label: str = "llm") -> DataFrame:
@@ -27,7 +31,23 @@ def written(df: DataFrame, label: str = "llm") -> DataFrame:
     ship(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where frames of ``written`` lie, as long as they are in use.
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames of ``written`` that nothing will read again: what was made from them is written itself."""
+    for frame in frames:
+        known, path = _PLACES.pop(id(frame), (None, ""))
+        if known is not None and known() is frame:
+            spark = frame.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

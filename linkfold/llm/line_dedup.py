@@ -1,14 +1,19 @@
-"""Line dedup: normalised lines, keys that no near pair can miss, edit similarity, one occurrence per group.
+"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per group.
 
 A normalised line is its words, runs of ASCII letters and digits and of bytes from 0x80 on, with A-Z in lower
-case; another digit is another word. Lines with fewer than ``min_words`` words are left alone; the queries take
-all that have a word (``ALL_LINES``). Equal normalised lines are one class. Two classes are linked if their
-word edit similarity, 1 - distance / longer length, is 0.85 or more; nothing else decides.
-
-A word edit takes at most two pairs of neighbouring words away, so lines of at most M words that are linked
-share M - 1 - 2 * distance pairs or more. Each line's pairs are put in one global order, rare ones first, and
-its first few are its keys, just so many that two linked lines have a key in common. Before any words are
-read, keys are left out whose lines cannot be linked by their lengths and the parities of their words.
+case; another digit is another word. Lines with fewer than ``min_words`` words are left alone. Equal normalised
+lines are one class. Two classes are linked if their word edit similarity, 1 - distance / longer length, is 0.85 or
+more; nothing else decides.
+
+Candidates come from SimHash blocks. A line's words, with the number of their occurrence in the line, are dealt by
+their hash to blocks, and the bits of a block are voted for by its own words only. So an edit touches the blocks of
+two words and leaves all others as they were, which is what the pigeonhole needs: lines within the threshold have
+most blocks in common, and a key is two blocks that together hold a few words. How many blocks a line has depends on
+its length class, whose limits double; lines near the upper limit go by both classes' blocks. Long lines have more
+blocks than a link needs, and keep the share of their keys with small hashes, the same keys on both sides. Blocks
+find nearly all links, not all: ``tests/llm/test_line_recall.py`` measures the recall by length and edits, 0.98 or more
+with one edit and 0.95 or more with as many as a link allows. Keys whose lines cannot be linked by their lengths and the parities of their words are left
+out before any words are read.
 
 Of each connected group the first occurrence by (doc_id, hash of the text, line) stays and all others are
 taken out, in their own document too. Documents are never dropped: one without lines left has an empty text.
@@ -21,62 +26,72 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkfold.llm import hashing
-from linkfold.llm.common import extended, row_groups, text_buffer, written
-from linkfold.llm.linkage import by_group, grouped_blocks, linked_components
-
-#: First bit and number of bits of the blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Bits of SimHash in which ``near_marks`` lets two differ, and in which linked lines may: in all.
-NEAR = 3
-RADIUS = 64
-#: Up to so many nodes (about 50 bytes each) are broadcast to the documents; more are joined by shuffle.
-FEW = 100_000
-
-#: Rows of a key that are compared where they stand.
-RUN = 2048
+from linkfold.llm.common import discard, extended, row_groups, text_buffer, written
+from linkfold.llm.linkage import linked_components
 
-#: About so many documents are read for the order of the pairs, which are counted in 2**20 buckets.
-COUNTED = 20_000
-BUCKETS = 20
+#: Keys that lines of the longer classes keep of those that hold enough words.
+KEYS = 30.0
+#: Rows of a key that are compared where they stand, and keys that a task holds before it looks for larger ones.
+RUN = 2048
+HELD = 8_000_000
+#: Bytes of packed keys that one task is meant to get.
+PART = 32_000_000
+#: Keys that are packed at once.
+PACKED = 2_000_000
 
 
 @dataclass(frozen=True)
 class Params:
-    min_words: int = 8
+    min_words: int = 1
     similarity: float = 0.85
 
     def __post_init__(self):
-        if self.similarity < 0.7:
-            raise ValueError("below 0.7 linked lines may have no pair of neighbouring words in common")
+        if not 0.7 <= self.similarity < 1:
+            raise ValueError("similarities from 0.7 to below 1 are meant")
+
+    @property
+    def first(self) -> int:
+        """Words of the shortest line that one edit leaves similar."""
+        return next(n for n in range(1, 1000) if most_edits(n, self.similarity) > 0)
 
 
 #: Lines of any length with a word, as the queries take them.
-ALL_LINES = Params(min_words=1)
+ALL_LINES = Params()
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashing.word_hashes(data, offsets, hashing.ALNUM)
+@dataclass(frozen=True)
+class LengthClass:
+    """Lines of ``first * 2**number`` words up to twice as many."""
+
+    number: int
+    blocks: int
+    #: Distances of the two blocks of a key, the words they must hold together, and the share of keys that is kept.
+    apart: tuple[int, ...]
+    least: int
+    share: float
+
+
+@lru_cache(maxsize=256)
+def length_class(number: int, first: int) -> LengthClass:
+    """Blocks and keys so that at the threshold a handful of keys are left untouched, whatever the class."""
+    if number == 0:
+        blocks = max(4, first + 1)
+        return LengthClass(number, blocks, tuple(range(1, blocks // 2 + 1)), 2, 1.0)
+    blocks = max(4, (first - 1) << number)
+    if number == 1:
+        return LengthClass(number, blocks, (1, 2, 3), 3, 1.0)
+    # Long lines repeat words, which leaves more of their blocks empty.
+    return LengthClass(number, blocks, (1,), 3, min(1.0, (KEYS + 5 * (number - 2)) / blocks))
 
 
-def simhashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each text over its words, each as often as it occurs; 0 for no words."""
-    out = np.zeros(len(bounds) - 1, np.int64)
-    for a, b in row_groups(bounds, 1 << 17):
-        sizes = np.diff(bounds[a : b + 1])
-        some = np.flatnonzero(sizes)
-        if len(some):
-            bits = np.unpackbits(words[bounds[a] : bounds[b]].view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, bounds[a + some] - bounds[a], axis=0, dtype=np.int32)
-            packed = np.packbits(2 * ones > sizes[some, None], axis=1)
-            out[a + some] = packed.reshape(-1).view(np.int64)
-    return out
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hashing.word_hashes(data, offsets, hashing.ALNUM)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -87,9 +102,16 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
-    a, b = a.tolist(), b.tolist()
-    if not a:
-        return len(b)
+    # What the lines begin and end with alike costs nothing.
+    same = a[: min(len(a), len(b))] == b[: min(len(a), len(b))]
+    begin = len(same) if same.all() else int(same.argmin())
+    a, b = a[begin:], b[begin:]
+    n = min(len(a), len(b))
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    end = n if same.all() else int(same.argmin())
+    a, b = a[: len(a) - end].tolist(), b[: len(b) - end].tolist()
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
     where: dict[int, int] = {}
     for k, word in enumerate(a):
         where[word] = where.get(word, 0) | 1 << k
@@ -114,40 +136,87 @@ def most_edits(n: int | np.ndarray, similarity: float):
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-@lru_cache(maxsize=1 << 16)
-def n_keys(n: int, similarity: float) -> int:
-    """How many of its n - 1 pairs a line needs as keys; none where only an equal line is similar."""
-    longer = np.arange(n, int(n / similarity) + 3)
-    edits = most_edits(longer, similarity)
-    longer, edits = longer[longer - edits <= n], edits[longer - edits <= n]
-    return min(n - 1, n - int((longer - 1 - 2 * edits).min())) if edits.any() else 0
-
-
-def pairs_of(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words with the number of their occurrence in the line, and the row of each, in order of rows."""
-    found, rows = hashing.grams(words, bounds, (0, 1), 2)
-    order = np.lexsort((found, rows))
-    found, rows = found[order], rows[order]
-    new = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])])) if len(found) else np.zeros(0, np.int64)
-    again = np.arange(len(found)) - np.repeat(new, np.diff(np.append(new, len(found))))
-    at = np.flatnonzero(again)
-    found[at] = hashing.combine([found[at], again[at].astype(np.uint64)], 3)
-    return found, rows
-
-
-def prefix_keys(words: np.ndarray, bounds: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of each line and the n + 1 offsets of the lines in them. The lowest bit of a key tells that it is common."""
-    found, rows = pairs_of(words, bounds)
-    often = counts[(found >> np.uint64(64 - BUCKETS)).astype(np.int64)]
-    order = np.lexsort((found, often, rows))
-    found, often, rows = found[order], often[order], rows[order]
+def block_keys(words: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines and the line of each: hashes of the SimHash blocks of every two blocks that make a key."""
     sizes = np.diff(bounds)
-    kinds, at = np.unique(sizes, return_inverse=True)
-    many = np.array([n_keys(int(n), similarity) if n > 1 else 0 for n in kinds], np.int64)[at]
-    first = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < many[rows]
-    common = often > 64 + 8 * counts.mean()
-    keys = (found & ~np.uint64(1)) | common.astype(np.uint64)
-    return keys[first].view(np.int64), np.concatenate([[0], np.cumsum(many)])
+    keys, lines = [], []
+    top = int(sizes.max(initial=0))
+    number = 0
+    while p.first << number <= top / p.similarity + 1e-9:
+        low, high = p.first << number, p.first << (number + 1)
+        # The longest line similar to one of n words has n / similarity; those that reach this class go by it too.
+        reach = np.floor(sizes / p.similarity + 1e-9) >= low
+        own = np.flatnonzero(reach & (sizes < high))
+        for a, b in row_groups(np.concatenate([[0], np.cumsum(sizes[own])]), 1 << 18):
+            found, at = _class_keys(words, bounds, own[a:b], length_class(number, p.first))
+            keys.append(found)
+            lines.append(at)
+        number += 1
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(keys), np.concatenate(lines)) if keys else (none.astype(np.uint64), none)
+
+
+def _class_keys(words: np.ndarray, bounds: np.ndarray, own: np.ndarray, kind: LengthClass) -> tuple[np.ndarray, np.ndarray]:
+    sizes = bounds[own + 1] - bounds[own]
+    row = np.repeat(np.arange(len(own)), sizes)
+    feature = words[np.arange(len(row)) + np.repeat(bounds[own] - (np.cumsum(sizes) - sizes), sizes)]
+    spot = row * kind.blocks + ((feature >> np.uint64(40)) % np.uint64(kind.blocks)).astype(np.int64)
+    # In one number, by block and word; equal words of a line stand together.
+    order = np.sort(spot.astype(np.uint64) << np.uint64(32) | feature & _LOW)
+    spot, vote = (order >> np.uint64(32)).astype(np.int64), order.astype(np.uint32)
+    twice = np.flatnonzero(order[1:] == order[:-1]) + 1
+    if len(twice):
+        # A word's second occurrence in the line votes as another word.
+        new = np.ones(len(twice), bool)
+        new[1:] = np.diff(twice) > 1
+        again = np.arange(len(twice)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(twice)))) + 1
+        vote[twice] = hashing.mix(vote[twice].astype(np.uint64) + again.astype(np.uint64) * _ODD).astype(np.uint32)
+    held = np.bincount(spot, minlength=len(own) * kind.blocks)
+    filled = np.flatnonzero(held)
+    if not len(filled):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    value = np.zeros(len(held), np.uint64)
+    value[filled] = majorities(vote, held[filled])
+    keys, lines = [], []
+    line, block = np.divmod(filled, kind.blocks)
+    for apart in kind.apart:
+        other = line * kind.blocks + (block + apart) % kind.blocks
+        # Two blocks opposite each other are one pair, not two.
+        once = (held[other] > 0) & (held[filled] + held[other] >= kind.least) & ((2 * apart < kind.blocks) | (block < apart))
+        at = np.flatnonzero(once)
+        with np.errstate(over="ignore"):
+            place = np.uint64(kind.number << 48 | apart << 32) + block[at].astype(np.uint64)
+            found = hashing.mix((value[filled[at]] << np.uint64(32) | value[other[at]]) * _ODD + hashing.mix(place))
+        if kind.share < 1:
+            few = np.flatnonzero((found & np.uint64(0xFFFF)) < np.uint64(int(kind.share * 65536)))
+            found, at = found[few], at[few]
+        keys.append(found)
+        lines.append(line[at])
+    return np.concatenate(keys), own[np.concatenate(lines)]
+
+
+_LOW, _ODD = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
+
+
+def majorities(vote: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each group of 32-bit votes the bits that more than half of them have: the SimHash of a block."""
+    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint32)
+    one, two, three = (np.flatnonzero(sizes == n) for n in (1, 2, 3))
+    out[one] = vote[begin[one]]
+    out[two] = vote[begin[two]] & vote[begin[two] + 1]
+    a, b, c = (vote[begin[three] + k] for k in range(3))
+    out[three] = a & b | a & c | b & c
+    more = np.flatnonzero(sizes > 3)
+    for i, j in row_groups(np.concatenate([[0], np.cumsum(sizes[more])]), 1 << 17):
+        own = more[i:j]
+        n = sizes[own]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1])) + np.repeat(begin[own] - (ends - n), n)
+        bits = np.unpackbits(vote[at].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
+        ones = np.add.reduceat(bits, ends - n, axis=0, dtype=np.int32)
+        out[own] = np.packbits(2 * ones > n[:, None], axis=1).view("<u4").ravel()
+    return out
 
 
 def parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -171,66 +240,168 @@ def _cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, *words_of(part, np.append(begins, len(part)))
 
 
-def pair_counts(docs: DataFrame) -> np.ndarray:
-    """How often pairs of each bucket occur in some documents. It orders the pairs, which no result depends on."""
-    parts = max(1, docs.count() // COUNTED)
-    read = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)).select("text")
+def _long_lines(batches, p: Params):
+    """For stretches of a batch: its first row, and rows, numbers, words and offsets of its lines, with those long enough."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column("text"))
+        for a, b in row_groups(offsets, hashing.BLOCK):
+            rows, words, bounds = _cut(batch.column("text").slice(a, b - a))
+            line = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            yield batch.slice(a, b - a), rows, line, words, bounds, np.flatnonzero(np.diff(bounds) >= max(1, p.min_words))
 
-    def run(batches):
-        counts = np.zeros(1 << BUCKETS, np.int64)
-        for batch in batches:
-            _, offsets = text_buffer(batch.column("text"))
-            for a, b in row_groups(offsets, hashing.BLOCK):
-                _, words, bounds = _cut(batch.column("text").slice(a, b - a))
-                found, _ = pairs_of(words, bounds)
-                counts += np.bincount((found >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
-
-    found = read.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**20 rows
-    out = np.zeros(1 << BUCKETS, np.int32)
-    out[found["bucket"].to_numpy()] = np.minimum(found["n"].to_numpy(), 1 << 30)
-    return out
+
+def _codes(digest: np.ndarray) -> np.ndarray:
+    """60 bits of a digest. A class that shares its code with another one is only looked at in vain."""
+    return (digest[:, 0] >> np.uint64(4)).astype(np.int64)
 
 
 def lines_of(docs: DataFrame, p: Params) -> DataFrame:
-    """Lines long enough: where they stand, a 128-bit digest of their words, how many, their parities, and their keys."""
+    """Lines long enough: where they stand, a 128-bit digest of their words and 60 bits of it, how many, their parities."""
     read = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(pair_counts(docs))
-    similarity, min_words = p.similarity, max(1, p.min_words)
 
     def run(batches):
-        for batch in batches:
-            _, offsets = text_buffer(batch.column("text"))
-            for a, b in row_groups(offsets, hashing.BLOCK):
-                rows, words, bounds = _cut(batch.column("text").slice(a, b - a))
-                line = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-                long = np.flatnonzero(np.diff(bounds) >= min_words)
-                digest = hashing.sequence_hashes(words, bounds)[long]
-                keys, ends = prefix_keys(words, bounds, sent.value, similarity)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(a, b - a).take(pa.array(rows[long])) for c in ("doc_id", "row")]
-                    + [
-                        pa.array(line[long].astype(np.int32)),
-                        pa.array([d.tobytes() for d in digest], pa.binary()),
-                        pa.array(np.diff(bounds)[long].astype(np.int32)),
-                        pa.array(parities(words, bounds)[long]),
-                        pa.array([keys[ends[k] : ends[k + 1]].tobytes() for k in long], pa.binary()),
-                    ],
-                    names=["doc_id", "row", "line", "digest", "n", "parity", "keys"],
-                )
+        for part, rows, line, words, bounds, long in _long_lines(batches, p):
+            digest = hashing.sequence_hashes(words, bounds)[long]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(c).take(pa.array(rows[long])) for c in ("doc_id", "row")]
+                + [
+                    pa.array(line[long].astype(np.int32)),
+                    pa.array([d.tobytes() for d in digest], pa.binary()),
+                    pa.array(_codes(digest)),
+                    pa.array(np.diff(bounds)[long].astype(np.int32)),
+                    pa.array(parities(words, bounds)[long]),
+                ],
+                names=["doc_id", "row", "line", "digest", "code", "n", "parity"],
+            )
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, digest binary, n int, parity long, keys binary")
-    return found.select(F.struct("doc_id", "row", "line").alias("place"), "digest", "n", "parity", "keys")
+    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, digest binary, code long, n int, parity long")
+    return found.select(F.struct("doc_id", "row", "line").alias("place"), "digest", "code", "n", "parity")
+
+
+# --- keys, packed -------------------------------------------------------------------------
+
+_ENTRY = np.dtype([("key", "<u4"), ("code", "<i8"), ("n", "<u2"), ("parity", "<u4")])
+_LONGEST = 65535
+
+
+def packed_keys(docs: DataFrame, p: Params, parts: int) -> DataFrame:
+    """(part, blob): the keys of all lines, dealt by their upper bits, as arrays of 18 bytes a key with its class.
+
+    Equal lines that a task meets together are packed once.
+    """
+    read = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
+
+    def run(batches):
+        held, n = [], 0
+        for _, _, _, words, bounds, long in _long_lines(batches, p):
+            sizes = np.diff(bounds)
+            long = long[np.floor(sizes[long] / p.similarity + 1e-9) >= p.first]
+            codes = _codes(hashing.sequence_hashes(words, bounds))
+            _, once = np.unique(codes[long], return_index=True)
+            own = long[once]
+            # Keys are made for these lines only.
+            at = np.repeat(bounds[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(int(sizes[own].sum()))
+            keys, line = block_keys(words[at], np.concatenate([[0], np.cumsum(sizes[own])]), p)
+            line = own[line]
+            marks = parities(words, bounds).view(np.uint64)
+            folded = (marks >> np.uint64(32)) ^ (marks & np.uint64(0xFFFFFFFF))
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            entry = np.empty(len(keys), _ENTRY)
+            entry["key"], entry["code"], entry["n"], entry["parity"] = keys.astype(np.uint32), codes[line], np.minimum(sizes[line], _LONGEST), folded[line]
+            held.append((part.astype(np.int32), entry))
+            n += len(keys)
+            if n >= PACKED:
+                yield _packed(held)
+                held, n = [], 0
+        if n:
+            yield _packed(held)
+
+    return read.mapInArrow(run, "part int, blob binary")
+
+
+def _packed(held: list) -> pa.RecordBatch:
+    part, entry = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((entry["code"], entry["key"], part))
+    part, entry = part[order], entry[order]
+    if len(part):
+        new = np.ones(len(part), bool)
+        new[1:] = (part[1:] != part[:-1]) | (entry["key"][1:] != entry["key"][:-1]) | (entry["code"][1:] != entry["code"][:-1])
+        part, entry = part[new], entry[new]
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    blobs = [x.tobytes() for x in np.split(entry, begin[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+
+def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """(key, code) of the classes that may be linked to another one of their key.
+
+    A part's keys are sorted and compared in one place. A task that has to hold more than it should looks for keys with
+    more than ``RUN`` rows; those go on as they are, with all that still come, and are compared in blocks later.
+    """
+
+    def run(batches):
+        held, n, large = [], 0, np.zeros(0, np.int64)
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_numpy(), batch.column("blob")):
+                entry = np.frombuffer(blob.as_buffer(), _ENTRY)
+                rows = (int(part) << 32 | entry["key"].astype(np.int64), entry["code"].copy(), entry["n"].astype(np.int64), entry["parity"].copy())
+                if len(large):
+                    on = np.isin(rows[0], large)
+                    if on.any():
+                        yield _pairs(rows[0][on], rows[1][on])
+                        rows = tuple(r[~on] for r in rows)
+                held.append(rows)
+                n += len(rows[0])
+                if n > HELD:
+                    held = [_distinct(held)]
+                    keys, many = np.unique(held[0][0], return_counts=True)
+                    large = np.concatenate([large, keys[many > RUN]])
+                    on = np.isin(held[0][0], large)
+                    yield _pairs(held[0][0][on], held[0][1][on])
+                    held = [tuple(r[~on] for r in held[0])]
+                    n = 0  # what is left has no large key; the next look is after as many more
+        if held:
+            yield _may_link_in(*_distinct(held), similarity)
+
+    return packed.repartition(parts, "part").mapInArrow(run, "key long, code long")
+
+
+def _distinct(held: list) -> tuple[np.ndarray, ...]:
+    """Rows in order of key and code, each pair once."""
+    rows = [np.concatenate(x) for x in zip(*held)]
+    order = np.lexsort((rows[1], rows[0]))
+    rows = [r[order] for r in rows]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    return tuple(r[new] for r in rows)
+
+
+def _pairs(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code)], names=["key", "code"])
+
+
+def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, parity: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Rows of sorted keys that may be linked to another one of their key, and all rows of keys with more than ``RUN``."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begin, len(key)))
+    near = np.repeat(sizes > RUN, sizes)
+    last = np.repeat(np.where(sizes > RUN, 0, begin + sizes), sizes)
+    at, step = np.arange(len(key)), 1
+    while len(at):
+        at = at[at + step < last[at]]
+        a, b = at, at + step
+        most = most_edits(np.maximum(n[a], n[b]), similarity)
+        hit = at[(np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(parity[a] ^ parity[b]) <= 2 * most)]
+        near[hit] = near[hit + step] = True
+        step += 1
+    return _pairs(key[near], code[near])
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the lines at the nodes, read from the documents again."""
     wanted = nodes.groupBy(F.col("node.doc_id").alias("_id"), F.col("node.row").alias("_row")).agg(F.collect_set("node.line").alias("lines"))
     wanted = written(wanted, "wanted")
-    if nodes.count() <= FEW:
-        wanted = F.broadcast(wanted)
     read = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")))
 
     def pick(batches):
@@ -282,159 +453,27 @@ def may_link(m: Column, n: Column, similarity: float) -> Column:
     return (F.abs(m["n"] - n["n"]) <= most) & (F.bit_count(m["parity"].bitwiseXOR(n["parity"])) <= 2 * most)
 
 
-def shared_keys(classes: DataFrame, similarity: float) -> DataFrame:
-    """(key, code) of the classes (code, n, parity, keys) that may be linked to another one of the key.
-
-    Rows of a key stand together in a sorted partition. Those of keys that are common go on as they are, and so do
-    those of keys that have more than ``RUN`` rows, so no task compares many rows of one key.
-    """
-
-    def spread(batches):
-        for batch in batches:
-            blobs = batch.column("keys")
-            ends = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1] // 8 if len(blobs) else np.zeros(1, np.int64)
-            keys = np.frombuffer(blobs.buffers()[2], np.uint8)[int(ends[0]) * 8 : int(ends[-1]) * 8].view(np.int64) if len(blobs) and ends[-1] > ends[0] else np.zeros(0, np.int64)
-            at = pa.array(np.repeat(np.arange(len(blobs)), np.diff(ends)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(c).take(at) for c in ("code", "n", "parity")]], names=["key", "code", "n", "parity"])
-
-    def scan(batches):
-        names, large = ("key", "code", "n", "parity"), None
-        held = [np.zeros(0, np.int64) for _ in names]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy() for c in names]
-            if large is not None:
-                # The rest of a key that went on as it is.
-                cut = int(np.searchsorted(rows[0], large, side="right"))
-                yield _pairs(rows[0][:cut], rows[1][:cut])
-                rows = [r[cut:] for r in rows]
-                if not len(rows[0]):
-                    continue
-                large = None
-            rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            held = [r[cut:] for r in rows]
-            yield _may_link_in(*[r[:cut] for r in rows], similarity)
-            if len(held[0]) > RUN:
-                large = held[0][0]
-                yield _pairs(held[0], held[1])
-                held = [r[:0] for r in held]
-        yield _may_link_in(*held, similarity)
-
-    rows = classes.select("keys", "code", "n", "parity").mapInArrow(spread, "key long, code long, n int, parity long")
-    # Read twice rather than kept: a key is common by its lowest bit.
-    common = rows.filter(F.col("key").bitwiseAND(F.lit(1)) == 1).select("key", "code")
-    rare = rows.filter(F.col("key").bitwiseAND(F.lit(1)) == 0).repartition("key").sortWithinPartitions("key")
-    return rare.mapInArrow(scan, "key long, code long").union(common)
-
-
-def _pairs(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code)], names=["key", "code"])
-
-
-def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, parity: np.ndarray, similarity: float) -> pa.RecordBatch:
-    """Rows of sorted keys that may be linked to another one of their key, and all rows of keys with more than ``RUN``."""
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begin, len(key)))
-    near = np.repeat(sizes > RUN, sizes)
-    last = np.repeat(np.where(sizes > RUN, 0, begin + sizes), sizes)
-    at, step, marks = np.arange(len(key)), 1, parity.view(np.uint64)
-    while len(at):
-        at = at[at + step < last[at]]
-        a, b = at, at + step
-        most = most_edits(np.maximum(n[a], n[b]), similarity)
-        hit = at[(np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(marks[a] ^ marks[b]) <= 2 * most)]
-        near[hit] = near[hit + step] = True
-        step += 1
-    return _pairs(key[near], code[near])
-
-
-def _keys(mark: str) -> Column:
-    """The ten keys of a SimHash: which two blocks, and their bits."""
-    part = lambda k: F.shiftrightunsigned(F.shiftleft(mark, 64 - BLOCKS[k][0] - BLOCKS[k][1]), 64 - BLOCKS[k][1])
-    return F.array(*[F.lit(t << 26) + F.shiftleft(part(i), 13) + part(j) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
-
-
-def near_marks(classes: DataFrame) -> DataFrame:
-    """(simhash) of the classes that another one equals or is near to in SimHash. The operator does not use it.
-
-    Each distinct SimHash goes out once for each of its keys, and equal keys stand together in a sorted
-    partition, where neighbours are compared at growing distances. A key with more than ``RUN`` SimHashes is
-    only named there; its rows then go through in blocks.
-    """
-    marks = written(classes.groupBy("simhash").agg(F.count("*").alias("n")), "marks")
-    spread = marks.select(F.explode(_keys("simhash")).alias("key"), "simhash")
-
-    def scan(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for batch in batches:
-            key, mark = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "simhash")))
-            # The last key may go on in the next batch.
-            cut = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
-            held = key[cut:], mark[cut:]
-            yield _looked(key[:cut], mark[:cut])
-        yield _looked(*held)
-
-    looked = written(spread.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "simhash long, large long"), "looked")
-    large = looked.filter("large is not null").select(F.col("large").alias("_k")).distinct()
-    close = looked.filter("simhash is not null").select("simhash").union(marks.filter("n > 1").select("simhash"))
-    if large.limit(1).count():
-        rest = written(spread.join(large, F.col("key") == F.col("_k"), "left_semi"), "rest")
-        sizes = rest.groupBy("key").agg(F.count("*").alias("size"))
-        close = close.union(grouped_blocks(rest.withColumnRenamed("simhash", "node").join(sizes, "key")).mapInArrow(by_group(_near_in), "simhash long"))
-    return close.distinct()
-
-
-def _looked(key: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
-    """SimHashes near to another one of their key, and keys too large to look through at once."""
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begin, len(key)))
-    large = key[begin[sizes > RUN]]
-    small = np.flatnonzero(np.repeat(sizes <= RUN, sizes)) if len(key) else begin
-    key, mark = key[small], mark[small].view(np.uint64)
-    near = np.zeros(len(key), bool)
-    at, step = np.arange(len(key)), 1
-    while True:
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            break
-        hit = at[np.bitwise_count(mark[at] ^ mark[at + step]) <= NEAR]
-        near[hit] = near[hit + step] = True
-        step += 1
-    found = np.unique(mark[near].view(np.int64))
-    none = [None] * len(large)
-    return pa.RecordBatch.from_arrays([pa.array([*found.tolist(), *none], pa.int64()), pa.array([*[None] * len(found), *large.tolist()], pa.int64())], names=["simhash", "large"])
-
-
-def _near_in(batch: pa.RecordBatch) -> pa.RecordBatch:
-    marks = batch.column("node").to_numpy().view(np.uint64)
-    seen = np.zeros(len(marks), bool)
-    for k in range(0, len(marks), 256):
-        seen[k : k + 256] = (np.bitwise_count(marks[k : k + 256, None] ^ marks[None, :]) <= NEAR).sum(axis=1) > 1
-    return pa.RecordBatch.from_arrays([pa.array(np.unique(marks[seen].view(np.int64)))], names=["simhash"])
-
-
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, row (hash of the text) and the line numbers, from 0, to take out."""
     docs = docs.select("doc_id", "text")
+    spark, similarity = docs.sparkSession, p.similarity
     lines = written(lines_of(docs, p), "lines")
-    same = [F.first(c).alias(c) for c in ("n", "parity", "keys")]
-    kinds = lines.groupBy("digest").agg(F.min("place").alias("node"), F.max("place").alias("_last"), *same)
-    # A class that shares its code with another one is only looked at in vain.
-    code = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
-    classes = written(kinds.select("digest", "node", (F.col("node") != F.col("_last")).alias("again"), code.alias("code"), "n", "parity", "keys"), "classes")
-    similarity = p.similarity
-    close = written(shared_keys(classes, similarity), "close")
+    kinds = lines.groupBy("digest").agg(F.min("place").alias("node"), F.max("place").alias("_last"), *[F.first(c).alias(c) for c in ("code", "n", "parity")])
+    classes = written(kinds.select("digest", "node", (F.col("node") != F.col("_last")).alias("again"), "code", "n", "parity"), "classes")
+    # A line has about a dozen keys; so many parts that each is a bounded piece of work.
+    size = (lines.filter(F.col("n") >= p.first).count()) * 12 * _ENTRY.itemsize
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    close = written(shared_keys(packed_keys(docs, p, parts), similarity, parts), "close")
     ends = classes.select(F.col("code").alias("_c"), "node", F.struct("n", "parity").alias("info"))
     buckets = written(close.join(ends, F.col("code") == F.col("_c")).select("key", "node", "info"), "buckets")
+    discard(close)
     texts = written(_texts(docs, written(buckets.select("node").distinct(), "some")), "words")
     found = linked_components(buckets, texts, lambda m, n: may_link(m, n, similarity), lambda t: Lines(t, similarity))
-    label = written(found.select(F.col("node").alias("_n"), "component"), "label")
+    discard(buckets, texts)
+    label = found.select(F.col("node").alias("_n"), "component")
     stays = classes.join(label, F.col("node") == F.col("_n"), "left").filter(F.col("again") | F.col("component").isNotNull())
     stays = written(stays.select(F.col("digest").alias("_d"), F.coalesce("component", "node").alias("stay")), "stays")
+    discard(classes)
     gone = lines.select("place", "digest").join(stays, F.col("digest") == F.col("_d")).filter(F.col("place") != F.col("stay"))
     return gone.groupBy("place.doc_id", "place.row").agg(F.collect_set("place.line").alias("lines"))
 

@@ -2,8 +2,8 @@
 
 No key is expanded into all its pairs. First every key compares one item, its pivot, with its items of other
 components, twice with components merged in between: of a group of copies that leaves few. Then the keys
-that still hold several components are settled inside tasks: blocks of at most ``BLOCK`` items meet two by two,
-compare what is in different components, and report a link only if it merges two of them. So every pair of
+that still hold several components are settled inside tasks: blocks of about ``BLOCK`` items or ``BYTES`` of text meet
+two by two, compare what is in different components, and report a link only if it merges two of them. So every pair of
 items that share a key was compared or found in one component, while only links leave a task.
 """
 
@@ -18,12 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from linkfold.llm.common import row_groups, written
+from linkfold.llm.common import discard, row_groups, written
 
 #: Rounds in which each key has one pivot.
 STARS = 2
-#: Items that meet inside a task: two blocks of so many, with their texts, are the most that one holds.
+#: Items that meet inside a task, and bytes of their texts: two blocks of so many are the most that one holds.
 BLOCK = 1024
+BYTES = 32_000_000
 
 
 class Comparison(Protocol):
@@ -73,10 +74,13 @@ def linked_components(
         met = now.join(pivots, F.col("key") == F.col("_k")).filter((F.col("component") != F.col("_c")) & alike(F.col("info"), F.col("_i")))
         pairs = written(met.select(F.col("_p").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         found = written(_confirmed(pairs, texts, compare), "found")
+        discard(pairs)
         links = found if links is None else links.unionByName(found)
         label = components(links)
         left = now.filter(F.col("node") != F.col("pivot")).select("key", "node", "info")
-    found = written(_settled(_open_keys(left, label), texts, compare), "settled")
+    now = _open_keys(left, label)
+    found = written(_settled(now, texts, compare), "settled")
+    discard(now)
     return components(links.unionByName(found)) if found.limit(1).count() else label
 
 
@@ -88,9 +92,11 @@ def _open_keys(left: DataFrame, label: DataFrame | None) -> DataFrame:
         own = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         joined = left.join(own, F.col("node") == F.col("_n"), "left")
         labelled = written(joined.withColumn("component", F.coalesce("_c", "node")).drop("_n", "_c"), "labelled")
-    stats = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("node").alias("pivot"), F.count("*").alias("size"))
-    several = written(stats.filter("_low <> _high").select(F.col("key").alias("_k"), "pivot", "size"), "open")
-    return written(labelled.join(several, F.col("key") == F.col("_k")).drop("_k"), "now")
+    stats = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("node").alias("pivot"))
+    several = written(stats.filter("_low <> _high").select(F.col("key").alias("_k"), "pivot"), "open")
+    now = written(labelled.join(several, F.col("key") == F.col("_k")).drop("_k"), "now")
+    discard(labelled, several)
+    return now
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Comparison]) -> DataFrame:
@@ -122,7 +128,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, compare: Callable[[pa.Array],
 
 def _settled(now: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Comparison]) -> DataFrame:
     """Links between the components of each key, each pair of components of a block pair once."""
-    rows = grouped_blocks(now.select("key", "size", "node", F.xxhash64("component").alias("code")), texts)
+    rows = grouped_blocks(now.select("key", "node", F.xxhash64("component").alias("code")), texts)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         code, mine = batch.column("code").to_numpy(), batch.column("mine").to_numpy()
@@ -151,32 +157,35 @@ def _settled(now: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Com
     return rows.mapInArrow(by_group(settle), StructType([StructField("a", kind), StructField("b", kind)]))
 
 
-def grouped_blocks(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Rows (key, size, node, ...) so that any two of a key stand together in some group of (key, low, high).
+def grouped_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) with their texts so that any two of a key stand together in some group of (key, low, high).
 
-    A key is cut into blocks of about ``BLOCK`` rows, and a group is two of its blocks (or the only one), so
-    no group is large; ``mine`` is a row's block. Groups are sorted inside partitions, for ``by_group``. With
-    ``texts`` (node, text), rows have their text too.
+    A key is cut into blocks of about ``BLOCK`` rows and ``BYTES`` of text, and a group is two of its blocks (or the only
+    one), so no group is large; ``mine`` is a row's block. Groups are sorted inside partitions, for ``by_group``.
+    ``texts`` is (node, text).
     """
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), count).cast("int")
-    blocks = rows.withColumn("mine", own).withColumn("_other", F.explode(F.sequence(F.lit(0), count - 1)))
-    spread = blocks.withColumn("low", F.least("mine", "_other")).withColumn("high", F.greatest("mine", "_other")).drop("_other", "size")
-    if texts is not None:
-        spread = spread.join(texts, "node")
-    return spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    sizes = texts.select(F.col("node").alias("_n"), F.octet_length("text").alias("_bytes"))
+    weighed = written(rows.join(sizes, F.col("node") == F.col("_n")).drop("_n"), "weighed")
+    count = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_bytes") / BYTES), F.lit(1)).cast("int")
+    keys = weighed.groupBy("key").agg(count.alias("_count")).withColumnRenamed("key", "_k")
+    cut = weighed.join(keys, F.col("key") == F.col("_k")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("_count")).cast("int"))
+    blocks = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    spread = blocks.withColumn("low", F.least("mine", "_other")).withColumn("high", F.greatest("mine", "_other")).drop("_other", "_count", "_k", "_bytes")
+    return spread.join(texts, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
 def by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A function for ``mapInArrow`` that gives ``work`` each group of (key, low, high) of sorted rows as one batch."""
+    """A function for ``mapInArrow`` that gives ``work`` each group of (key, low, high) of sorted rows as one batch.
+
+    Texts have long offsets there, so however many bytes a group has, it is one batch.
+    """
 
     def run(batches):
         held, out, rows = None, [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
-            if not table:
+            if not batch.num_rows:
                 continue
-            whole = table[0]
+            whole = _one_batch([_long(batch)] if held is None or not held.num_rows else [held, _long(batch)])
             keys = [whole.column(c).to_numpy() for c in ("key", "low", "high")]
             begin = 0
             for end in np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1:
@@ -192,3 +201,12 @@ def by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
+
+
+def _long(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with long offsets in its texts."""
+    return pa.RecordBatch.from_arrays([c.cast(pa.large_string()) if pa.types.is_string(c.type) else c for c in batch.columns], names=batch.schema.names)
+
+
+def _one_batch(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(k) for p in parts]) for k in range(parts[0].num_columns)], names=parts[0].schema.names)

@@ -1,4 +1,8 @@
-"""Line dedup against all pairs of lines by plain edit similarity, with no other condition."""
+"""Line dedup against all pairs of lines by plain edit similarity, with no other condition.
+
+Blocks of SimHash bits may miss a pair, so lines with as many edits as a link allows are held to a recall; nothing is
+taken out that all pairs would not take out, and exact copies and lines with few edits all go.
+"""
 
 import random
 import re
@@ -70,39 +74,88 @@ def _near_copies(seed, lengths, common=True):
     return ["\n".join(" ".join(w) for w in lines[k : k + 5]) for k in range(0, len(lines), 5)]
 
 
-def _held(docs, texts, p):
+def _held(docs, texts, p, least=1.0):
     want, links = _stay(texts, p)
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs(texts), p).collect()}
-    assert [got[k] for k in range(len(texts))] == want
+    if least == 1.0:
+        assert [got[k] for k in range(len(texts))] == want
+    gone = lost = 0
+    for k, text in enumerate(texts):
+        every, left, stays = ([x for x in t.split("\n") if x] for t in (text, got[k], want[k]))
+        assert set(stays) <= set(left) <= set(every)
+        gone += len(every) - len(stays)
+        lost += len(left) - len(stays)
+    assert lost <= (1 - least) * gone
     return links
 
 
 def test_every_pair_within_the_edit_similarity_is_found(docs):
-    assert _held(docs, _near_copies(1, [8, 9, 12, 13, 14, 20, 27, 30, 50, 60] * 2), line_dedup.Params()) > 40
+    assert _held(docs, _near_copies(1, [8, 9, 12, 13, 14, 20, 27, 30, 50, 60] * 2), line_dedup.Params(), 0.95) > 40
+
+
+def _share(pairs, p):
+    """Share of the pairs of lines that have a key in common."""
+    lines = [w for pair in pairs for w in pair]
+    words = line_dedup.hashing.mix(np.array([x for w in lines for x in w], np.uint64))
+    keys, at = line_dedup.block_keys(words, np.cumsum([0, *map(len, lines)]), p)
+    own = [set() for _ in lines]
+    for key, line in zip(keys.tolist(), at.tolist()):
+        own[line].add(key)
+    return sum(bool(own[2 * k] & own[2 * k + 1]) for k in range(len(pairs))) / len(pairs)
 
 
-def test_linked_lines_share_a_key():
-    """Also with edits as far apart as they can be, and where all pairs of words are alike."""
-    rng = random.Random(2)
-    counts = np.array([0, 5, 900, 3] * (1 << (line_dedup.BUCKETS - 2)), np.int32)
-    for n in range(7, 200, 3):
+def test_recall_by_length_and_edits():
+    """Two words in five are of the 25 most frequent; edits replace, delete and insert words anywhere."""
+    rng, p = random.Random(4), line_dedup.Params()
+    for n in (7, 8, 10, 13, 14, 20, 27, 28, 40, 55, 56, 80, 111, 112, 180, 300, 600):
         most = int(0.15 * n + 1e-9)
-        for kinds in (2, 10_000):
-            a = [rng.randrange(kinds) for _ in range(n)]
-            spread, shorter = list(a), list(a)
-            for k in range(most):
-                spread[(2 * k + 1) * n // (2 * most)] = 20_000 + k
-            for k in reversed(range(most)):
-                del shorter[(2 * k + 1) * n // (2 * most)]
-            words = np.array([*a, *spread, *shorter], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            keys, ends = line_dedup.prefix_keys(words, np.cumsum([0, n, n, n - most]), counts, 0.85)
-            own = [set(keys[ends[k] : ends[k + 1]].tolist()) for k in range(3)]
-            assert own[0] & own[1] and own[0] & own[2]
-
-
-def test_large_keys_go_on_whole(spark, docs, monkeypatch):
-    monkeypatch.setattr(line_dedup, "RUN", 2)
-    assert _held(docs, _near_copies(3, [10] * 6), line_dedup.Params()) > 5
+        for edits, least in ((1, 0.98), (max(1, most // 2), 0.97), (most, 0.95)):
+            pairs = []
+            for _ in range(200):
+                a = [rng.randrange(25) if rng.random() < 0.4 else rng.randrange(100, 1 << 40) for _ in range(n)]
+                b = list(a)
+                for _ in range(edits):
+                    at, way = rng.randrange(len(b)), rng.random()
+                    b[at : at + (way < 0.85)] = [] if 0.7 <= way < 0.85 else [rng.randrange(1 << 41, 1 << 42)]
+                pairs.append((a, b))
+            assert _share(pairs, p) >= least, (n, edits)
+
+
+def test_majorities():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 9, 500)
+    vote = rng.integers(0, 1 << 32, int(sizes.sum()), dtype=np.uint64).astype(np.uint32)
+    got = line_dedup.majorities(vote, sizes)
+    ends = np.cumsum(sizes)
+    for value, a, b in zip(got, ends - sizes, ends):
+        own = vote[a:b]
+        assert int(value) == sum(1 << k for k in range(32) if 2 * int((own >> np.uint32(k) & 1).sum()) > b - a)
+
+
+def test_large_keys_go_on_whole(monkeypatch):
+    """A task that holds too many keys hands on those with many rows, and every pair still meets somewhere."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    key = np.concatenate([np.full(300, 7), rng.integers(0, 60, 300)])
+    entry = np.zeros(600, line_dedup._ENTRY)
+    entry["key"], entry["code"], entry["n"] = key, np.arange(600), 10
+    monkeypatch.setattr(line_dedup, "RUN", 50)
+
+    class Kept:
+        def repartition(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            blobs = [pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([entry[k : k + 40].tobytes()], pa.binary())], names=["part", "blob"]) for k in range(0, 600, 40)]
+            return [r for b in run(iter(blobs)) for r in zip(b.column("key").to_pylist(), b.column("code").to_pylist())]
+
+    for held in (10**9, 100):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        got = line_dedup.shared_keys(Kept(), 0.85, 4)
+        assert len(got) == len(set(got))
+        often = {k for k in key.tolist() if (key == k).sum() > 1}
+        assert {(3 << 32 | k, c) for k, c in zip(key.tolist(), range(600)) if k in often} <= set(got)
 
 
 def test_rows_of_numbers_are_different_lines(docs):

@@ -70,6 +70,33 @@ def test_components(spark, seed):
     assert all(got[n] == want[n] for n in got) and all(n in got for a, b in links if a != b for n in (a, b))
 
 
+def test_a_group_is_one_batch_whatever_its_bytes(monkeypatch):
+    """Texts of a group that came in several batches with short offsets all reach the work."""
+    import pyarrow as pa
+
+    seen = []
+
+    def work(batch):
+        seen.append((batch.column("key")[0].as_py(), batch.num_rows, sum(len(t.as_py()) for t in batch.column("text"))))
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["a"])
+
+    def part(keys, size):
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * n), pa.array([0] * n), pa.array(["x" * size] * n, pa.string())], names=["key", "low", "high", "text"])
+
+    list(linkage.by_group(work)(iter([part([1, 1], 10), part([], 1), part([1, 2], 1_000_000), part([2] * 3, 5), part([3], 1)])))
+    assert seen == [(1, 3, 1_000_020), (2, 4, 1_000_015), (3, 1, 1)]
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BYTES", 1000)
+    rows = spark.createDataFrame([(1, k) for k in range(40)], "key long, node long")
+    texts = spark.createDataFrame([(k, "y" * 100) for k in range(40)], "node long, text string")
+    met = linkage.grouped_blocks(rows, texts).groupBy("key", "low", "high").agg(F.collect_set("node").alias("nodes"), F.sum(F.length("text")).alias("n")).collect()
+    assert {frozenset((a, b)) for r in met for a in r["nodes"] for b in r["nodes"]} >= {frozenset((a, b)) for a in range(40) for b in range(40)}
+    assert max(r["n"] for r in met) < 3500 and len(met) == 10
+
+
 def test_linked_components_lose_no_link(spark, monkeypatch):
     """One key holds all nodes, and links are between near numbers only, so no single pivot sees them; blocks are small."""
     monkeypatch.setattr(linkage, "BLOCK", 16)
@@ -156,20 +183,14 @@ def _plain_dedup(rows, p):
             if len(words.split(" ")) >= p.min_words:
                 places.setdefault(words, []).append((doc, k))
     kinds = list(places)
-    import pyarrow as pa
-
-    from linkfold.llm.common import text_buffer
-
-    marks = line_dedup.simhashes(*line_dedup.words_of(*text_buffer(pa.array(kinds, pa.string())))).view(np.uint64)
     links = []
     for i, a in enumerate(kinds):
         for j in range(i):
-            if bin(int(marks[i]) ^ int(marks[j])).count("1") <= line_dedup.RADIUS:
-                x, y = a.split(" "), kinds[j].split(" ")
-                code = {w: n for n, w in enumerate({*x, *y})}
-                most = int((1 - p.similarity) * max(len(x), len(y)) + 1e-9)
-                if line_dedup.edit_distance(np.array([code[w] for w in x]), np.array([code[w] for w in y]), most) <= most:
-                    links.append((i, j))
+            x, y = a.split(" "), kinds[j].split(" ")
+            code = {w: n for n, w in enumerate({*x, *y})}
+            most = int((1 - p.similarity) * max(len(x), len(y)) + 1e-9)
+            if line_dedup.edit_distance(np.array([code[w] for w in x]), np.array([code[w] for w in y]), most) <= most:
+                links.append((i, j))
     group = _components(range(len(kinds)), links)
     first = {}
     for n, k in enumerate(kinds):
@@ -179,7 +200,7 @@ def _plain_dedup(rows, p):
 
 
 def test_line_dedup(docs, prose):
-    rng, p = random.Random(8), line_dedup.Params()
+    rng, p = random.Random(8), line_dedup.Params(min_words=8)
     shared = [prose(60, 1000 + k, line=60) for k in range(6)]
     texts = [None, "", "short line\nshort line"]
     for k in range(40):
@@ -191,7 +212,7 @@ def test_line_dedup(docs, prose):
         texts.append("\n".join(lines))
     texts.append("ab " * 30000 + "\n" + "ab " * 30000)
     frame = docs(texts).unionByName(docs(["\n".join(shared)], [None]))
-    out = line_dedup.deduplicated(frame)
+    out = line_dedup.deduplicated(frame, p)
     assert out.columns == [*frame.columns, "n_lines", "n_removed"]
     rows = out.collect()
     got = {r["doc_id"]: r for r in rows}
@@ -204,20 +225,6 @@ def test_line_dedup(docs, prose):
     assert line_dedup.deduplicated(docs([])).count() == 0
 
 
-def test_near_marks(spark, monkeypatch):
-    """All pairs within three bits are seen, also where a key is too large for one look."""
-    rng = np.random.default_rng(3)
-    base = rng.integers(-(1 << 63), (1 << 63) - 1, 200)
-    flipped = base[:60] ^ (np.int64(1) << rng.integers(0, 62, 60)) ^ (np.int64(1) << rng.integers(0, 62, 60))
-    marks = np.concatenate([base, flipped, base[:3], np.arange(300)])
-    unsigned = marks.view(np.uint64)
-    want = {int(m) for k, m in enumerate(marks) if (np.bitwise_count(unsigned ^ unsigned[k]) <= 3).sum() > 1}
-    frame = written(spark.createDataFrame([(int(m),) for m in marks], "simhash long"))
-    for run in (2048, 4):
-        monkeypatch.setattr(line_dedup, "RUN", run)
-        assert {r["simhash"] for r in line_dedup.near_marks(frame).collect()} == want
-
-
 def test_line_dedup_of_repeated_rows(docs, prose):
     text = prose(40, 1, line=20)
     rows = line_dedup.deduplicated(docs([text, text, text], [1, 1, 2])).select("doc_id", "text").collect()
