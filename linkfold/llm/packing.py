@@ -1,11 +1,17 @@
-"""Best-fit packing by a priced greedy over the histogram of lengths.
+"""Best-fit packing by the configuration linear program over the histogram of lengths.
 
-A configuration is a multiset of lengths that fit into one sequence. Lengths have prices, set by hand and
-raised a little each round for those that lag behind; knapsack dynamic programming finds for every length the
-most valuable configuration that holds it, and each round covers a part of what is left. No linear program is
-solved and no bound computed. Configurations are rounded down to whole numbers, and what rounding leaves is
-packed best-fit, longest first. All of this sees the histogram only, whose size is the sequence length, so it
-runs on the driver; pieces find their places by their rank among the pieces of their length.
+A configuration is a multiset of lengths that fit into one sequence. The linear program covers every length as often
+as there are pieces of it by as few configurations as it can. It is solved by multiplicative weights: each length has a
+price, one knapsack dynamic program a round prices all lengths, that is, finds the best configuration and, for every
+length, the best one that holds it. Those of nearly the best value are used for at most what each length asks for;
+then prices fall for lengths that were served and rise against the others. Prices divided by the best value are a
+solution of the dual, so every round gives a lower bound on any packing. Rounds end when the average of all rounds
+covers everything within ``TOLERANCE`` of the bound, or after ``ROUNDS``.
+
+The averaged amounts are rounded down to whole numbers, the largest first, and what rounding leaves is packed
+best-fit, longest first. Where best-fit alone needs fewer sequences, its plan is taken. All of this sees the histogram
+only, whose size is the sequence length, so it runs on the driver; pieces find their places by their rank among the
+pieces of their length.
 
 Null texts count as empty: one piece that holds the end token alone. Repeated rows, also with equal ids, are
 packed each on its own. Extra columns are not read. An empty table gives no pieces.
@@ -23,6 +29,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from linkfold.llm.common import row_groups, written
 
+#: Rounds of the linear program, and how near to its bound it has to come.
+ROUNDS = 100
+TOLERANCE = 0.01
 #: Rows of a length that one task ranks, on average.
 RANKED = 20_000
 
@@ -127,59 +136,71 @@ def _fill(last: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The best of a few runs of the greedy, by the number of sequences."""
-    runs = [covered(counts, capacity, bonus=b) for b in (0.05, 0.2, 1.0)]
-    return min(runs, key=lambda plan: sum(many for _, many in plan))
+Plan = list[tuple[tuple[int, ...], int]]
+
 
+def solve(counts: np.ndarray, capacity: int) -> Plan:
+    """(configuration, whole number of sequences) pairs that hold exactly ``counts[l]`` pieces of each length l."""
+    amount, cover, _ = linear_program(counts, capacity)
+    return min((rounded(counts, capacity, amount, cover), best_fit(counts, capacity)), key=lambda plan: sum(many for _, many in plan))
 
-def covered(
-    counts: np.ndarray, capacity: int, rounds: int = 40, step: float = 0.5, eta: float = 0.02, waste: float = 0.001, bonus: float = 0.2
-) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, whole number of sequences) pairs that hold exactly ``counts[l]`` pieces of each length l.
 
-    In each round every length still short, from the longest, takes its best configuration for a share of what
-    it lacks, as far as the other lengths in it last; prices then rise for lengths that lag behind. The first
-    rounds take configurations with hardly any room left over, later ones allow more.
+def linear_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """Summed amounts of configurations, how often they cover each length, and a lower bound on the number of sequences.
+
+    The step falls with the rounds, and so does the share that a configuration may be worse than the best one.
     """
-    demand = counts.astype(float)
-    left = demand.copy()
-    # A little more than in proportion: of fillings with equal sums, the one with longer pieces goes first.
-    base = np.arange(capacity + 1) / capacity
-    base = base * (1 + bonus * base)
-    weight = np.ones(capacity + 1)
-    amount: dict[tuple[int, ...], float] = {}
-    for turn in range(rounds):
-        if left.sum() < 0.5:
-            break
-        price = np.where(left > 1e-9, base * weight, 0.0)
-        _, last = _knapsack(price, capacity)
-        spare = capacity * waste * 2 ** (turn // 10)
-        for size in np.flatnonzero(left > 1e-9)[::-1]:
-            if left[size] <= 1e-9:
+    sizes = np.flatnonzero(counts)
+    n = counts[sizes].astype(float)
+    at = np.full(capacity + 1, -1)
+    at[sizes] = np.arange(len(sizes))
+    price, cover, amount = sizes / capacity, np.zeros(len(sizes)), {}
+    bound, total = float((sizes * n).sum() / capacity), 0.0
+    for turn in range(rounds if len(sizes) else 0):
+        full = np.zeros(capacity + 1)
+        full[sizes] = price
+        value, last = _knapsack(full, capacity)
+        # No configuration is worth more than the best, so prices over its value are a dual solution.
+        bound = max(bound, float((n * price).sum() / value[capacity]))
+        price = price / value[capacity]
+        worth = price + value[capacity - sizes] / value[capacity]
+        left, slack = n.copy(), 0.02 / (1 + turn / 20)
+        for k in np.argsort(-worth, kind="stable"):
+            if worth[k] < 1 - slack:
+                break
+            if left[k] <= 1e-9:
                 continue
-            config = tuple(sorted([int(size), *_fill(last, capacity - int(size))], reverse=True))
-            if capacity - sum(config) > spare:
-                continue
-            lengths, times = np.unique(config, return_counts=True)
-            x = min(float((left[lengths] / times).min()), max(step * left[size], 1.0))
-            if x > 0:
-                amount[config] = amount.get(config, 0.0) + x
-                left[lengths] -= x * times
-        lag = left[demand > 0] / demand[demand > 0]
-        weight[demand > 0] *= np.exp(eta * (lag - lag.mean()))
-    plan: list[tuple[tuple[int, ...], int]] = []
+            config = tuple(sorted([int(sizes[k]), *_fill(last, capacity - int(sizes[k]))], reverse=True))
+            held, times = np.unique(at[list(config)], return_counts=True)
+            # The configuration's width: the first of its lengths that has no more to ask for ends it.
+            many = float((left[held] / times).min())
+            if many > 1e-9:
+                left[held] -= many * times
+                amount[config] = amount.get(config, 0.0) + many
+                total += many
+        served = 1 - left / n
+        cover += served
+        price = price * np.exp(-(served - served.mean()) / (1 + turn / 15))
+        if cover.min() > 0 and total / cover.min() <= bound * (1 + tolerance):
+            break
+    return amount, cover, bound
+
+
+def rounded(counts: np.ndarray, capacity: int, amount: dict[tuple[int, ...], float], cover: np.ndarray) -> Plan:
+    """The amounts over the usual cover as whole numbers, as far as the pieces last, and best-fit for the rest."""
+    scale = 1 / max(float(np.median(cover)), 1e-9) if len(cover) else 0.0
+    plan: Plan = []
     rest = counts.astype(np.int64).copy()
-    for config, x in amount.items():
+    for config, x in sorted(amount.items(), key=lambda item: -item[1]):
         lengths, times = np.unique(config, return_counts=True)
-        whole = min(int(np.floor(x + 1e-6)), int((rest[lengths] // times).min()))
+        whole = min(int(np.floor(x * scale + 1e-6)), int((rest[lengths] // times).min()))
         if whole > 0:
             plan.append((config, whole))
             rest[lengths] -= whole * times
     return plan + best_fit(rest, capacity)
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     """Longest first, each into the fullest sequence that has room; equal sequences are one entry with a number."""
     rooms: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
     for size in range(capacity, 0, -1):

@@ -121,6 +121,51 @@ def test_plans_hold_every_piece_once(seed):
     assert sum(m for _, m in plan) <= 1.03 * best + 3
 
 
+@pytest.mark.parametrize("kind", ["uniform", "few", "thirds", "skewed", "tails"])
+def test_plans_come_near_the_bound(kind):
+    rng, counts = np.random.default_rng(1), np.zeros(1025, np.int64)
+    if kind == "uniform":
+        np.add.at(counts, rng.integers(1, 1025, 100_000), 1)
+    elif kind == "few":
+        counts[[600, 350, 180, 1024]] = 500, 800, 1000, 30
+    elif kind == "thirds":
+        counts[[342, 341, 700, 324]] = 9000, 100, 500, 100
+    elif kind == "skewed":
+        np.add.at(counts, np.clip(rng.lognormal(6, 1, 5000).astype(int), 1, 1024), 1)
+    else:
+        counts[1024] = 4000
+        np.add.at(counts, rng.integers(1, 700, 3000), 1)
+    _, _, bound = packing.linear_program(counts, 1024)
+    plan = packing.solve(counts, 1024)
+    used = sum(m for _, m in plan)
+    assert _holds(plan, counts, 1024)
+    assert bound >= (np.arange(1025) * counts).sum() / 1024 - 1e-6
+    assert np.ceil(bound - 1e-6) <= used <= np.ceil(bound) * 1.01 + 1, (kind, used, bound)
+    assert used <= sum(m for _, m in packing.best_fit(counts, 1024))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_bound_against_the_best_packing(seed):
+    """Few pieces: the fewest sequences by trying every place for every piece."""
+    rng = np.random.default_rng(seed)
+    sizes = sorted(rng.integers(2, 13, 9).tolist(), reverse=True)
+
+    def fewest(k, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if k == len(sizes):
+            return len(rooms)
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[k] and rooms[j] not in rooms[:j]:
+                best = fewest(k + 1, rooms[:j] + [rooms[j] - sizes[k]] + rooms[j + 1 :], best)
+        return fewest(k + 1, [*rooms, 12 - sizes[k]], best)
+
+    counts = np.bincount(sizes, minlength=13)
+    want = fewest(0, [], 10)
+    used = sum(m for _, m in packing.solve(counts, 12))
+    assert packing.linear_program(counts, 12)[2] <= want + 1e-6 and want <= used <= want + 1
+
+
 def test_knapsack_against_all_multisets():
     price = np.zeros(13)
     price[[3, 4, 7]] = [2.0, 3.1, 5.0]
