@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import weakref
 
@@ -41,13 +42,19 @@ _PLACES: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the tables of frames of ``written`` that nothing will read again: what was made from them is written itself."""
+    """Delete the tables of frames of ``written`` that nothing will read again: what was made from them is written itself.
+
+    The driver's collector then lets Spark remove the shuffle files of plans that are gone too.
+    """
     for frame in frames:
         known, path = _PLACES.pop(id(frame), (None, ""))
         if known is not None and known() is frame:
             spark = frame.sparkSession
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

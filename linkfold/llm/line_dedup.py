@@ -12,8 +12,10 @@ most blocks in common, and a key is two blocks that together hold a few words. H
 its length class, whose limits double; lines near the upper limit go by both classes' blocks. Long lines have more
 blocks than a link needs, and keep the share of their keys with small hashes, the same keys on both sides. Blocks
 find nearly all links, not all: ``tests/llm/test_line_recall.py`` measures the recall by length and edits, 0.98 or more
-with one edit and 0.95 or more with as many as a link allows. Keys whose lines cannot be linked by their lengths and the parities of their words are left
-out before any words are read.
+with one edit and 0.95 or more with as many as a link allows. A key carries a mark of its line: whether the line holds an
+odd number of the words of each of 64 kinds, which an edit changes in two places at most. Keys of lines whose lengths
+or marks are too far apart are left out before any words are read; in long lines the marks see a sample of the words
+only, and their limit leaves room for chance.
 
 Of each connected group the first occurrence by (doc_id, hash of the text, line) stays and all others are
 taken out, in their own document too. Documents are never dropped: one without lines left has an empty text.
@@ -36,7 +38,7 @@ from linkfold.llm.common import discard, extended, row_groups, text_buffer, writ
 from linkfold.llm.linkage import linked_components
 
 #: Keys that lines of the longer classes keep of those that hold enough words.
-KEYS = 30.0
+KEYS = 20.0
 #: Rows of a key that are compared where they stand, and keys that a task holds before it looks for larger ones.
 RUN = 2048
 HELD = 8_000_000
@@ -76,6 +78,11 @@ class LengthClass:
     least: int
     share: float
 
+    @property
+    def sampled(self) -> int:
+        """One word in ``2**sampled`` takes part in a line's mark."""
+        return max(0, self.number - 2)
+
 
 @lru_cache(maxsize=256)
 def length_class(number: int, first: int) -> LengthClass:
@@ -85,7 +92,7 @@ def length_class(number: int, first: int) -> LengthClass:
         return LengthClass(number, blocks, tuple(range(1, blocks // 2 + 1)), 2, 1.0)
     blocks = max(4, (first - 1) << number)
     if number == 1:
-        return LengthClass(number, blocks, (1, 2, 3), 3, 1.0)
+        return LengthClass(number, blocks, (1, 2), 3, 1.0)
     # Long lines repeat words, which leaves more of their blocks empty.
     return LengthClass(number, blocks, (1,), 3, min(1.0, (KEYS + 5 * (number - 2)) / blocks))
 
@@ -136,10 +143,13 @@ def most_edits(n: int | np.ndarray, similarity: float):
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def block_keys(words: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of lines and the line of each: hashes of the SimHash blocks of every two blocks that make a key."""
+def block_keys(words: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """Keys of lines, the line of each, the class by which it goes, and the line's mark in that class.
+
+    A key is a hash of the SimHash blocks of two blocks of a line.
+    """
     sizes = np.diff(bounds)
-    keys, lines = [], []
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint64))]
     top = int(sizes.max(initial=0))
     number = 0
     while p.first << number <= top / p.similarity + 1e-9:
@@ -148,18 +158,17 @@ def block_keys(words: np.ndarray, bounds: np.ndarray, p: Params) -> tuple[np.nda
         reach = np.floor(sizes / p.similarity + 1e-9) >= low
         own = np.flatnonzero(reach & (sizes < high))
         for a, b in row_groups(np.concatenate([[0], np.cumsum(sizes[own])]), 1 << 18):
-            found, at = _class_keys(words, bounds, own[a:b], length_class(number, p.first))
-            keys.append(found)
-            lines.append(at)
+            found.append(_class_keys(words, bounds, own[a:b], length_class(number, p.first)))
         number += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(keys), np.concatenate(lines)) if keys else (none.astype(np.uint64), none)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _class_keys(words: np.ndarray, bounds: np.ndarray, own: np.ndarray, kind: LengthClass) -> tuple[np.ndarray, np.ndarray]:
+def _class_keys(words: np.ndarray, bounds: np.ndarray, own: np.ndarray, kind: LengthClass) -> tuple[np.ndarray, ...]:
     sizes = bounds[own + 1] - bounds[own]
     row = np.repeat(np.arange(len(own)), sizes)
     feature = words[np.arange(len(row)) + np.repeat(bounds[own] - (np.cumsum(sizes) - sizes), sizes)]
+    seen = np.where((feature >> np.uint64(8)) & np.uint64((1 << kind.sampled) - 1) == 0, np.uint64(1) << (feature >> np.uint64(58)), np.uint64(0))
+    mark = np.bitwise_xor.reduceat(seen, np.cumsum(sizes) - sizes) if len(own) else np.zeros(0, np.uint64)
     spot = row * kind.blocks + ((feature >> np.uint64(40)) % np.uint64(kind.blocks)).astype(np.int64)
     # In one number, by block and word; equal words of a line stand together.
     order = np.sort(spot.astype(np.uint64) << np.uint64(32) | feature & _LOW)
@@ -173,8 +182,6 @@ def _class_keys(words: np.ndarray, bounds: np.ndarray, own: np.ndarray, kind: Le
         vote[twice] = hashing.mix(vote[twice].astype(np.uint64) + again.astype(np.uint64) * _ODD).astype(np.uint32)
     held = np.bincount(spot, minlength=len(own) * kind.blocks)
     filled = np.flatnonzero(held)
-    if not len(filled):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     value = np.zeros(len(held), np.uint64)
     value[filled] = majorities(vote, held[filled])
     keys, lines = [], []
@@ -192,7 +199,8 @@ def _class_keys(words: np.ndarray, bounds: np.ndarray, own: np.ndarray, kind: Le
             found, at = found[few], at[few]
         keys.append(found)
         lines.append(line[at])
-    return np.concatenate(keys), own[np.concatenate(lines)]
+    line = np.concatenate(lines)
+    return np.concatenate(keys), own[line], np.full(len(line), kind.number, np.uint8), mark[line]
 
 
 _LOW, _ODD = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
@@ -219,13 +227,11 @@ def majorities(vote: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 bits a line: whether it holds an odd number of the words of each of 64 kinds. An edit changes two at most."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(bounds))
-    if len(some):
-        out[some] = np.bitwise_xor.reduceat(np.uint64(1) << (words >> np.uint64(58)), bounds[some])
-    return out.view(np.int64)
+def mark_limit(most: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Bits in which the marks of lines with at most so many edits differ; in samples 2.5 deviations over the mean."""
+    share = 0.5 ** np.maximum(kind.astype(np.int64) - 2, 0)
+    changed = 2.0 * most
+    return np.where(share == 1, changed, 32 * (1 - np.exp(-changed * share / 32)) + 2.5 * np.sqrt(changed * share * (1 - share)))
 
 
 def _cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +262,7 @@ def _codes(digest: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, p: Params) -> DataFrame:
-    """Lines long enough: where they stand, a 128-bit digest of their words and 60 bits of it, how many, their parities."""
+    """Lines long enough: where they stand, a 128-bit digest of their words, and 60 bits of it."""
     read = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
 
     def run(batches):
@@ -268,25 +274,23 @@ def lines_of(docs: DataFrame, p: Params) -> DataFrame:
                     pa.array(line[long].astype(np.int32)),
                     pa.array([d.tobytes() for d in digest], pa.binary()),
                     pa.array(_codes(digest)),
-                    pa.array(np.diff(bounds)[long].astype(np.int32)),
-                    pa.array(parities(words, bounds)[long]),
                 ],
-                names=["doc_id", "row", "line", "digest", "code", "n", "parity"],
+                names=["doc_id", "row", "line", "digest", "code"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, digest binary, code long, n int, parity long")
-    return found.select(F.struct("doc_id", "row", "line").alias("place"), "digest", "code", "n", "parity")
+    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, digest binary, code long")
+    return found.select(F.struct("doc_id", "row", "line").alias("place"), "digest", "code")
 
 
 # --- keys, packed -------------------------------------------------------------------------
 
-_ENTRY = np.dtype([("key", "<u4"), ("code", "<i8"), ("n", "<u2"), ("parity", "<u4")])
+_ENTRY = np.dtype([("key", "<u4"), ("code", "<i8"), ("n", "<u2"), ("kind", "u1"), ("mark", "<u8")])
 _LONGEST = 65535
 
 
 def packed_keys(docs: DataFrame, p: Params, parts: int) -> DataFrame:
-    """(part, blob): the keys of all lines, dealt by their upper bits, as arrays of 18 bytes a key with its class.
+    """(part, blob): the keys of all lines, dealt by their upper bits, as arrays of 23 bytes a key with its line.
 
     Equal lines that a task meets together are packed once.
     """
@@ -297,18 +301,19 @@ def packed_keys(docs: DataFrame, p: Params, parts: int) -> DataFrame:
         for _, _, _, words, bounds, long in _long_lines(batches, p):
             sizes = np.diff(bounds)
             long = long[np.floor(sizes[long] / p.similarity + 1e-9) >= p.first]
+            if not len(long):
+                continue
             codes = _codes(hashing.sequence_hashes(words, bounds))
             _, once = np.unique(codes[long], return_index=True)
             own = long[once]
             # Keys are made for these lines only.
             at = np.repeat(bounds[own] - (np.cumsum(sizes[own]) - sizes[own]), sizes[own]) + np.arange(int(sizes[own].sum()))
-            keys, line = block_keys(words[at], np.concatenate([[0], np.cumsum(sizes[own])]), p)
+            keys, line, kind, mark = block_keys(words[at], np.concatenate([[0], np.cumsum(sizes[own])]), p)
             line = own[line]
-            marks = parities(words, bounds).view(np.uint64)
-            folded = (marks >> np.uint64(32)) ^ (marks & np.uint64(0xFFFFFFFF))
             part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
             entry = np.empty(len(keys), _ENTRY)
-            entry["key"], entry["code"], entry["n"], entry["parity"] = keys.astype(np.uint32), codes[line], np.minimum(sizes[line], _LONGEST), folded[line]
+            entry["key"], entry["code"], entry["n"] = keys.astype(np.uint32), codes[line], np.minimum(sizes[line], _LONGEST)
+            entry["kind"], entry["mark"] = kind, mark
             held.append((part.astype(np.int32), entry))
             n += len(keys)
             if n >= PACKED:
@@ -334,7 +339,7 @@ def _packed(held: list) -> pa.RecordBatch:
 
 
 def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
-    """(key, code) of the classes that may be linked to another one of their key.
+    """(key, code, n, kind, mark) of the lines that may be linked to another one of their key.
 
     A part's keys are sorted and compared in one place. A task that has to hold more than it should looks for keys with
     more than ``RUN`` rows; those go on as they are, with all that still come, and are compared in blocks later.
@@ -345,11 +350,11 @@ def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
         for batch in batches:
             for part, blob in zip(batch.column("part").to_numpy(), batch.column("blob")):
                 entry = np.frombuffer(blob.as_buffer(), _ENTRY)
-                rows = (int(part) << 32 | entry["key"].astype(np.int64), entry["code"].copy(), entry["n"].astype(np.int64), entry["parity"].copy())
+                rows = (int(part) << 32 | entry["key"].astype(np.int64), entry["code"].copy(), entry["n"].copy(), entry["kind"].copy(), entry["mark"].copy())
                 if len(large):
                     on = np.isin(rows[0], large)
                     if on.any():
-                        yield _pairs(rows[0][on], rows[1][on])
+                        yield _rows(*(r[on] for r in rows))
                         rows = tuple(r[~on] for r in rows)
                 held.append(rows)
                 n += len(rows[0])
@@ -358,13 +363,13 @@ def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
                     keys, many = np.unique(held[0][0], return_counts=True)
                     large = np.concatenate([large, keys[many > RUN]])
                     on = np.isin(held[0][0], large)
-                    yield _pairs(held[0][0][on], held[0][1][on])
+                    yield _rows(*(r[on] for r in held[0]))
                     held = [tuple(r[~on] for r in held[0])]
                     n = 0  # what is left has no large key; the next look is after as many more
         if held:
             yield _may_link_in(*_distinct(held), similarity)
 
-    return packed.repartition(parts, "part").mapInArrow(run, "key long, code long")
+    return packed.repartition(parts, "part").mapInArrow(run, "key long, code long, n int, kind int, mark long")
 
 
 def _distinct(held: list) -> tuple[np.ndarray, ...]:
@@ -377,25 +382,27 @@ def _distinct(held: list) -> tuple[np.ndarray, ...]:
     return tuple(r[new] for r in rows)
 
 
-def _pairs(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code)], names=["key", "code"])
+def _rows(key: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    cells = [pa.array(key), pa.array(code), pa.array(n.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(np.ascontiguousarray(mark).view(np.int64))]
+    return pa.RecordBatch.from_arrays(cells, names=["key", "code", "n", "kind", "mark"])
 
 
-def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, parity: np.ndarray, similarity: float) -> pa.RecordBatch:
+def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.ndarray, mark: np.ndarray, similarity: float) -> pa.RecordBatch:
     """Rows of sorted keys that may be linked to another one of their key, and all rows of keys with more than ``RUN``."""
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begin, len(key)))
     near = np.repeat(sizes > RUN, sizes)
     last = np.repeat(np.where(sizes > RUN, 0, begin + sizes), sizes)
+    words = n.astype(np.int64)
     at, step = np.arange(len(key)), 1
     while len(at):
         at = at[at + step < last[at]]
         a, b = at, at + step
-        most = most_edits(np.maximum(n[a], n[b]), similarity)
-        hit = at[(np.abs(n[a] - n[b]) <= most) & (np.bitwise_count(parity[a] ^ parity[b]) <= 2 * most)]
+        most = most_edits(np.maximum(words[a], words[b]), similarity)
+        hit = at[(np.abs(words[a] - words[b]) <= most) & (np.bitwise_count(mark[a] ^ mark[b]) <= mark_limit(most, kind[a]))]
         near[hit] = near[hit + step] = True
         step += 1
-    return _pairs(key[near], code[near])
+    return _rows(*(x[near] for x in (key, code, n, kind, mark)))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -448,9 +455,13 @@ class Lines:
 
 
 def may_link(m: Column, n: Column, similarity: float) -> Column:
-    """Whether two lines (n, parity) can be linked by their lengths and parities."""
+    """Whether two lines (n, kind, mark) of a key can be linked by their lengths and marks; ``mark_limit`` as a column."""
     most = F.floor(F.lit(1 - similarity) * F.greatest(m["n"], n["n"]) + F.lit(1e-9))
-    return (F.abs(m["n"] - n["n"]) <= most) & (F.bit_count(m["parity"].bitwiseXOR(n["parity"])) <= 2 * most)
+    share = F.pow(F.lit(0.5), F.greatest(m["kind"] - 2, F.lit(0)))
+    changed = most * 2.0
+    sampled = 32 * (1 - F.exp(-changed * share / 32)) + 2.5 * F.sqrt(changed * share * (1 - share))
+    limit = F.when(share == 1, changed).otherwise(sampled)
+    return (F.abs(m["n"] - n["n"]) <= most) & (F.bit_count(m["mark"].bitwiseXOR(n["mark"])) <= limit)
 
 
 def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -458,14 +469,14 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spark, similarity = docs.sparkSession, p.similarity
     lines = written(lines_of(docs, p), "lines")
-    kinds = lines.groupBy("digest").agg(F.min("place").alias("node"), F.max("place").alias("_last"), *[F.first(c).alias(c) for c in ("code", "n", "parity")])
-    classes = written(kinds.select("digest", "node", (F.col("node") != F.col("_last")).alias("again"), "code", "n", "parity"), "classes")
+    kinds = lines.groupBy("digest").agg(F.min("place").alias("node"), F.max("place").alias("_last"), F.first("code").alias("code"))
+    classes = written(kinds.select("digest", "node", (F.col("node") != F.col("_last")).alias("again"), "code"), "classes")
     # A line has about a dozen keys; so many parts that each is a bounded piece of work.
-    size = (lines.filter(F.col("n") >= p.first).count()) * 12 * _ENTRY.itemsize
+    size = lines.count() * 12 * _ENTRY.itemsize
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     close = written(shared_keys(packed_keys(docs, p, parts), similarity, parts), "close")
-    ends = classes.select(F.col("code").alias("_c"), "node", F.struct("n", "parity").alias("info"))
-    buckets = written(close.join(ends, F.col("code") == F.col("_c")).select("key", "node", "info"), "buckets")
+    ends = classes.select(F.col("code").alias("_c"), "node")
+    buckets = written(close.join(ends, F.col("code") == F.col("_c")).select("key", "node", F.struct("n", "kind", "mark").alias("info")), "buckets")
     discard(close)
     texts = written(_texts(docs, written(buckets.select("node").distinct(), "some")), "words")
     found = linked_components(buckets, texts, lambda m, n: may_link(m, n, similarity), lambda t: Lines(t, similarity))

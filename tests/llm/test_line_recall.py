@@ -94,14 +94,18 @@ def test_every_pair_within_the_edit_similarity_is_found(docs):
 
 
 def _share(pairs, p):
-    """Share of the pairs of lines that have a key in common."""
+    """Share of the pairs of lines that have a key in common, with marks that are near enough."""
     lines = [w for pair in pairs for w in pair]
     words = line_dedup.hashing.mix(np.array([x for w in lines for x in w], np.uint64))
-    keys, at = line_dedup.block_keys(words, np.cumsum([0, *map(len, lines)]), p)
-    own = [set() for _ in lines]
-    for key, line in zip(keys.tolist(), at.tolist()):
-        own[line].add(key)
-    return sum(bool(own[2 * k] & own[2 * k + 1]) for k in range(len(pairs))) / len(pairs)
+    keys, at, kinds, marks = line_dedup.block_keys(words, np.cumsum([0, *map(len, lines)]), p)
+    own = [{} for _ in lines]
+    for key, line, kind, mark in zip(keys.tolist(), at.tolist(), kinds.tolist(), marks.tolist()):
+        own[line][key] = kind, mark
+    met = 0
+    for (a, b), x, y in zip(pairs, own[::2], own[1::2]):
+        most = np.array([int(0.15 * max(len(a), len(b)) + 1e-9)])
+        met += any(bin(x[k][1] ^ y[k][1]).count("1") <= line_dedup.mark_limit(most, np.array([x[k][0]]))[0] for k in x.keys() & y.keys())
+    return met / len(pairs)
 
 
 def test_recall_by_length_and_edits():
