@@ -86,7 +86,7 @@ WITH RECURSIVE walk (part, filter_order, applied, step, kept, removed, redundant
     aggregate(p.cells, 0L, (a, c) -> a + IF(c.mask = l.bit, c.n, 0L)),
     aggregate(p.cells, 0L, (a, c) -> a + IF(c.mask & l.bit <> 0 AND c.mask & w.applied = 0, c.good, 0L)),
     aggregate(p.cells, 0L, (a, c) -> a + IF(c.mask & l.bit <> 0 AND c.mask & w.applied = 0, c.toxic, 0L))
-  FROM walk w JOIN {parts} p ON w.part = p.part JOIN {letters} l ON w.applied & l.bit = 0)
+  FROM walk w JOIN {parts} p ON w.part = p.part LATERAL VIEW inline({letters}) l AS letter, bit WHERE w.applied & l.bit = 0)
 SELECT * FROM walk WHERE step > 0"""
 
 
@@ -97,15 +97,14 @@ def prefixes(cells: DataFrame, letters: str) -> DataFrame:
     parts = written(cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells")), "audit-parts")
     many = max(1, -(-parts.count() // PARTS))
     tag = uuid.uuid4().hex
-    spark.createDataFrame([(x, 1 << i) for i, x in enumerate(letters)], "letter string, bit int").createOrReplaceTempView(f"audit_letters_{tag}")
+    listed = "array(" + ", ".join(f"struct('{x}', {1 << i})" for i, x in enumerate(letters)) + ")"
     out = None
     for k in range(many):
         name = f"audit_parts_{tag}_{k}"
         parts.filter(F.pmod(F.xxhash64("part"), F.lit(many)) == k).createOrReplaceTempView(name)
-        walk = spark.sql(_WALK.format(parts=name, letters=f"audit_letters_{tag}"))
+        walk = spark.sql(_WALK.format(parts=name, letters=listed))
         out = walk if out is None else out.unionByName(walk)
         spark.catalog.dropTempView(name)
-    spark.catalog.dropTempView(f"audit_letters_{tag}")
     return written(out, "audit-prefixes")
 
 

@@ -8,8 +8,9 @@ k-th score of all rows, as k rows above them are known. So a task sends at most
 
 Vectors that are null, empty, or hold a null or non-finite component take no part; nor do rows with a null id.
 Only vectors of equal length are compared. Repeated ids are rows of their own: each may be listed. Fewer than
-k candidates are all listed. Scores beyond 2**53 in size are not exact in floating point, so a vector with a
-component of ``LARGEST`` or more, where that could happen, is an error and not a wrong result.
+k candidates are all listed. Scores are exact whatever the components: where the product of the two lengths leaves
+floating point's whole numbers, they are computed modulo 2**64, and beyond 2**62 in whole numbers of any size; a score
+that does not fit into a long is the nearest long.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ BLOCK = 2048
 BINS = 1024
 #: Rows that a task scores at once.
 ROWS = 4096
-LARGEST = float(1 << 22)
+#: Scores go by as unsigned numbers of the same order; 0 stands for no candidate.
+_SIGN = np.uint64(1 << 63)
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -37,15 +39,37 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(usable, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"),
-        F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double")).alias("v"),
+        # From 2**53 on every double is whole.
+        F.transform(v, lambda x: F.when(F.abs(x.cast("double") * F.lit(scale)) < F.lit(2.0**53), F.floor(x.cast("double") * F.lit(scale)).cast("double")).otherwise(x.cast("double") * F.lit(scale))).alias("v"),
     )
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    out = flat.reshape(len(column), -1)
-    if out.size and np.abs(out).max() >= LARGEST:
-        raise ValueError(f"a component of {LARGEST:.0f} or more: scores may not be exact")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Whole doubles modulo 2**64."""
+    rest = np.fmod(x, 2.0**64)
+    size = np.abs(rest).astype(np.uint64)
+    return np.where(rest < 0, np.uint64(0) - size, size)
+
+
+def scores_of(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact inner products (queries by rows) as unsigned numbers in the order of the scores, at least 1."""
+    with np.errstate(all="ignore"):
+        q, r = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((rows * rows).sum(axis=1))
+        largest = float(q.max(initial=0))
+        out = (queries @ rows.T).astype(np.int64).view(np.uint64)
+        # By the Cauchy-Schwarz inequality no partial sum leaves the whole numbers of a double below this.
+        big = np.flatnonzero(~(r * largest < 2.0**53))
+        if len(big):
+            out[:, big] = _modulo(queries) @ _modulo(rows[big]).T
+        out ^= _SIGN
+        for k in np.flatnonzero(~(r * largest < 2.0**62)):
+            for i in np.flatnonzero(~(q * r[k] < 2.0**62)):
+                exact = sum(int(a) * int(b) for a, b in zip(queries[i].tolist(), rows[k].tolist()))
+                out[i, k] = min(max(exact, 1 - (1 << 63)), (1 << 63) - 1) + (1 << 63)
     return out
 
 
@@ -61,9 +85,9 @@ def _scored(batches, groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]
             for k in range(0, len(rows), ROWS):
                 part = batch.take(pa.array(rows[k : k + ROWS]))
                 ids = part.column("id").to_numpy()
-                scores = queries @ _matrix(part.column("v")).T
+                scores = scores_of(queries, _matrix(part.column("v")))
                 # A query is no candidate of its own.
-                scores[query_ids[:, None] == ids[None, :]] = -np.inf
+                scores[query_ids[:, None] == ids[None, :]] = 0
                 yield at, ids, scores
 
 
@@ -74,12 +98,15 @@ def _grouped(block: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def kth_scores(rows: DataFrame, groups, n: int, k: int, reach: float) -> np.ndarray:
-    """The k-th highest score of each of n queries; the lowest where there are fewer than k, -inf where there is none."""
+    """The k-th highest score of each of n queries; the lowest where there are fewer than k, the highest number where there is none."""
     context = rows.sparkSession.sparkContext
-    low, high = np.full(n, -reach - 1), np.full(n, reach + 1)  # the score sought is above low and not above high
+    far = min(int(min(reach, 2.0**63)) + 1, (1 << 63) - 1)
+    # The score sought is above low and not above high.
+    low, high = np.full(n, (1 << 63) - far, np.uint64), np.full(n, (1 << 63) + far, np.uint64)
+    low -= np.uint64(1)
     above = np.zeros(n, np.int64)  # rows above high
     while (high - low > 1).any():
-        width = np.maximum(1, np.ceil((high - low) / BINS))
+        width = (high - low) // np.uint64(BINS) + np.uint64(1)
         sent = context.broadcast((groups, low, high, width, k - above))
 
         def histogram(batches):
@@ -106,10 +133,10 @@ def kth_scores(rows: DataFrame, groups, n: int, k: int, reach: float) -> np.ndar
         for r in got:
             q = r["q"]
             none[q] = False
-            top = high[q] - r["bin"] * width[q]
+            top, wide = int(high[q]) - int(r["bin"]) * int(width[q]), int(width[q])
             above[q] += r["before"]
-            low[q], high[q] = max(low[q], top - width[q]), top
-        low[none] = high[none] = -reach - 2  # no candidate: nothing scores as low
+            low[q], high[q] = max(int(low[q]), top - wide), top
+        low[none] = high[none] = 2**64 - 1  # no candidate: nothing scores as high
         sent.unpersist()
     return high
 
@@ -128,7 +155,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if not wide["n"] or bound is None:
         return spark.createDataFrame([], schema)
     # By the Cauchy-Schwarz inequality no score is larger; queries are vectors too.
-    reach = float(np.ceil(max(bound, asked.agg(F.max(square).alias("s")).first()["s"])))
+    reach = float(np.ceil(max(bound, asked.agg(F.max(square).alias("s")).first()["s"]) * (1 + 1e-12)))
     size = max(64, min(BLOCK, (1 << 24) // (8 * wide["d"])))
     blocks = -(-wide["n"] // size)
     out = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
@@ -148,17 +175,17 @@ def _answers(vectors: DataFrame, block: list, k: int, reach: float) -> DataFrame
 
     def keep(batches):
         groups, least, query_ids = sent.value
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for at, ids, scores in _scored(batches, groups):
-            q, c = np.nonzero((scores >= least[at, None]) & (scores > -np.inf))
+            q, c = np.nonzero((scores >= least[at, None]) & (scores > 0))
             best = [np.concatenate(x) for x in zip(best, (at[q], ids[c], scores[q, c]))]
             # Of a query's rows in this task only the k best by score and id can be among the k best of all.
-            order = np.lexsort((best[1], -best[2], best[0]))
+            order = np.lexsort((best[1], ~best[2], best[0]))
             best = [x[order] for x in best]
             start = np.searchsorted(best[0], best[0], side="left")
             best = [x[np.arange(len(start)) - start < k] for x in best]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2].astype(np.int64))], names=["query_id", "vec_id", "score"]
+            [pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array((best[2] ^ _SIGN).view(np.int64))], names=["query_id", "vec_id", "score"]
         )
 
     found = vectors.mapInArrow(keep, "query_id long, vec_id long, score long")

@@ -39,6 +39,28 @@ def test_topk_with_ties_and_broken_vectors(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_scores_are_exact_whatever_the_components():
+    rng = np.random.default_rng(2)
+    for reach in (100.0, 2.0**20, 2.0**27, 2.0**31, 2.0**40, 1e25):
+        q, r = (np.floor(rng.normal(size=(5, 6)) * reach) for _ in range(2))
+        r[0], q[1], r[2, 1:] = 0, [1, 0, 0, 0, 0, 0], 0
+        got = topk.scores_of(q, r)
+        for i in range(5):
+            for k in range(5):
+                want = sum(int(a) * int(b) for a, b in zip(q[i], r[k]))
+                assert int(got[i, k]) - (1 << 63) == min(max(want, 1 - (1 << 63)), (1 << 63) - 1)
+
+
+def test_topk_of_large_components(spark):
+    """Scores around 2**60 that differ by one; one vector whose scores fit no long with some others."""
+    rows = [(0, [4194304.0, 1.0 / 256]), (5, [3.0, 0.0])] + [(k, [4194304.0, k / 256]) for k in range(10, 40)] + [(77, [1e30, 0.0]), (78, [-1e30, 0.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in _search(spark, rows, 5, k=4).collect()}
+    ints = {i: [int(np.floor(256.0 * float(np.float32(x)))) for x in v] for i, v in rows}
+    for q in [i for i in ints if i % 5 == 0]:
+        scored = sorted((-min(max(sum(a * b for a, b in zip(ints[q], ints[c])), 1 - 2**63), 2**63 - 1), c) for c in ints if c != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(c, -s) for s, c in scored]
+
+
 def test_topk_few_and_none(spark):
     assert len(_search(spark, [(0, [1.0]), (5, [2.0]), (7, [-1.0])], 5).collect()) == 4
     assert _search(spark, [(0, [1.0])], 5).count() == 0
