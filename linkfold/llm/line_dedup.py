@@ -339,7 +339,7 @@ def _packed(held: list) -> pa.RecordBatch:
 
 
 def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
-    """(key, code, n, kind, mark) of the lines that may be linked to another one of their key.
+    """(key, code, n, kind, mark) of the lines that may be linked to another one of their key; keys are renamed.
 
     A part's keys are sorted and compared in one place. A task that has to hold more than it should looks for keys with
     more than ``RUN`` rows; those go on as they are, with all that still come, and are compared in blocks later.
@@ -402,7 +402,17 @@ def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.ndar
         hit = at[(np.abs(words[a] - words[b]) <= most) & (np.bitwise_count(mark[a] ^ mark[b]) <= mark_limit(most, kind[a]))]
         near[hit] = near[hit + step] = True
         step += 1
-    return _rows(*(x[near] for x in (key, code, n, kind, mark)))
+    # Lines that are near to each other share many keys: those with the same lines get the same name.
+    name = key.copy()
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.flatnonzero(near & (last > 0))
+    if len(own):
+        total = np.zeros(len(sizes), np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], group[own][1:] != group[own][:-1]]))
+        with np.errstate(over="ignore"):
+            total[group[own][starts]] = np.add.reduceat(hashing.mix(code[own].view(np.uint64)), starts)
+        name[own] = hashing.mix(total)[group[own]].view(np.int64)
+    return _rows(*(x[near] for x in (name, code, n, kind, mark)))
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -474,15 +484,23 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # A line has about a dozen keys; so many parts that each is a bounded piece of work.
     size = lines.count() * 12 * _ENTRY.itemsize
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-    close = written(shared_keys(packed_keys(docs, p, parts), similarity, parts), "close")
-    ends = classes.select(F.col("code").alias("_c"), "node")
-    buckets = written(close.join(ends, F.col("code") == F.col("_c")).select("key", "node", F.struct("n", "kind", "mark").alias("info")), "buckets")
-    discard(close)
-    texts = written(_texts(docs, written(buckets.select("node").distinct(), "some")), "words")
+    close = shared_keys(packed_keys(docs, p, parts), similarity, parts)
+    info = F.first(F.struct("n", "kind", "mark")).alias("info")
+    buckets = written(close.groupBy("key", F.col("code").alias("node")).agg(info), "buckets")
+    # Of classes that share a code, which hardly any do, the first stands for it.
+    codes = buckets.select(F.col("node").alias("_code")).distinct()
+    heads = classes.join(codes, F.col("code") == F.col("_code"), "left_semi").groupBy("code").agg(F.min(F.struct("node", "digest")).alias("_h"))
+    heads = written(heads.select("code", F.col("_h.node").alias("place"), F.col("_h.digest").alias("digest")), "heads")
+    placed = _texts(docs, heads.select(F.col("place").alias("node")))
+    texts = placed.select(F.col("node").alias("_at"), "text").join(heads, F.col("_at") == F.col("place")).select(F.col("code").alias("node"), "text")
+    texts = written(texts, "words")
     found = linked_components(buckets, texts, lambda m, n: may_link(m, n, similarity), lambda t: Lines(t, similarity))
     discard(buckets, texts)
-    label = found.select(F.col("node").alias("_n"), "component")
-    stays = classes.join(label, F.col("node") == F.col("_n"), "left").filter(F.col("again") | F.col("component").isNotNull())
+    # A component is named by its first place.
+    named = found.join(heads, F.col("node") == F.col("code")).select("digest", "component", "place")
+    firsts = named.groupBy("component").agg(F.min("place").alias("_first")).withColumnRenamed("component", "_c")
+    label = named.join(firsts, F.col("component") == F.col("_c")).select(F.col("digest").alias("_of"), F.col("_first").alias("component"))
+    stays = classes.join(label, F.col("digest") == F.col("_of"), "left").filter(F.col("again") | F.col("component").isNotNull())
     stays = written(stays.select(F.col("digest").alias("_d"), F.coalesce("component", "node").alias("stay")), "stays")
     discard(classes)
     gone = lines.select("place", "digest").join(stays, F.col("digest") == F.col("_d")).filter(F.col("place") != F.col("stay"))
