@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkfold.plans import star_queries, text_queries  # noqa: F401  (importing registers the queries)
+from linkfold.plans import corpus_queries, star_queries, text_queries  # noqa: F401  (importing registers the queries)
 
 QUERIES = star_queries.QUERIES
 ORACLES = star_queries.ORACLES

@@ -38,6 +38,29 @@ def files_of(body: DataFrame) -> DataFrame:
     return body.select("dataset_id", "file_name").distinct()
 
 
+def write_files(lines: DataFrame, path: str) -> None:
+    """Lines as files ``path/<dataset>/<file>`` in the session's file system; each file is written by one task.
+
+    Spark names its files itself, so they are written below a folder of their own and renamed.
+    """
+    spark = lines.sparkSession
+    own = f"{path}-parts"
+    whole = lines.repartition("dataset_id", "file_name").sortWithinPartitions("dataset_id", "file_name", "line_no")
+    whole.select("dataset_id", "file_name", F.col("raw").alias("value")).write.partitionBy("dataset_id", "file_name").text(own)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(own).getFileSystem(spark._jsc.hadoopConfiguration())
+    for dataset in system.listStatus(hadoop.Path(own)):
+        if not dataset.isDirectory():
+            continue
+        folder = f"{path}/{dataset.getPath().getName().split('=', 1)[1]}"
+        system.mkdirs(hadoop.Path(folder))
+        for file in system.listStatus(dataset.getPath()):
+            name = file.getPath().getName().split("=", 1)[1]
+            for part in system.listStatus(file.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    system.rename(part.getPath(), hadoop.Path(f"{folder}/{name}"))
+
+
 # --- one plain table ---------------------------------------------------------------
 
 LINEITEM = Table(

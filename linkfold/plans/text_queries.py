@@ -684,48 +684,51 @@ i AS (
 """
 
 
+# Issues of whole files, and those of rows, with all they say.
+_ALL_ISSUES = f"""{_CHECK_SQL},
+f AS (
+  SELECT c_custkey AS cust, 0 AS line_no, 'empty_file' AS kind, 'File is empty: orders.tbl' AS message, NULL AS expected, NULL AS actual FROM customer WHERE c_nationkey = 3
+  UNION ALL SELECT c_custkey, 1, 'missing_metadata_line', 'Missing or blank title/metadata line in orders.tbl', 'Non-empty title line on line 1', NULL
+    FROM customer WHERE c_nationkey <> 3 AND c_acctbal < 0
+  UNION ALL SELECT c_custkey, 2, 'missing_header_line', 'Expected a column header in orders.tbl, but found a data row instead', 'Column header on line 2', '1 2 3.5 y first'
+    FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'MACHINERY'
+  UNION ALL SELECT c_custkey, 2, 'header_column_mismatch', 'Column-header mismatch in orders.tbl: 5 of 5 expected columns not found in header', '{_ORDER_HEADER}', 'foo bar baz qux'
+    FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'HOUSEHOLD'),
+every AS (
+  SELECT 'c' || cust AS dataset_id, line_no, kind, '' AS col, message, expected, actual, 0 AS ord FROM f
+  UNION ALL SELECT 'c' || o_custkey, line_no, kind, col, CASE kind WHEN 'wrong_column_count' THEN 'Too few columns in orders.tbl at line ' || line_no || ': expected 5 columns, found 2'
+      ELSE 'Invalid ' || CASE kind WHEN 'invalid_integer' THEN 'integer' WHEN 'invalid_decimal' THEN 'numeric' ELSE 'boolean' END || ' value in orders.tbl at line ' || line_no || ', column "' || col
+        || '": "' || actual || '"' || CASE kind WHEN 'invalid_boolean' THEN ' (expected 0/1, y/n, true/false, or yes/no)' ELSE '' END END,
+    CASE kind WHEN 'wrong_column_count' THEN '5' WHEN 'invalid_integer' THEN 'integer' WHEN 'invalid_decimal' THEN 'number' ELSE '0/1, y/n, true/false, or yes/no' END, actual, ord FROM i)"""
+
+
 @query(
     "format_issues_rows",
-    f"""WITH {_CHECK_SQL} SELECT 'c' || o_custkey AS dataset_id, line_no, kind, col AS "column", actual FROM i""",
+    f"""WITH {_ALL_ISSUES} SELECT dataset_id, line_no::BIGINT AS line_no, kind, col AS "column", coalesce(expected, '') AS expected, coalesce(actual, '') AS actual FROM every""",
 )
 def format_issues_rows(spark, sf):
-    rows = _issues(spark, sf, cap=None).filter(F.col("line_no") > 2)
-    return rows.select("dataset_id", "line_no", "kind", F.coalesce("column", F.lit("")).alias("column"), "actual")
+    return _issues(spark, sf, cap=None).select("dataset_id", "line_no", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("column", "expected", "actual")])
 
 
 @query(
     "format_issue_cap",
-    f"""WITH {_CHECK_SQL} SELECT 'c' || o_custkey AS dataset_id, line_no, kind FROM
-    (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY line_no, ord) AS n FROM i) WHERE n <= 20""",
+    f"""WITH {_ALL_ISSUES} SELECT dataset_id, line_no::BIGINT AS line_no, kind FROM
+    (SELECT *, row_number() OVER (PARTITION BY dataset_id, line_no > 2 ORDER BY line_no, ord) AS n FROM every) WHERE n <= 20 OR line_no <= 2""",
 )
 def format_issue_cap(spark, sf):
-    return _issues(spark, sf, cap=20).filter(F.col("line_no") > 2).select("dataset_id", "line_no", "kind")
+    return _issues(spark, sf, cap=20).select("dataset_id", "line_no", "kind")
 
 
-@query(
-    "format_issues_files",
-    """SELECT 'c' || c_custkey AS dataset_id, 0::BIGINT AS line_no, 'empty_file' AS kind, 'File is empty: orders.tbl' AS message
-      FROM customer WHERE c_nationkey = 3
-    UNION ALL SELECT 'c' || c_custkey, 1, 'missing_metadata_line', 'Missing or blank title/metadata line in orders.tbl'
-      FROM customer WHERE c_nationkey <> 3 AND c_acctbal < 0
-    UNION ALL SELECT 'c' || c_custkey, 2, 'missing_header_line', 'Expected a column header in orders.tbl, but found a data row instead'
-      FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'MACHINERY'
-    UNION ALL SELECT 'c' || c_custkey, 2, 'header_column_mismatch',
-      'Column-header mismatch in orders.tbl: 5 of 5 expected columns not found in header'
-      FROM customer WHERE c_nationkey <> 3 AND c_mktsegment = 'HOUSEHOLD'""",
-)
+@query("format_issues_files", f"WITH {_ALL_ISSUES} SELECT dataset_id, line_no::BIGINT AS line_no, kind, message FROM every")
 def format_issues_files(spark, sf):
-    return _issues(spark, sf).filter(F.col("line_no") <= 2).select("dataset_id", "line_no", "kind", "message")
+    return _issues(spark, sf).select("dataset_id", "line_no", "kind", "message")
 
 
-@query(
-    "issue_counts_by_kind",
-    f"""WITH {_CHECK_SQL} SELECT 'c' || o_custkey AS dataset_id, kind, count(*) AS issues FROM i GROUP BY ALL""",
-)
+@query("issue_counts_by_kind", f"WITH {_ALL_ISSUES} SELECT dataset_id, kind, count(*) AS issues FROM every GROUP BY ALL")
 def issue_counts_by_kind(spark, sf):
     from linkfold.operators.report import issue_counts_by_kind as by_kind
 
-    return by_kind(_issues(spark, sf, cap=None).filter(F.col("line_no") > 2))
+    return by_kind(_issues(spark, sf, cap=None))
 
 
 # --- file lists ---------------------------------------------------------------------------
@@ -967,49 +970,86 @@ def subset_routed_maps(spark, sf):
     return graph.id_maps(kept).select("typ", "id", "new_id")
 
 
-@query(
-    "subset_routed_connect",
-    f"""WITH {_ROUTED_SQL}
-    SELECT 'hru.con' AS file_name, s.new_id + 2 AS line_no, concat_ws(' ', s.new_id, 'hru' || s.id, s.id, '1.5 40 -90 100', s.new_id, 'sta 0 0 0 2 sdc', c.new_id,
+_CONNECT_HEAD = "id name gis_id area lat lon elev prop wst cst ovfl rule src_tot obj_typ obj_id hyd_typ frac"
+_COUNT_HEAD = "name ls_area tot_area objs hru lhru rtu gwfl aqu cha res rec exco dlr can pmp out lcha aqu2d hrd wro"
+
+
+def _heads_sql(**files: str) -> str:
+    """Title and header lines of files; a dot in a name is written as ``__``, a dash as ``_``."""
+    return " UNION ALL ".join(
+        f"SELECT '{f}', {n}, '{raw}'" for key, head in files.items() for f in [key.replace("__", ".")] for n, raw in ((1, "title"), (2, head))
+    )
+
+
+_ROUTED_CONNECT = f"""SELECT 'hru.con' AS file_name, s.new_id + 2 AS line_no, concat_ws(' ', s.new_id, 'hru' || s.id, s.id, '1.5 40 -90 100', s.new_id, 'sta 0 0 0 2 sdc', c.new_id,
       'tot 1.0 out', o.new_id, 'rhg x') AS raw FROM sel s JOIN sdc c ON c.id = s.cust JOIN outs o ON o.id = 999999
     UNION ALL SELECT 'chandeg.con', c.new_id + 2, concat_ws(' ', c.new_id, 'cha' || c.id, c.id, '1.5 40 -90 100', c.new_id, 'sta 0 0 0 1 out', o.new_id, 'tot 0.25')
       FROM sdc c JOIN customer ON c_custkey = c.id - 1 JOIN outs o ON o.id = c_nationkey + 1
     UNION ALL SELECT 'rout_unit.con', u.new_id + 2, concat_ws(' ', u.new_id, 'rtu' || u.id, u.id, '1.5 40 -90 100', u.new_id, 'sta 0 0 0 1 out', o.new_id, 'tot 1.0')
       FROM ru u JOIN outs o ON o.id = 3
     UNION ALL SELECT 'outlet.con', row_number() OVER (ORDER BY o.id) + 2, concat_ws(' ', o.new_id, 'out' || o.id, o.id, '1.5 40 -90 100',
-      row_number() OVER (ORDER BY o.id), 'sta 0 0 0 0') FROM outs o JOIN nation ON n_nationkey = o.id - 1""",
-)
+      row_number() OVER (ORDER BY o.id), 'sta 0 0 0 0') FROM outs o JOIN nation ON n_nationkey = o.id - 1
+    UNION ALL {_heads_sql(hru__con=_CONNECT_HEAD, chandeg__con=_CONNECT_HEAD, rout_unit__con=_CONNECT_HEAD, outlet__con=_CONNECT_HEAD)}"""
+
+
+@query("subset_routed_connect", f"WITH {_ROUTED_SQL} {_ROUTED_CONNECT}")
 def subset_routed_connect(spark, sf):
     dataset = r.routed_dataset(spark, sf)
     maps = graph.id_maps(subset_plan.kept_objects(dataset, _selected(spark, sf)))
     lines, _ = subset.routed_connect(dataset, maps)
-    return _squeezed(lines).filter("line_no > 2").select("file_name", "line_no", "raw")
+    return _squeezed(lines).select("file_name", "line_no", "raw")
+
+
+# Elements and definitions are numbered alike in both kinds of subset.
+_UNITS_SQL = """g AS (SELECT (id - 1) // 10 + 1 AS unit, count(*) AS n, string_agg(new_id::VARCHAR, ' ' ORDER BY id) AS elems FROM sel GROUP BY 1),
+u AS (SELECT *, row_number() OVER (ORDER BY unit) AS k FROM g)"""
+_UNIT_FILES = f"""SELECT 'rout_unit.ele' AS file_name, new_id + 2 AS line_no, concat_ws(' ', new_id, 'el' || id, 'hru', new_id, '1.0') AS raw FROM sel
+    UNION ALL SELECT 'ls_unit.ele', new_id + 2, concat_ws(' ', new_id, 'ls' || id, 'hru', new_id, '1.0') FROM sel
+    UNION ALL SELECT 'rout_unit.def', k + 2, concat_ws(' ', k, 'rtu' || unit, n, elems) FROM u
+    UNION ALL SELECT 'ls_unit.def', k + 3, concat_ws(' ', k, 'lsu' || unit, '9.5', n, elems) FROM u
+    UNION ALL SELECT 'ls_unit.def', 1, 'title' UNION ALL SELECT 'ls_unit.def', 2, (SELECT count(*)::VARCHAR FROM u) UNION ALL SELECT 'ls_unit.def', 3, 'id name area elem_tot elements'
+    UNION ALL SELECT 'object.cnt', 1, 'object.cnt: written' UNION ALL SELECT 'object.cnt', 2, '{_COUNT_HEAD}'
+    UNION ALL SELECT 'file.cio', 1, 'file.cio: written' UNION ALL SELECT 'print.prt', 1, 'print.prt: written' UNION ALL SELECT 'print.prt', 3, 'basin_wb y n y y'
+    UNION ALL {_heads_sql(rout_unit__ele="id name obj_typ obj_id frac", ls_unit__ele="id name obj_typ obj_typ_no frac", rout_unit__def="id name elem_tot elements")}"""
 
 
 @query(
     "subset_routed",
-    f"""WITH {_ROUTED_SQL}, n AS (SELECT (SELECT count(*) FROM sel) AS h, (SELECT count(*) FROM ru) AS r, (SELECT count(*) FROM sdc) AS c,
-      (SELECT count(*) FROM outs) AS o, (SELECT count(*) FROM outs JOIN nation ON n_nationkey = id - 1) AS real_o)
-    SELECT f AS file_name, lines FROM n, LATERAL (VALUES ('hru.con', h + 2), ('hru-data.hru', h + 2), ('chandeg.con', c + 2), ('channel-lte.cha', c + 2),
-      ('rout_unit.con', r + 2), ('rout_unit.def', r + 2), ('rout_unit.rtu', r + 2), ('rout_unit.ele', h + 2), ('ls_unit.ele', h + 2), ('ls_unit.def', r + 3),
-      ('outlet.con', real_o + 2), ('object.cnt', 3), ('file.cio', 2), ('print.prt', 3)) t(f, lines)""",
+    f"""WITH {_ROUTED_SQL}, {_UNITS_SQL}, counts AS (SELECT (SELECT count(*) FROM sel) AS h, (SELECT count(*) FROM ru) AS r, (SELECT count(*) FROM sdc) AS c, (SELECT count(*) FROM outs) AS o)
+    {_ROUTED_CONNECT} UNION ALL {_UNIT_FILES}
+    UNION ALL SELECT 'hru-data.hru', s.new_id + 2, concat_ws(' ', s.new_id, 'data' || s.id, o_totalprice, 'soil1') FROM sel s JOIN orders ON o_orderkey = s.id - 1
+    UNION ALL SELECT 'channel-lte.cha', c.new_id + 2, concat_ws(' ', c.new_id, 'lte' || c.id, c_nationkey + 1) FROM sdc c JOIN customer ON c_custkey = c.id - 1
+    UNION ALL SELECT 'rout_unit.rtu', new_id + 2, concat_ws(' ', new_id, 'rtu' || id, 'dr1') FROM ru
+    UNION ALL SELECT 'hru-data.hru', n, x FROM (VALUES (1, 'title'), (2, 'id name topo soil')) t (n, x)
+    UNION ALL SELECT 'channel-lte.cha', n, x FROM (VALUES (1, 'title'), (2, 'id name nation')) t (n, x)
+    UNION ALL SELECT 'rout_unit.rtu', n, x FROM (VALUES (1, 'title'), (2, 'id name dr')) t (n, x)
+    UNION ALL SELECT 'object.cnt', 3, concat_ws(' ', 'basin 10 10', h + r + c + o, h, 0, r, '0 0 0 0 0 0 0 0 0', o, c, '0 0 0') FROM counts
+    UNION ALL SELECT 'file.cio', 2, 'connect hru.con null rout_unit.con null chandeg.con outlet.con' UNION ALL SELECT 'print.prt', 2, 'lsunit_wb y y y y'""",
 )
 def subset_routed(spark, sf):
     lines, _ = subset_plan.routed(r.routed_dataset(spark, sf), _selected(spark, sf))
-    return lines.groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"))
+    return _squeezed(lines).select("file_name", "line_no", "raw")
 
 
 @query(
     "subset_isolated",
-    f"""WITH {_ROUTED_SQL}, n AS (SELECT (SELECT count(*) FROM sel) AS h, (SELECT count(*) FROM ru) AS r)
-    SELECT f AS file_name, lines FROM n, LATERAL (VALUES ('hru.con', h + 2), ('hru-data.hru', h + 2), ('rout_unit.def', r + 2), ('rout_unit.rtu', r + 2),
-      ('rout_unit.ele', h + 2), ('ls_unit.ele', h + 2), ('ls_unit.def', r + 3), ('object.cnt', 3), ('file.cio', 2), ('print.prt', 3),
-      ('chandeg.con', (SELECT count(*) + 2 FROM customer)), ('channel-lte.cha', (SELECT count(*) + 2 FROM customer)),
-      ('outlet.con', (SELECT count(*) + 2 FROM nation)), ('rout_unit.con', (SELECT count(DISTINCT o_orderkey // 10) + 2 FROM orders))) t(f, lines)""",
+    f"""WITH {_ROUTE_SQL}, {_UNITS_SQL}, h AS (SELECT count(*) AS h FROM sel), blocks AS (SELECT DISTINCT o_orderkey // 10 + 1 AS id FROM orders)
+    {_UNIT_FILES}
+    UNION ALL SELECT 'hru.con', line_no, raw FROM ({ORACLES["subset_isolated_connect"]})
+    UNION ALL SELECT 'hru-data.hru', line_no, raw FROM ({ORACLES["subset_isolated_data"]})
+    UNION ALL SELECT 'rout_unit.rtu', k + 2, concat_ws(' ', k, 'rtu' || unit, 'dr1') FROM u UNION ALL SELECT 'rout_unit.rtu', n, x FROM (VALUES (1, 'title'), (2, 'id name dr')) t (n, x)
+    UNION ALL SELECT 'object.cnt', 3, concat_ws(' ', 'basin 10 10', h, h, '0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0') FROM h
+    UNION ALL SELECT 'file.cio', 2, 'connect hru.con null null null null null' UNION ALL SELECT 'print.prt', 2, 'lsunit_wb n n n n'
+    UNION ALL SELECT 'chandeg.con', row_number() OVER (ORDER BY c_custkey) + 2, concat_ws(' ', c_custkey + 1, 'cha' || (c_custkey + 1), c_custkey + 1, '1.5 40 -90 100', c_custkey + 1, 'sta 0 0 0 1 out', c_nationkey + 1, 'tot 0.25') FROM customer
+    UNION ALL SELECT 'channel-lte.cha', row_number() OVER (ORDER BY c_custkey) + 2, concat_ws(' ', c_custkey + 1, 'lte' || (c_custkey + 1), c_nationkey + 1) FROM customer
+    UNION ALL SELECT 'outlet.con', n_nationkey + 3, concat_ws(' ', n_nationkey + 1, 'out' || (n_nationkey + 1), n_nationkey + 1, '1.5 40 -90 100', n_nationkey + 1, 'sta 0 0 0 0') FROM nation
+    UNION ALL SELECT 'rout_unit.con', row_number() OVER (ORDER BY id) + 2, concat_ws(' ', id, 'rtu' || id, id, '1.5 40 -90 100', id, 'sta 0 0 0 1 out 3 tot 1.0') FROM blocks
+    UNION ALL SELECT 'channel-lte.cha', n, x FROM (VALUES (1, 'title'), (2, 'id name nation')) t (n, x)
+    UNION ALL {_heads_sql(chandeg__con=_CONNECT_HEAD, outlet__con=_CONNECT_HEAD, rout_unit__con=_CONNECT_HEAD)}""",
 )
 def subset_isolated(spark, sf):
     lines, _ = subset_plan.isolated(r.routed_dataset(spark, sf), _selected(spark, sf))
-    return lines.groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"))
+    return _squeezed(lines).select("file_name", "line_no", "raw")
 
 
 # --- stores -------------------------------------------------------------------------------
@@ -1037,7 +1077,36 @@ def save_load_index(spark, sf):
     return loaded.groupBy("dataset_id", "fk_value", "resolved").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("preflight_report")
+@query(
+    "preflight_report",
+    f"""WITH {_ALL_ISSUES}, {_LIST_SQL}, {_DISK_SQL},
+    d AS (SELECT 'c' || c_custkey AS dataset_id, c_custkey AS k FROM customer),
+    o AS (SELECT 'c' || o_custkey AS dataset_id, count(*) AS bought, count(*) FILTER (WHERE o_orderstatus = 'P') AS lost FROM b GROUP BY 1),
+    missing AS (SELECT dataset_id, line_no, classification, file_name FROM n WHERE NOT is_default AND contains(file_name, '.')
+      AND NOT EXISTS (SELECT 1 FROM disk WHERE disk.dataset_id = n.dataset_id AND disk.file_name = n.file_name)),
+    t AS (
+      SELECT d.dataset_id, k, coalesce(bought, 0) AS bought, coalesce(lost, 0) AS lost, (SELECT count(*) FROM missing m WHERE m.dataset_id = d.dataset_id) AS gone,
+        (SELECT count(*) FROM every e WHERE e.dataset_id = d.dataset_id) AS faults FROM d LEFT JOIN o ON o.dataset_id = d.dataset_id),
+    body AS (
+      SELECT dataset_id, 1 AS section, unnest(range(1, 10)) AS ord, unnest(['- Tables indexed: ' || CASE WHEN bought > 0 THEN 2 ELSE 1 END, '- Rows indexed: ' || (bought + 1),
+        '- Foreign key references: ' || bought, '- Resolved references: ' || (bought - lost), '- Unresolved references: ' || lost, '- Missing file pointers: ' || gone,
+        '- Missing foreign key target files: 0', '- File format issues: ' || faults,
+        '- Potential orphan rows (no inbound and no outbound refs): ' || CASE WHEN bought = lost THEN 1 ELSE 0 END]) AS line FROM t
+      UNION ALL SELECT dataset_id, 2, row_number() OVER (PARTITION BY dataset_id ORDER BY line_no, kind, message),
+        '| orders.tbl | ' || CASE WHEN line_no > 0 THEN line_no::VARCHAR ELSE '—' END || ' | ' || kind || ' | ' || message || ' |' FROM every
+      UNION ALL SELECT dataset_id, 3, row_number() OVER (PARTITION BY dataset_id ORDER BY line_no, classification, file_name),
+        '| file.cio | ' || line_no || ' | ' || classification || ' | ' || file_name || ' |' FROM missing
+      UNION ALL SELECT dataset_id, 5, 1, '- customer.name: ' || lost FROM t WHERE lost > 0
+      UNION ALL SELECT dataset_id, 6, 1, '- orders.o_custkey: ' || lost FROM t WHERE lost > 0
+      UNION ALL SELECT dataset_id, 7, 1, '| customer | ' || k || ' | customer.tbl | ' || k || ' |' FROM t WHERE bought = lost),
+    heads (section, title, header) AS (VALUES (1, '## Summary', NULL), (2, '## File format issues', '| file | line | kind | message |'),
+      (3, '## Missing file pointers', '| source file | line | column | missing file |'),
+      (4, '## Missing foreign key target files', '| source file | line | source column | fk value | missing target file |'),
+      (5, '## Top unresolved targets', NULL), (6, '## Top unresolved source columns', NULL), (7, '## Potential orphan rows', '| table | pk | file | line |')),
+    s AS (SELECT d.dataset_id, heads.*, EXISTS (SELECT 1 FROM body WHERE body.dataset_id = d.dataset_id AND body.section = heads.section) AS filled FROM d, heads)
+    SELECT dataset_id, section::INT AS section, ord::BIGINT AS ord, line FROM body UNION ALL SELECT dataset_id, section, -2, title FROM s
+    UNION ALL SELECT dataset_id, section, -1, CASE WHEN filled THEN header ELSE '- None' END FROM s WHERE header IS NOT NULL OR NOT filled""",
+)
 def preflight_report(spark, sf):
     """Report over the order files, whose customers are the datasets."""
     from linkfold.operators import report
