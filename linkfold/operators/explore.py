@@ -336,7 +336,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     margin = MARGIN
     # A rank outside its bracket: the sketch promises that there is none, the counts make sure of it.
     while (lost := found.filter("not settled").select(*keys, "column").distinct()).limit(1).count():
-        margin *= 32
+        margin = max(1, 32 * margin)
         same = _same([*keys, "column"], lost, "_l")
         again = values.join(same[0], same[1], "left_semi")
         wider = again.groupBy(*keys, "column").agg(F.count("v").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), _around(F.col("v"), margin).alias("_cuts"))
