@@ -230,3 +230,18 @@ def test_the_text_is_read_once(spark, tmp_path):
     import inspect
 
     assert "_jdf" not in inspect.getsource(line_source) and "inputFiles" not in inspect.getsource(line_source)
+
+
+def test_hashed_ids_of_large_keys(spark, tmp_path):
+    """The products leave 64 bits from keys of a few thousand on."""
+    from linkfold.plans.registry import QUERIES
+
+    keys = [1, 1499, 59_999, 9_000_000, 2**40, 2**40, 2**62]
+    spark.createDataFrame([(k, "A" if k % 2 else "N") for k in keys], "l_orderkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    hashed = {k: k * 2654435761 % 4611686018427387847 * 1000003 % 9007199254740881 for k in keys}
+    got = sorted((r["l_returnflag"], r["hashed"], r["new_id"]) for r in QUERIES["renumber_hashed"](spark, str(tmp_path)).collect())
+    want = []
+    for flag in ("A", "N"):
+        own = [hashed[k] for k in keys if ("A" if k % 2 else "N") == flag]
+        want += [(flag, h, sorted(set(own)).index(h) + 1) for h in sorted(own)]
+    assert got == want
