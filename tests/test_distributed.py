@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkfold.functions import ordinals
+from linkfold import session
+from linkfold.functions import ordinals, text
 from linkfold.operators import chain, explore
 from linkfold.sources import lines as line_source, outputs, store
 
@@ -245,3 +246,24 @@ def test_hashed_ids_of_large_keys(spark, tmp_path):
         own = [hashed[k] for k in keys if ("A" if k % 2 else "N") == flag]
         want += [(flag, h, sorted(set(own)).index(h) + 1) for h in sorted(own)]
     assert got == want
+
+
+def test_spans_of_any_width_are_exploded_in_blocks(spark):
+    """Up, down, single and empty spans; a block holds no more than its length."""
+    cells = spark.createDataFrame([(1, ["4", "9", "-12", "20"]), (2, ["7", "-3"]), (3, []), (4, None), (5, ["1", "-25000"])], "i int, c array<string>")
+    out = ordinals.explode_spans(cells.select("i", text.signed_spans(F.col("c")).alias("s")), F.col("s"), "e")
+    got = {i: sorted(r["e"] for r in out.filter(F.col("i") == i).collect()) for i in range(1, 6)}
+    assert got == {1: [4, 9, 10, 11, 12, 20], 2: [3, 4, 5, 6, 7], 3: [], 4: [], 5: list(range(1, 25001))}
+    assert "flatten" not in _plan(out)
+
+
+def test_many_attached_rows_are_not_broadcast(spark, monkeypatch):
+    """Rows that are alike are small on disk only; the hint outlives columns taken from the frame."""
+    monkeypatch.setattr(session, "ATTACHED_ROWS", 10)
+    wide = F.array_repeat(F.lit("the same border"), 50)
+    left = spark.range(1000).withColumn("raw", F.col("id").cast("string"))
+    for n, kind in ((10, "BroadcastHashJoin"), (11, "SortMergeJoin")):
+        files = session.attached(spark.range(n).withColumn("bounds", wide).withColumn("mode", F.lit("m")))
+        joined = left.join(files.select("id", "bounds").filter("id >= 0"), "id")
+        assert kind in _plan(joined)
+        assert joined.count() == n
