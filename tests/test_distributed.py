@@ -267,3 +267,44 @@ def test_many_attached_rows_are_not_broadcast(spark, monkeypatch):
         joined = left.join(files.select("id", "bounds").filter("id >= 0"), "id")
         assert kind in _plan(joined)
         assert joined.count() == n
+
+
+@pytest.mark.parametrize("few", [0, 5])
+def test_closure_of_contracted_graphs(spark, monkeypatch, few):
+    """Long rivers, cycles, parting and meeting ways, seeds inside; against a plain search."""
+    from linkfold.operators import graph
+
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 25) for i in range(25)] + [(30, 105), (112, 200), (7, 7)]
+    links += [(200 + i, 200 + rng.randrange(40)) for i in range(40) for _ in range(rng.choice([0, 1, 1, 2]))]
+    rows = [(d, rng.choice("ab") if d == "x" else "a", *e) for d in ("x", "y") for e in links]
+    types = {}
+    named = lambda d, n: types.setdefault((d, n), rng.choice(["sdc", "out"]))
+    edges = [(d, named(d, a), a, named(d, b), b) for d, _, a, b in rows]
+    begin = {"x": [5, 40, 900], "y": [110]}
+    seeds = [(d, named(d, n), n) for d in begin for n in begin[d]]
+    want = set(seeds)
+    while True:
+        more = {(d, dt, di) for d, st, si, dt, di in edges if (d, st, si) in want} - want
+        if not more:
+            break
+        want |= more
+    frame = spark.createDataFrame(edges, "dataset_id string, src_typ string, src_id long, dst_typ string, dst_id long")
+    got = graph._contracted(
+        frame.toDF("dataset_id", "typ", "id", "_typ", "_id").filter(graph._no_loop()), spark.createDataFrame(seeds, "dataset_id string, typ string, id long"), 2
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_long_river_is_contracted_before_it_is_doubled(spark, monkeypatch):
+    """Doubling sees few links only, so its rounds over all ways known stay small."""
+    from linkfold.operators import graph
+
+    monkeypatch.setattr(graph, "FEW_LINKS", 1000)
+    seen, followed = [], graph._followed
+    monkeypatch.setattr(graph, "_followed", lambda links, *a: seen.append(links.count()) or followed(links, *a))
+    river = spark.range(5000).select(F.lit("m").alias("dataset_id"), F.lit("r").alias("src_typ"), F.xxhash64("id").alias("src_id"), F.lit("r").alias("dst_typ"), F.xxhash64(F.col("id") + 1).alias("dst_id"))
+    seeds = spark.range(1).select(F.lit("m").alias("dataset_id"), F.lit("r").alias("typ"), F.xxhash64(F.lit(1000).cast("long")).alias("id"))
+    assert graph.downstream_closure(river, seeds).distinct().count() == 4001
+    assert seen[0] <= 1000
