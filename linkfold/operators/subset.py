@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from linkfold.functions import text
 from linkfold.functions.ordinals import explode_upto, with_ids_between, with_ordinal, with_sorted_ordinal
 from linkfold.operators import graph
+from linkfold.session import attached, durable
 
 FILE = ["dataset_id", "file_name"]
 
@@ -128,7 +129,8 @@ def header_positions(lines: DataFrame, name: str, wanted: dict[str, tuple[tuple[
         at = F.array_position(F.transform("_h", lambda h: h.isin(list(spellings))), True)
         return F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(default).cast("int"))
 
-    return head.select(*FILE, F.size("_h").alias("header_size"), *[place(*w).alias(n) for n, w in wanted.items()])
+    # A row for each dataset: attached, the lines of a file need not meet under its one key in one task.
+    return attached(head.select(*FILE, F.size("_h").alias("header_size"), *[place(*w).alias(n) for n, w in wanted.items()]))
 
 
 def map_ids(ids: DataFrame) -> DataFrame:
@@ -151,8 +153,11 @@ def isolated_connect(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame,
         _body(lines, name, 2)
         .join(places, FILE)
         .withColumn("id", text.integer(F.get("tokens", F.col("id_at"))))
+        .drop("tokens")
         .join(selected.select("dataset_id", "id").distinct(), ["dataset_id", "id"], "left_semi")
     )
+    # Lines are shuffled without their cells, and those chosen are written once.
+    chosen = durable(chosen).withColumn("tokens", text.tokens(F.col("raw")))
     require_ids(selected.select("dataset_id", "id"), chosen.select("dataset_id", "id"), "units not in the connect file")
     prop = F.when(F.col("header_size") > 7, text.integer(F.get("tokens", F.lit(7))))
     chosen = with_ordinal(chosen.withColumn("prop", prop), ["dataset_id"], "line_no", "new_line")
@@ -191,7 +196,7 @@ def _aligned(lines: DataFrame, name: str, rows: DataFrame, places: DataFrame) ->
         "cells",
         lambda c, i: F.concat(F.repeat(F.lit(" "), F.element_at(F.col("_w"), i) - F.length(c)), c),
     )
-    body = table.join(widths, FILE).select(
+    body = table.join(attached(widths), FILE).select(
         *FILE, (F.col("new_line") + 2).alias("line_no"), F.array_join(padded, " ").alias("raw")
     )
     return _heads(lines, name, 1).unionByName(body)
@@ -224,9 +229,9 @@ def routed_connect(lines: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFr
     """
     types = {files[0]: typ for typ, files in graph.OBJECT_FILES.items()}
     inside = lines.filter(F.col("file_name").isin(list(types))).withColumn("typ", text.lookup(F.col("file_name"), types))
-    inside = inside.join(maps.select("dataset_id", "typ").distinct(), ["dataset_id", "typ"], "left_semi")
+    inside = inside.join(attached(maps.select("dataset_id", "typ").distinct()), ["dataset_id", "typ"], "left_semi")
     heads = inside.filter("line_no <= 2")
-    places = heads.filter("line_no = 2").select(
+    places = attached(heads.filter("line_no = 2").select(
         *FILE,
         F.size(text.tokens(F.col("raw"))).alias("header_size"),
         F.coalesce(
@@ -235,15 +240,18 @@ def routed_connect(lines: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFr
         )
         .cast("int")
         .alias("src_at"),
-    )
+    ))
     rows = (
         inside.filter("line_no > 2")
         .withColumn("tokens", text.tokens(F.col("raw")))
         .withColumn("id", text.integer(F.get("tokens", F.lit(0))))
+        .drop("tokens")
         .join(maps, ["dataset_id", "typ", "id"])
         .join(places, FILE)
-        .withColumn("prop", F.when(F.col("header_size") > 7, text.integer(F.get("tokens", F.lit(7)))))
     )
+    # Lines are shuffled without their cells, and those kept are written once.
+    rows = durable(rows).withColumn("tokens", text.tokens(F.col("raw")))
+    rows = rows.withColumn("prop", F.when(F.col("header_size") > 7, text.integer(F.get("tokens", F.lit(7)))))
     rows = with_ordinal(rows, FILE, "line_no", "new_line")
     properties = graph.id_maps(
         rows.filter("prop is not null").select("dataset_id", "typ", F.col("prop").alias("id"))
@@ -311,8 +319,11 @@ def element_table(
         .withColumn("typ", F.lower(F.get("tokens", F.col("typ_at"))))
         .withColumn("id", text.integer(F.get("tokens", F.col("obj_at"))))
         .filter("elem is not null")
+        .drop("tokens")
         .join(maps.select("dataset_id", "typ", "id", "new_id"), ["dataset_id", "typ", "id"])
     )
+    # Lines are shuffled without their cells, and those kept are written once.
+    rows = durable(rows).withColumn("tokens", text.tokens(F.col("raw")))
     rows = (
         with_ordinal(rows, FILE, "new_id", "new_line", ["line_no"])
         if sort_by_object

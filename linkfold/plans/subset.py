@@ -47,7 +47,7 @@ def isolated(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFram
     connect, ids, properties = subset.isolated_connect(lines, selected)
     ids, properties = durable(ids), durable(properties)
     wanted = properties.unionByName(
-        ids.join(properties.select("dataset_id").distinct(), "dataset_id", "left_anti").select("dataset_id", "id", "new_id")
+        ids.join(attached(properties.select("dataset_id").distinct()), "dataset_id", "left_anti").select("dataset_id", "id", "new_id")
     )
     unit_map = ids.withColumn("typ", F.lit("hru"))
     land_elements, land_map = subset.element_table(lines, "ls_unit.ele", unit_map, number_by_object=True)
@@ -107,7 +107,7 @@ def routed(lines: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]
         by_property = properties.filter(F.col("typ") == typ)
         # Data rows follow the property ids of the connect file; without any, the object ids.
         wanted = by_property.unionByName(
-            own.join(by_property.select("dataset_id").distinct(), "dataset_id", "left_anti")
+            own.join(attached(by_property.select("dataset_id").distinct()), "dataset_id", "left_anti")
         ).select("dataset_id", "id", "new_id")
         kept = lines.join(types.filter(F.col("typ") == typ).select("dataset_id"), "dataset_id", "left_semi")
         pieces.append(subset.data_table(kept, data_file, wanted, strict=False, by_rank=True))
