@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from linkfold.session import durable
+from linkfold.session import attached, durable
 
 #: Positions are below 2**40, so a place in a batch is its block's number there and its position in one integer.
 POSITION_BITS = 40
@@ -76,7 +76,8 @@ def _level(
     entries = starts
     if max_position >= width:
         exits = durable(_block_exits(nodes, keys, width))
-        landings = exits.select(*keys, F.col("nxt").alias("pos")).union(starts).distinct()
+        # Walks meet, so a block has few exits; written, they are known to be few and the exits are not shuffled for them.
+        landings = attached(exits.select(*keys, F.col("nxt").alias("pos")).union(starts).distinct())
         upper = exits.join(landings, [*keys, "pos"], "left_semi")
         entries = _level(upper, keys, starts, width * fan, fan, max_position)
     return _marked(nodes, entries, keys, width)

@@ -134,7 +134,8 @@ def order_records(spark: SparkSession, sf: str, file_name: str, heads: list[str]
     children = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey").select(
         priority.alias("dataset_id"), F.col("l_orderkey").alias("o_orderkey"), "_kind", child.alias("raw")
     )
-    body = mains.unionByName(children).withColumn("file_name", F.lit(file_name))
+    # Written before it is numbered, which reads it twice: the joins run once.
+    body = durable(mains.unionByName(children)).withColumn("file_name", F.lit(file_name))
     body = numbered(body, "o_orderkey", ["_kind", "raw"], len(heads)).select(*LINE)
     return durable(head_lines(files_of(body), *heads).unionByName(body))
 

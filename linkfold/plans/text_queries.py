@@ -13,7 +13,7 @@ from linkfold.operators import checks, explore, graph, refs, subset
 from linkfold.plans import renderings as r, subset as subset_plan
 from linkfold.plans.corpus import load
 from linkfold.plans.star_queries import ACTIVE, ORACLES, query
-from linkfold.session import durable, scratch_path
+from linkfold.session import attached, durable, scratch_path
 from linkfold.sources import decisions, filelist, lines as line_source, outputs, records, store, tables
 
 # --- lines and plain tables -------------------------------------------------------
@@ -386,7 +386,8 @@ def _decision_lines(spark, sf):
     body = r.order_records(spark, sf, "lum.dtl", ["tables", "{n}", "NAME CONDS ALTS ACTS"], main, child, _is_operation())
     priority = F.substring("o_orderpriority", 1, 1)
     counts = load(spark, sf, "orders").groupBy(priority.alias("dataset_id")).agg(F.count(F.lit(1)).cast("string").alias("_n"))
-    return body.join(counts, "dataset_id").withColumn(
+    # There are a few counts only: attached, they are broadcast, and the lines stay where they are.
+    return body.join(attached(counts), "dataset_id").withColumn(
         "raw", F.when(F.col("line_no") == 2, F.col("_n")).otherwise(F.col("raw"))
     ).drop("_n")
 

@@ -53,3 +53,15 @@ def test_isolated_units_are_padded_where_they_are(spark, small_broadcasts):
     assert not _merged_by_file(connect)
     assert (connect.count(), ids.count(), properties.count()) == (1002, 1000, 1000)
     assert connect.filter("line_no = 4").first()["raw"].split()[0] == "2"
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_decision_lines_are_not_shuffled_for_their_counts(spark, small_broadcasts):
+    from linkfold.plans import text_queries
+
+    lines = text_queries._decision_lines(spark, "/root/testdata/sf0.001")
+    assert not _merged_by_file(lines)
+    assert lines.filter("line_no = 2").agg(F.sum(F.col("raw").cast("long"))).first()[0] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
