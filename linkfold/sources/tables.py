@@ -235,7 +235,8 @@ def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataF
         (F.col("line_no") + 1 + F.coalesce("children", F.lit(0))).alias("nxt"),
     )
     starts = headers.filter(F.col("schema_file").isin(counted)).select(*FILE, F.col("data_line").alias("pos"))
-    reached = on_chain(nodes, FILE, starts).withColumnRenamed("pos", "line_no")
+    # The main lines are used more than once; the chain is followed once.
+    reached = attached(on_chain(nodes, FILE, starts).withColumnRenamed("pos", "line_no"))
     return inside.filter("children is not null").join(reached, [*FILE, "line_no"], "left_semi")
 
 

@@ -65,3 +65,15 @@ def test_decision_lines_are_not_shuffled_for_their_counts(spark, small_broadcast
     lines = text_queries._decision_lines(spark, "/root/testdata/sf0.001")
     assert not _merged_by_file(lines)
     assert lines.filter("line_no = 2").agg(F.sum(F.col("raw").cast("long"))).first()[0] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_records_follow_their_chain_once(spark, lines):
+    from linkfold.plans import renderings, text_queries
+    from linkfold.sources import tables
+
+    text = lines({("a", "plant.ini"): "title\nname plnt_cnt rot_yr_ini\np1 2 1\nx 1\ny 2\np2 1 1\nz 1\np3 0 1"})
+    catalog = text_queries._RECORDS
+    headers = tables.resolve_header(text, renderings.bound(renderings.files_of(text), catalog), catalog)
+    mains = tables.main_lines(tables.table_lines(text, headers), headers, catalog)
+    assert "MapInArrow" not in _plan(mains)
+    assert sorted(r["line_no"] for r in mains.collect()) == [3, 6, 8]
