@@ -67,8 +67,8 @@ def document_lines(spark, sf):
 _CATALOG = r.text_catalog(r.LINEITEM)
 
 
-def _lineitem_rows(spark, sf):
-    lines = r.lineitem_lines(spark, sf)
+def _lineitem_rows(spark, sf, lines=None):
+    lines = r.lineitem_lines(spark, sf) if lines is None else lines
     headers = tables.resolve_header(lines, r.bound(r.files_of(lines), _CATALOG), _CATALOG)
     return tables.parse_tables(lines, headers, _CATALOG)
 
@@ -130,7 +130,7 @@ def text_fk_refs(spark, sf):
 )
 def target_at(spark, sf):
     lines = r.lineitem_lines(spark, sf)
-    found = refs.extract_fk_refs(_lineitem_rows(spark, sf), _CATALOG)
+    found = attached(refs.extract_fk_refs(_lineitem_rows(spark, sf, lines), _CATALOG))
     asked = found.select("dataset_id", "source_file", "source_line", F.lit(2).alias("char")).distinct()
     hits = refs.target_at(refs.position_refs(found, lines), asked)
     return hits.groupBy(

@@ -77,3 +77,12 @@ def test_records_follow_their_chain_once(spark, lines):
     mains = tables.main_lines(tables.table_lines(text, headers), headers, catalog)
     assert "MapInArrow" not in _plan(mains)
     assert sorted(r["line_no"] for r in mains.collect()) == [3, 6, 8]
+
+
+def test_text_of_line_items_is_rendered_once(spark, monkeypatch):
+    from linkfold.plans import renderings, text_queries
+
+    calls, render = [], renderings.lineitem_lines
+    monkeypatch.setattr(renderings, "lineitem_lines", lambda *a: calls.append(a) or render(*a))
+    hits = text_queries.target_at(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and not hits.isEmpty()
