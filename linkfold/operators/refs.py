@@ -289,8 +289,9 @@ def resolve_column_refs(refs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _joined(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    # A sort compares the first key, so the one with most values leads.
     return (
-        refs.join(targets, ["dataset_id", "_space", "fk_lc"], "left")
+        refs.join(targets, ["fk_lc", "_space", "dataset_id"], "left")
         .withColumn("resolved", F.col("_table").isNotNull())
         .withColumn("actual_target_table", F.coalesce("_table", "target_table"))
         .select(*REF_COLUMNS, "resolved", "actual_target_table", "target_file", "target_line")

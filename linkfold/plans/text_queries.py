@@ -1063,8 +1063,10 @@ def subset_isolated(spark, sf):
 )
 def save_load_index(spark, sf):
     """An index written to the shared folder and loaded again."""
-    rows = _lineitem_rows(spark, sf)
-    found = refs.extract_fk_refs(rows, _CATALOG)
+    path = scratch_path(spark, "index")
+    store.save_index({"rows": _lineitem_rows(spark, sf)}, path)
+    # The references are taken from the saved rows, so the text is parsed once.
+    found = refs.extract_fk_refs(store.load_index(spark, path, ["rows"])["rows"], _CATALOG)
     keys = load(spark, sf, "part").filter(ACTIVE["part"]).select(
         F.explode(F.array(*[F.lit(f) for f in ("A", "N", "R")])).alias("dataset_id"),
         F.lit("part").alias("table_name"),
@@ -1072,8 +1074,7 @@ def save_load_index(spark, sf):
         F.col("p_partkey").cast("string").alias("pk_lc"),
         F.col("p_partkey").alias("line_no"),
     )
-    path = scratch_path(spark, "index")
-    store.save_index({"rows": rows, "refs": refs.resolve_column_refs(found, keys)}, path)
+    store.save_index({"refs": refs.resolve_column_refs(found, keys)}, path)
     loaded = store.load_index(spark, path)["refs"]
     return loaded.groupBy("dataset_id", "fk_value", "resolved").agg(F.count(F.lit(1)).alias("n"))
 

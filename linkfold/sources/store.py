@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from linkfold.functions import text
 from linkfold.functions.ordinals import with_global_ordinal
+from linkfold.session import durable
 
 FORMAT_VERSION = 2
 
@@ -30,7 +31,8 @@ def save_index(frames: dict[str, DataFrame], path: str) -> None:
     for name, frame in frames.items():
         out = frame.withColumn("format_version", F.lit(FORMAT_VERSION))
         if {"actual_target_table", "fk_lc"} <= set(frame.columns):
-            out = out.repartitionByRange("dataset_id", "actual_target_table", "fk_lc").sortWithinPartitions(
+            # Ranges are sampled first, which would compute the frame a second time.
+            out = durable(out).repartitionByRange("dataset_id", "actual_target_table", "fk_lc").sortWithinPartitions(
                 "dataset_id", "actual_target_table", "fk_lc"
             )
         (

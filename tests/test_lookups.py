@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from linkfold.operators import graph
+from linkfold.operators import graph, refs
+from linkfold.plans import text_queries
+from linkfold.sources import store
 
 EDGE = "dataset_id string, src_typ string, src_id long, dst_typ string, dst_id long"
 NODE = "dataset_id string, typ string, id long"
@@ -73,3 +75,31 @@ def test_large_id_maps_are_looked_up_in_hash_tables(spark, monkeypatch, no_broad
         found = graph.remap_targets(targets, graph.hashed(graph.id_maps(kept)), ["n"])
         assert kind in _plan(found)
         assert {(r["n"], r["new_obj_id"]) for r in found.collect()} == {(0, 2), (1, 1)}
+
+
+def test_key_values_lead_where_references_are_resolved(spark, no_broadcasts):
+    found = spark.range(3).select(
+        F.lit("d").alias("dataset_id"), F.lit("f").alias("source_file"), F.lit("s").alias("source_table"), F.col("id").alias("source_line"), F.lit("c").alias("source_column"),
+        F.col("id").cast("string").alias("fk_value"), F.col("id").cast("string").alias("fk_lc"), F.lit("t").alias("target_table"), F.lit("name").alias("target_column"),
+    )
+    keys = spark.range(2).select(F.lit("d").alias("dataset_id"), F.lit("t").alias("table_name"), F.col("id").cast("string").alias("pk_lc"), F.lit("t.tbl").alias("file_name"), F.col("id").alias("line_no"))
+    joined = refs.resolve_column_refs(found, keys)
+    assert "SortMergeJoin [fk_lc#" in _plan(joined)
+    assert sorted((r["fk_value"], r["resolved"]) for r in joined.collect()) == [("0", True), ("1", True), ("2", False)]
+
+
+def test_references_of_a_saved_index_come_from_its_rows(spark, monkeypatch, tmp_path):
+    items = spark.range(6).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 3).alias("l_partkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"),
+        F.lit(2.0).alias("l_extendedprice"), F.lit(0.1).alias("l_discount"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 10), (2, 50)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    read, save = {}, store.save_index
+    monkeypatch.setattr(store, "save_index", lambda frames, path: read.update({n: f.inputFiles() for n, f in frames.items()}) or save(frames, path))
+    ranged, durable = [], store.durable
+    monkeypatch.setattr(store, "durable", lambda df: ranged.append(df.columns) or durable(df))
+    got = text_queries.save_load_index(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("A", "1", True, 2), ("A", "2", False, 2)}
+    assert any("/rows/" in f for f in read["refs"])
+    assert len(ranged) == 1
