@@ -1065,7 +1065,7 @@ def save_load_index(spark, sf):
     """An index written to the shared folder and loaded again."""
     path = scratch_path(spark, "index")
     store.save_index({"rows": _lineitem_rows(spark, sf)}, path)
-    # The references are taken from the saved rows, so the text is parsed once.
+    # The references are taken from the saved rows, so the text is not parsed again.
     found = refs.extract_fk_refs(store.load_index(spark, path, ["rows"])["rows"], _CATALOG)
     keys = load(spark, sf, "part").filter(ACTIVE["part"]).select(
         F.explode(F.array(*[F.lit(f) for f in ("A", "N", "R")])).alias("dataset_id"),
