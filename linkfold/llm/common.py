@@ -41,6 +41,24 @@ def written(df: DataFrame, label: str = "llm") -> DataFrame:
 _PLACES: dict[int, tuple[weakref.ref, str]] = {}
 
 
+#: Bitmaps of 32768 bits that ``marked_only`` sends to the tasks, however many rows there are.
+MARKS = 1024
+
+
+def marked_only(rows: DataFrame, keys: list[str], wanted: DataFrame, names: list[str], how: str = "left_semi") -> DataFrame:
+    """Rows whose keys may be among the ``names`` of ``wanted``: all that are and a share of the others; or the rest, by ``left_anti``.
+
+    A bit for each hash goes to the tasks, 4 MB in all, so that wide rows with nothing to meet are not shuffled.
+    """
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(MARKS << 15))
+    own = wanted.select(place(names).alias("_at"))
+    bits = own.groupBy(F.shiftright("_at", 15).alias("_map")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND(F.lit(32767))).alias("_bits"))
+    at = place(keys)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at.bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.shiftright(at, 15) == F.col("_map")) & met, how)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the tables of frames of ``written`` that nothing will read again: what was made from them is written itself.
 
@@ -53,8 +71,9 @@ def discard(*frames: DataFrame) -> None:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     gc.collect()
-    if frames:
-        frames[0].sparkSession._jvm.System.gc()
+    spark = frames[0].sparkSession if frames else SparkSession.getActiveSession()
+    if spark:
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

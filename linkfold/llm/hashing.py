@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 20
+#: Bytes that are hashed at once: their eight-byte sums stay in a core's cache.
+PIECE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -58,14 +60,14 @@ def combine(parts: list[np.ndarray], salt: int) -> np.ndarray:
 
 
 def blocks(data: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about BLOCK bytes that end at a byte outside words, or at the end."""
+    """Ranges of about PIECE bytes that end at a byte outside words, or at the end."""
     at, n = 0, len(data)
     while at < n:
-        to = min(at + BLOCK, n)
+        to = min(at + PIECE, n)
         if to < n:
             gap = np.flatnonzero(~is_word[data[at:to]])
             while not len(gap) and to < n:
-                last, to = to, min(to + BLOCK, n)
+                last, to = to, min(to + PIECE, n)
                 gap = np.flatnonzero(~is_word[data[last:to]]) + (last - at)
             to = at + int(gap[-1]) + 1 if len(gap) and to < n else to
         yield at, to
@@ -79,7 +81,8 @@ def word_hashes(
 
     ``table`` replaces each byte before hashing, in place of lower-casing. For each of ``stems``, hashes of the words' first so many bytes follow; 0 where a word is no longer than that.
     """
-    table = table if table is not None else LOWER if lower else None
+    table = table if table is not None else LOWER if lower else np.arange(256)
+    wide = table.astype(np.uint64) + np.uint64(1)
     hashes, begins = [], []
     short: list[list[np.ndarray]] = [[] for _ in stems]
     edge = np.zeros(len(data) + 1, bool)
@@ -97,7 +100,8 @@ def word_hashes(
         end = np.flatnonzero(inside & (~after | edge[at + 1 : to + 1])) + 1
         total = np.zeros(len(piece) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            values = ((piece if table is None else table[piece]).astype(np.uint64) + np.uint64(1)) * _power("up", len(piece))[: len(piece)]
+            values = wide[piece]
+            values *= _power("up", len(piece))[: len(piece)]
             np.cumsum(values, out=total[1:])
             h = (total[end] - total[begin]) * _power("down", len(piece) + 1)[begin]
             h += (end - begin).astype(np.uint64) << np.uint64(48)

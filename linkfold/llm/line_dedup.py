@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from linkfold.llm import hashing
-from linkfold.llm.common import discard, extended, row_groups, text_buffer, written
+from linkfold.llm.common import discard, extended, marked_only, row_groups, text_buffer, written
 from linkfold.llm.linkage import linked_components
 
 #: Keys that lines of the longer classes keep of those that hold enough words.
@@ -215,7 +215,24 @@ def majorities(vote: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out[two] = vote[begin[two]] & vote[begin[two] + 1]
     a, b, c = (vote[begin[three] + k] for k in range(3))
     out[three] = a & b | a & c | b & c
-    more = np.flatnonzero(sizes > 3)
+    # Four counters of one bit for each bit of the votes, for groups of up to 15; the largest come first.
+    some = np.flatnonzero((sizes > 3) & (sizes < 16))
+    some = some[np.argsort(-sizes[some])]
+    n = sizes[some]
+    counts = [np.zeros(len(some), np.uint32) for _ in range(4)]
+    for k in range(int(n.max(initial=0))):
+        carry = vote[begin[some[: int(np.searchsorted(-n, -k))]] + k]
+        for count in counts:
+            own = count[: len(carry)]
+            carry, own[:] = own & carry, own ^ carry
+    # More than half: bit by bit from the highest, larger than what is half of the group.
+    larger, equal = np.zeros(len(some), np.uint32), np.full(len(some), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1, 0):
+        half = np.where(n // 2 >> k & 1, np.uint32(0xFFFFFFFF), np.uint32(0))
+        larger |= equal & counts[k] & ~half
+        equal &= ~(counts[k] ^ half)
+    out[some] = larger
+    more = np.flatnonzero(sizes > 15)
     for i, j in row_groups(np.concatenate([[0], np.cumsum(sizes[more])]), 1 << 17):
         own = more[i:j]
         n = sizes[own]
@@ -261,8 +278,12 @@ def _codes(digest: np.ndarray) -> np.ndarray:
     return (digest[:, 0] >> np.uint64(4)).astype(np.int64)
 
 
+#: ``_codes`` of the rows of ``lines_of``.
+CODE = "shiftrightunsigned(high, 4)"
+
+
 def lines_of(docs: DataFrame, p: Params) -> DataFrame:
-    """Lines long enough: where they stand, a 128-bit digest of their words, and 60 bits of it."""
+    """Lines long enough: where they stand, and a 128-bit digest of their words as two numbers; ``CODE`` is 60 bits of it."""
     read = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
 
     def run(batches):
@@ -270,17 +291,13 @@ def lines_of(docs: DataFrame, p: Params) -> DataFrame:
             digest = hashing.sequence_hashes(words, bounds)[long]
             yield pa.RecordBatch.from_arrays(
                 [part.column(c).take(pa.array(rows[long])) for c in ("doc_id", "row")]
-                + [
-                    pa.array(line[long].astype(np.int32)),
-                    pa.array([d.tobytes() for d in digest], pa.binary()),
-                    pa.array(_codes(digest)),
-                ],
-                names=["doc_id", "row", "line", "digest", "code"],
+                + [pa.array(line[long].astype(np.int32)), *(pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)) for k in (0, 1))],
+                names=["doc_id", "row", "line", "high", "low"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, digest binary, code long")
-    return found.select(F.struct("doc_id", "row", "line").alias("place"), "digest", "code")
+    found = read.mapInArrow(run, f"doc_id {kind}, row long, line int, high long, low long")
+    return found.select(F.struct("doc_id", "row", "line").alias("place"), "high", "low")
 
 
 # --- keys, packed -------------------------------------------------------------------------
@@ -325,9 +342,20 @@ def packed_keys(docs: DataFrame, p: Params, parts: int) -> DataFrame:
     return read.mapInArrow(run, "part int, blob binary")
 
 
+def _in_order(key: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order of rows by key and code. Few keys have several rows, so codes are looked at in those only."""
+    order = np.argsort(key)
+    found = key[order]
+    same = np.concatenate([[False], found[1:] == found[:-1], [False]])
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((code[rows], key[rows]))]
+    return order
+
+
 def _packed(held: list) -> pa.RecordBatch:
     part, entry = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((entry["code"], entry["key"], part))
+    order = _in_order(part.astype(np.uint64) << np.uint64(32) | entry["key"], entry["code"])
     part, entry = part[order], entry[order]
     if len(part):
         new = np.ones(len(part), bool)
@@ -375,7 +403,7 @@ def shared_keys(packed: DataFrame, similarity: float, parts: int) -> DataFrame:
 def _distinct(held: list) -> tuple[np.ndarray, ...]:
     """Rows in order of key and code, each pair once."""
     rows = [np.concatenate(x) for x in zip(*held)]
-    order = np.lexsort((rows[1], rows[0]))
+    order = _in_order(rows[0], rows[1])
     rows = [r[order] for r in rows]
     new = np.ones(len(order), bool)
     new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
@@ -415,29 +443,24 @@ def _may_link_in(key: np.ndarray, code: np.ndarray, n: np.ndarray, kind: np.ndar
     return _rows(*(x[near] for x in (name, code, n, kind, mark)))
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the lines at the nodes, read from the documents again."""
-    wanted = nodes.groupBy(F.col("node.doc_id").alias("_id"), F.col("node.row").alias("_row")).agg(F.collect_set("node.line").alias("lines"))
-    wanted = written(wanted, "wanted")
-    read = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")))
+def _texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, text) of the lines at the heads' places, by their codes, read from the documents again."""
+    line = F.struct(F.col("place.line").alias("line"), F.col("code").alias("node"))
+    wanted = written(heads.groupBy(F.col("place.doc_id").alias("_id"), F.col("place.row").alias("_row")).agg(F.collect_list(line).alias("lines")), "wanted")
+    some = marked_only(docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), ["doc_id", "row"], wanted, ["_id", "_row"])
+    read = some.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")))
 
     def pick(batches):
         for batch in batches:
-            at, line, found = [], [], []
-            for k, (text, lines) in enumerate(zip(batch.column("text"), batch.column("lines").to_pylist())):
+            nodes, found = [], []
+            for text, lines in zip(batch.column("text"), batch.column("lines").to_pylist()):
                 parts = text.as_py().split("\n")
-                at += [k] * len(lines)
-                line += lines
-                found += [parts[n] for n in lines]
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(where), batch.column("row").take(where), pa.array(line, pa.int32()), pa.array(found, pa.string())], names=["doc_id", "row", "line", "text"]
-            )
+                nodes += [x["node"] for x in lines]
+                found += [parts[x["line"]] for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.string())], names=["node", "text"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    lines = read.select("doc_id", "row", "text", "lines").mapInArrow(pick, f"doc_id {kind}, row long, line int, text string")
     # Repeated rows repeat a place.
-    return lines.groupBy("doc_id", "row", "line").agg(F.min("text").alias("text")).select(F.struct("doc_id", "row", "line").alias("node"), "text")
+    return read.select("text", "lines").mapInArrow(pick, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
 class Lines:
@@ -479,31 +502,36 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     spark, similarity = docs.sparkSession, p.similarity
     lines = written(lines_of(docs, p), "lines")
-    kinds = lines.groupBy("digest").agg(F.min("place").alias("node"), F.max("place").alias("_last"), F.first("code").alias("code"))
-    classes = written(kinds.select("digest", "node", (F.col("node") != F.col("_last")).alias("again"), "code"), "classes")
     # A line has about a dozen keys; so many parts that each is a bounded piece of work.
     size = lines.count() * 12 * _ENTRY.itemsize
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     close = shared_keys(packed_keys(docs, p, parts), similarity, parts)
-    info = F.first(F.struct("n", "kind", "mark")).alias("info")
-    buckets = written(close.groupBy("key", F.col("code").alias("node")).agg(info), "buckets")
+    # The first row of several gives all three.
+    first = close.groupBy("key", F.col("code").alias("node")).agg(*(F.first(c).alias(c) for c in ("n", "kind", "mark")))
+    buckets = written(first.select("key", "node", F.struct("n", "kind", "mark").alias("info")), "buckets")
+    discard()
+    # Only lines that have a twin or share a key go on: by codes, which a line of another class may share.
+    codes = written(buckets.select(F.col("node").alias("_code")).distinct(), "codes")
+    twins = lines.groupBy(F.expr(CODE).alias("_code")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_code")
+    coded = lines.withColumn("code", F.expr(CODE))
+    picked = twins.union(codes).distinct()
+    members = written(coded.join(picked, F.col("code") == F.col("_code"), "left_semi"), "members")
+    discard(lines)
     # Of classes that share a code, which hardly any do, the first stands for it.
-    codes = buckets.select(F.col("node").alias("_code")).distinct()
-    heads = classes.join(codes, F.col("code") == F.col("_code"), "left_semi").groupBy("code").agg(F.min(F.struct("node", "digest")).alias("_h"))
-    heads = written(heads.select("code", F.col("_h.node").alias("place"), F.col("_h.digest").alias("digest")), "heads")
-    placed = _texts(docs, heads.select(F.col("place").alias("node")))
-    texts = placed.select(F.col("node").alias("_at"), "text").join(heads, F.col("_at") == F.col("place")).select(F.col("code").alias("node"), "text")
-    texts = written(texts, "words")
+    heads = members.join(codes, F.col("code") == F.col("_code"), "left_semi").groupBy("code").agg(F.min(F.struct("place", "high", "low")).alias("_h"))
+    heads = written(heads.select("code", "_h.*"), "heads")
+    texts = written(_texts(docs, heads), "words")
+    discard(codes)
     found = linked_components(buckets, texts, lambda m, n: may_link(m, n, similarity), lambda t: Lines(t, similarity))
     discard(buckets, texts)
     # A component is named by its first place.
-    named = found.join(heads, F.col("node") == F.col("code")).select("digest", "component", "place")
+    named = written(found.join(heads, F.col("node") == F.col("code")).select("high", "low", "component", "place"), "named")
     firsts = named.groupBy("component").agg(F.min("place").alias("_first")).withColumnRenamed("component", "_c")
-    label = named.join(firsts, F.col("component") == F.col("_c")).select(F.col("digest").alias("_of"), F.col("_first").alias("component"))
-    stays = classes.join(label, F.col("digest") == F.col("_of"), "left").filter(F.col("again") | F.col("component").isNotNull())
-    stays = written(stays.select(F.col("digest").alias("_d"), F.coalesce("component", "node").alias("stay")), "stays")
-    discard(classes)
-    gone = lines.select("place", "digest").join(stays, F.col("digest") == F.col("_d")).filter(F.col("place") != F.col("stay"))
+    label = named.join(firsts, F.col("component") == F.col("_c")).select(F.col("high").alias("_h"), F.col("low").alias("_l"), "_first")
+    classes = members.groupBy("high", "low").agg(F.min("place").alias("node"))
+    stays = classes.join(label, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")), "left")
+    stays = written(stays.select(F.col("high").alias("_h"), F.col("low").alias("_l"), F.coalesce("_first", "node").alias("stay")), "stays")
+    gone = members.join(stays, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).filter(F.col("place") != F.col("stay"))
     return gone.groupBy("place.doc_id", "place.row").agg(F.collect_set("place.line").alias("lines"))
 
 
@@ -511,8 +539,12 @@ def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines``, ``n_removed`` appended."""
     gone = written(removals(docs, p), "gone").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "lines")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*keep, F.xxhash64("text").alias("_hash")).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    read = docs.select(*keep, F.xxhash64("text").alias("_hash"))
+    ids = ["doc_id", "_hash"], gone, ["_id", "_row"]
+    # Documents that lose nothing need not move.
+    joined = marked_only(read, *ids).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
     joined = joined.select(*keep, F.col("lines").alias("_lines"))
+    joined = joined.unionByName(marked_only(read, *ids, "left_anti").select(*keep, F.lit(None).cast("array<int>").alias("_lines")))
 
     def run(batches):
         for batch in batches:

@@ -25,6 +25,8 @@ STARS = 2
 #: Items that meet inside a task, and bytes of their texts: two blocks of so many are the most that one holds.
 BLOCK = 1024
 BYTES = 32_000_000
+#: Rows, and bytes of their texts, of small groups that a task prepares at once.
+TOGETHER = 2048, 2_000_000
 
 
 class Comparison(Protocol):
@@ -65,7 +67,7 @@ def linked_components(
     is a cheap exact condition that links need; ``compare`` prepares texts, whose ``links(x, others)`` tells which
     of the others x is linked to.
     """
-    label = links = None
+    label = None
     left = buckets
     for turn in range(STARS):
         now = _open_keys(left, label)
@@ -75,13 +77,26 @@ def linked_components(
         pairs = written(met.select(F.col("_p").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         found = written(_confirmed(pairs, texts, compare), "found")
         discard(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        label = components(found) if label is None else _merged(label, found)
         left = now.filter(F.col("node") != F.col("pivot")).select("key", "node", "info")
     now = _open_keys(left, label)
     found = written(_settled(now, texts, compare), "settled")
     discard(now)
-    return components(links.unionByName(found)) if found.limit(1).count() else label
+    return _merged(label, found)
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label``, as of ``components``, with more links: those between components, so what is merged already is not looked at again."""
+    if not links.limit(1).count():
+        return label
+    own = label.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    for end in ("a", "b"):
+        links = links.join(own, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    into = components(links).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    old = label.join(into, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    # A node without a component so far comes by its own name.
+    new = into.join(label, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("node"), F.col("_c").alias("component"))
+    return written(old.unionByName(new), "merged")
 
 
 def _open_keys(left: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -115,12 +130,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, compare: Callable[[pa.Array],
                 new = np.ones(j - i, bool)
                 if j - i > 1:
                     new[1:] = pc.not_equal(a.slice(1), a.slice(0, j - i - 1)).to_numpy(zero_copy_only=False)
-                at = np.cumsum(new) - 1
-                own = compare(pa.concat_arrays([part.column("text_b"), a.take(pa.array(np.flatnonzero(new)))]))
+                begin = np.flatnonzero(new)
+                own = compare(pa.concat_arrays([part.column("text_b"), a.take(pa.array(begin))]))
                 keep = np.zeros(j - i, bool)
-                for k in range(int(at[-1]) + 1):
-                    rows = np.flatnonzero(at == k)
-                    keep[rows] = own.links(j - i + k, rows)
+                for k, (first, end) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), j - i])):
+                    keep[first:end] = own.links(j - i + k, np.arange(first, end))
                 yield part.filter(pa.array(keep)).select(["a", "b"])
 
     return joined.mapInArrow(run, joined.select("a", "b").schema)
@@ -130,31 +144,33 @@ def _settled(now: DataFrame, texts: DataFrame, compare: Callable[[pa.Array], Com
     """Links between the components of each key, each pair of components of a block pair once."""
     rows = grouped_blocks(now.select("key", "node", F.xxhash64("component").alias("code")), texts)
 
-    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code, mine = batch.column("code").to_numpy(), batch.column("mine").to_numpy()
-        alone = batch.column("low")[0].as_py() == batch.column("high")[0].as_py()
-        _, group, sizes = np.unique(code, return_inverse=True, return_counts=True)
-        a, b = [], []
-        if len(sizes) > 1:
-            own = compare(batch.column("text"))
+    def settle(batch: pa.RecordBatch, begins: list[int]) -> pa.RecordBatch:
+        codes, mines = batch.column("code").to_numpy(), batch.column("mine").to_numpy()
+        alones = batch.column("low").to_numpy() == batch.column("high").to_numpy()
+        own, a, b = compare(batch.column("text")), [], []
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+            code, mine, alone = codes[begin:end], mines[begin:end], alones[begin]
+            _, group, sizes = np.unique(code, return_inverse=True, return_counts=True)
+            if len(sizes) < 2:
+                continue
             # Items of small components ask first; the largest is only asked.
             rank = np.empty(len(sizes), np.int64)
             rank[np.argsort(sizes, kind="stable")] = np.arange(len(sizes))
             order, done = np.argsort(rank[group], kind="stable"), np.zeros(len(code), bool)
-            for x in order:
+            for x in order[:-1]:
                 others = np.flatnonzero(~done & (group != group[x]) & (alone | (mine != mine[x])))
                 done[x] = True
-                hits = others[own.links(int(x), others)] if len(others) else others
+                hits = others[own.links(begin + int(x), begin + others)] if len(others) else others
                 for y in hits:
                     if group[x] != group[y]:
-                        a.append(int(x))
-                        b.append(int(y))
+                        a.append(begin + int(x))
+                        b.append(begin + int(y))
                         group[group == group[x]] = group[y]
         node = batch.column("node")
         return pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
     kind = now.schema["node"].dataType
-    return rows.mapInArrow(by_group(settle), StructType([StructField("a", kind), StructField("b", kind)]))
+    return rows.mapInArrow(by_groups(settle), StructType([StructField("a", kind), StructField("b", kind)]))
 
 
 def grouped_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,7 +191,17 @@ def grouped_blocks(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A function for ``mapInArrow`` that gives ``work`` each group of (key, low, high) of sorted rows as one batch.
+    """A function for ``mapInArrow`` that gives ``work`` each group of (key, low, high) of sorted rows as one batch."""
+
+    def each(batch: pa.RecordBatch, begins: list[int]) -> pa.RecordBatch:
+        parts = [work(batch.slice(i, j - i)) for i, j in zip(begins, [*begins[1:], batch.num_rows])]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
+
+    return by_groups(each)
+
+
+def by_groups(work: Callable[[pa.RecordBatch, list[int]], pa.RecordBatch]) -> Callable:
+    """The same with several whole groups at a time, as far as ``TOGETHER`` goes, and where each begins.
 
     Texts have long offsets there, so however many bytes a group has, it is one batch.
     """
@@ -187,22 +213,32 @@ def by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
                 continue
             whole = _one_batch([_long(batch)] if held is None or not held.num_rows else [held, _long(batch)])
             keys = [whole.column(c).to_numpy() for c in ("key", "low", "high")]
-            begin = 0
-            for end in np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1:
-                out.append(work(whole.slice(begin, int(end) - begin)))
-                begin, rows = int(end), rows + out[-1].num_rows
+            begins = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
+            for part, own in _together(whole, begins):
+                out.append(work(part, own))
+                rows += out[-1].num_rows
                 if len(out) > 500 or rows > 10_000:
                     yield from pa.Table.from_batches(out).combine_chunks().to_batches()
                     out, rows = [], 0
-            held = whole.slice(begin)
+            held = whole.slice(int(begins[-1]))
         if held is not None and held.num_rows:
-            out.append(work(held))
+            out.append(work(held, [0]))
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
 
 
+def _together(whole: pa.RecordBatch, begins: np.ndarray):
+    """The groups but the last one, some at a time, and where each begins."""
+    if "text" in whole.schema.names:
+        weight = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + TOGETHER[1] // TOGETHER[0]
+    else:
+        weight = np.full(whole.num_rows, TOGETHER[1] // TOGETHER[0])
+    for i, j in row_groups(np.concatenate([[0], np.cumsum(weight)])[begins], TOGETHER[1]):
+        yield whole.slice(int(begins[i]), int(begins[j] - begins[i])), (begins[i:j] - begins[i]).tolist()
+
+
 def _long(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The batch with long offsets in its texts."""
     return pa.RecordBatch.from_arrays([c.cast(pa.large_string()) if pa.types.is_string(c.type) else c for c in batch.columns], names=batch.schema.names)
