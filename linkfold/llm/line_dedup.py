@@ -513,12 +513,14 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # Only lines that have a twin or share a key go on: by codes, which a line of another class may share.
     codes = written(buckets.select(F.col("node").alias("_code")).distinct(), "codes")
     twins = lines.groupBy(F.expr(CODE).alias("_code")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_code")
-    coded = lines.withColumn("code", F.expr(CODE))
-    picked = twins.union(codes).distinct()
-    members = written(coded.join(picked, F.col("code") == F.col("_code"), "left_semi"), "members")
-    discard(lines)
+    # Written first, so that the lines of a very common code can be split where they are joined.
+    picked = written(twins.union(codes).distinct(), "picked")
+    members = written(lines.join(picked, F.expr(CODE) == F.col("_code"), "left_semi"), "members")
+    discard(lines, picked)
+    classes = written(members.groupBy("high", "low").agg(F.min("place").alias("node")), "classes")
     # Of classes that share a code, which hardly any do, the first stands for it.
-    heads = members.join(codes, F.col("code") == F.col("_code"), "left_semi").groupBy("code").agg(F.min(F.struct("place", "high", "low")).alias("_h"))
+    near = classes.withColumn("code", F.expr(CODE)).join(codes, F.col("code") == F.col("_code"), "left_semi")
+    heads = near.groupBy("code").agg(F.min(F.struct(F.col("node").alias("place"), "high", "low")).alias("_h"))
     heads = written(heads.select("code", "_h.*"), "heads")
     texts = written(_texts(docs, heads), "words")
     discard(codes)
@@ -528,7 +530,6 @@ def removals(docs: DataFrame, p: Params = Params()) -> DataFrame:
     named = written(found.join(heads, F.col("node") == F.col("code")).select("high", "low", "component", "place"), "named")
     firsts = named.groupBy("component").agg(F.min("place").alias("_first")).withColumnRenamed("component", "_c")
     label = named.join(firsts, F.col("component") == F.col("_c")).select(F.col("high").alias("_h"), F.col("low").alias("_l"), "_first")
-    classes = members.groupBy("high", "low").agg(F.min("place").alias("node"))
     stays = classes.join(label, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l")), "left")
     stays = written(stays.select(F.col("high").alias("_h"), F.col("low").alias("_l"), F.coalesce("_first", "node").alias("stay")), "stays")
     gone = members.join(stays, (F.col("high") == F.col("_h")) & (F.col("low") == F.col("_l"))).filter(F.col("place") != F.col("stay"))
