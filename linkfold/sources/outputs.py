@@ -85,7 +85,11 @@ def read_output_csv(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: A cell of a units row has one of these characters.
 UNIT_MARK = "[a-zA-Z/%()]"
+#: With no data below it, a units row is known by a cell like this beside a dash; a lone row of words stays data.
+LONE_UNIT = "(?i)^(?!n/a$).*[/%()]"
 RULE = "^[-=]+$"
+#: A line of one or two words with this is a part of the title.
+BANNER = "--.*--"
 
 
 def _stripped(value: Column) -> Column:
@@ -104,24 +108,31 @@ def _reads_as_data(size: Column, share: Column, width: Column) -> Column:
     return (size > 0) & (((size == width) & (share >= 0.3)) | ((share >= 0.45) & (size >= enough)))
 
 
-def _reading(first: Column, second: Column, width: Column) -> Column:
-    """What two lines below a header look like when they are split in one way."""
-    filled = F.filter(first, lambda c: c != "")
-    size, share, next_share = F.size(first), _numeric_share(first), _numeric_share(second)
+def _reading(name: str, first: str, second: str, width: Column) -> dict[str, Column]:
+    """What two lines below a header look like when they are split in one way: the struct column ``name``.
+
+    ``first`` and ``second`` are columns of cells, ``{first}_share`` and ``{second}_share`` their shares of numbers:
+    read once, since each is asked for many times.
+    """
+    cells, share, next_share = F.col(first), F.col(f"{first}_share"), F.col(f"{second}_share")
+    filled = F.filter(cells, lambda c: c != "")
+    size, next_size = F.size(cells), F.size(F.col(second))
     gaps = F.size(filled) < size
     units = (
         (F.size(filled) > 0)
         & F.exists(filled, lambda c: ~c.rlike(RULE))
         & (share <= 0.25)
-        & _reads_as_data(F.size(second), next_share, size)
+        & _reads_as_data(next_size, next_share, size)
         & (gaps | (F.exists(filled, lambda c: c.rlike(UNIT_MARK)) & (next_share >= share)))
     )
-    return F.struct(
-        first.alias("cells"),
-        units.alias("units"),
-        _reads_as_data(size, share, width).alias("data"),
-        _reads_as_data(F.size(second), next_share, width).alias("next_data"),
-    )
+    return {
+        name: F.struct(
+            cells.alias("cells"),
+            units.alias("units"),
+            _reads_as_data(size, share, width).alias("data"),
+            _reads_as_data(next_size, next_share, width).alias("next_data"),
+        )
+    }
 
 
 def detect_output_layout(lines: DataFrame) -> DataFrame:
@@ -130,7 +141,8 @@ def detect_output_layout(lines: DataFrame) -> DataFrame:
     The second to seventh filled line of a file each are a candidate, a row of its own with the two
     lines below it, read word by word and cut at the borders in the middle of the gaps between the
     candidate's words. The header is the first candidate that units or data follow in one of the two
-    readings, or else the second filled line.
+    readings. A file that ends with its head has none: there it is the line below the title and its banners, if that
+    line, or its units, end the file. Or else it is the second filled line.
     """
     heads = first_filled(lines, FILE, HEAD_LINES).filter(F.size("lines") > 1)
     below = lambda n: F.coalesce(F.get("lines", F.col("nth") + n)["raw"], F.lit(""))
@@ -150,25 +162,27 @@ def detect_output_layout(lines: DataFrame) -> DataFrame:
     read = (
         candidates.select(*FILE, "lines", "nth", "head", F.transform(spans, lambda w: w["token"]).alias("columns"), borders.alias("bounds"), below(1).alias("one"), below(2).alias("two"))
         .withColumn("width", F.size("columns"))
-        .withColumn("by_words", _reading(text.tokens(F.col("one")), text.tokens(F.col("two")), F.col("width")))
-        .withColumn("by_borders", _reading(cut(F.col("one")), cut(F.col("two")), F.col("width")))
+        .withColumns({"_words": text.tokens(F.col("one")), "_next_words": text.tokens(F.col("two")), "_cut": cut(F.col("one")), "_next_cut": cut(F.col("two"))})
     )
-    banner = (F.col("width") <= 2) & F.col("head.raw").rlike("--.*--")
+    read = read.withColumns({f"{c}_share": _numeric_share(F.col(c)) for c in ("columns", "_words", "_next_words", "_cut", "_next_cut")})
+    read = read.withColumns(_reading("by_words", "_words", "_next_words", F.col("width")) | _reading("by_borders", "_cut", "_next_cut", F.col("width")))
+    banner = (F.col("width") <= 2) & F.col("head.raw").rlike(BANNER)
     same = F.size("by_words.cells") == F.col("width")
-    is_header = (
-        (F.col("width") > 1)
-        & (_numeric_share(F.col("columns")) <= 0.25)
-        & ~banner
-        & ((same & (F.col("by_words.units") | F.col("by_words.data"))) | F.col("by_borders.units") | F.col("by_borders.data"))
-    )
-    fields = ("lines", "nth", "head", "columns", "bounds", "two", "width", "by_words", "by_borders")
+    may_be = (F.col("width") > 1) & (F.col("columns_share") <= 0.25) & ~banner
+    is_header = may_be & ((same & (F.col("by_words.units") | F.col("by_words.data"))) | F.col("by_borders.units") | F.col("by_borders.data"))
+    # Below the title and banners alone, and nothing but units below.
+    below_title = F.forall(F.slice("lines", F.lit(2), F.col("nth") - 1), lambda x: _stripped(x["raw"]).rlike(r"^\S*(\s+\S+)?$") & x["raw"].rlike(BANNER))
+    lone_units = same & (F.col("two") == "") & (F.col("_words_share") == 0) & F.array_contains("by_words.cells", "-") & F.exists("by_words.cells", lambda c: c.rlike(LONE_UNIT))
+    ends = may_be & below_title & ((F.col("one") == "") | lone_units)
+    fields = ("lines", "nth", "head", "columns", "bounds", "two", "width", "by_words", "by_borders", "lone_units")
     # Candidates that are no header come after all others, in their order.
-    chosen = read.groupBy(*FILE).agg(F.min_by(F.struct(*fields), F.col("nth") + F.when(is_header, 0).otherwise(HEAD_LINES)).alias("_c")).select(*FILE, "_c.*")
+    rank = F.col("nth") + F.when(is_header, 0).when(ends, HEAD_LINES).otherwise(2 * HEAD_LINES)
+    chosen = read.withColumn("lone_units", ends & lone_units).groupBy(*FILE).agg(F.min_by(F.struct(*fields), rank).alias("_c")).select(*FILE, "_c.*")
     few = (F.size("by_words.cells") > 0) & (F.size("by_words.cells") < F.col("width")) & F.col("by_words.next_data")
     more = F.col("two") != ""
     fixed = more & few & F.col("by_borders.units")
     kind = chosen.withColumn("mode", F.when(fixed, "fixed_width").otherwise("whitespace")).withColumn(
-        "_units", F.when(fixed, F.col("by_borders")).when(more & F.col("by_words.units"), F.col("by_words"))
+        "_units", F.when(fixed, F.col("by_borders")).when((more & F.col("by_words.units")) | F.col("lone_units"), F.col("by_words"))
     )
     above = F.filter(F.transform(F.slice("lines", F.lit(1), F.col("nth")), lambda x: _stripped(x["raw"])), lambda t: t != "")
     title = F.array_join(above, " ")

@@ -52,6 +52,33 @@ def test_blank_lines_and_separators(lines):
     assert rows == [["1", "2"], ["3", ""]]
 
 
+def test_files_that_end_with_their_head(lines):
+    """No rows: units, title and banners are no data; a lone row of words stays a row."""
+    for banner in ("", "--yearly--\n"):
+        head, rows = parse(lines, f"Orders of 5\n{banner} order status price\n - text usd/yr\n")
+        assert (head["title"], head["columns"], head["units"]) == (f"Orders of 5 {banner.strip()}".strip(), ["order", "status", "price"], ["-", "text", "usd/yr"])
+        assert (rows, head["last_head_line"]) == ([], 4 if banner else 3)
+        head, rows = parse(lines, f"Orders of 5\n{banner} order status price\n")
+        assert (head["columns"], head["units"], rows) == (["order", "status", "price"], None, [])
+        _, rows = parse(lines, f"Orders of 5\n order status\n{banner}abc n/a\ndef -\n")
+        assert rows[-2:] == [["abc", "n/a"], ["def", "-"]]
+    assert parse(lines, "names\nname place\nabc a/b\n")[1] == [["abc", "a/b"]]
+
+
+def test_output_text_of_customers_without_orders(spark, tmp_path):
+    from linkfold.plans import text_queries
+
+    spark.createDataFrame(
+        [(1, 5.0, "BUILDING"), (2, 5.0, "MACHINERY"), (3, -5.0, "BUILDING"), (4, -5.0, "MACHINERY"), (5, 5.0, "BUILDING")],
+        "c_custkey long, c_acctbal double, c_mktsegment string",
+    ).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(7, 5, "F", 1.5), (8, 5, "O", 2.5)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    got = sorted(map(tuple, text_queries.output_text(spark, str(tmp_path)).collect()))
+    assert got == [("cust_5.txt", "7", "F", 1.5), ("cust_5.txt", "8", "O", 2.5)]
+
+
 def test_csv(lines):
     frame = lines({("d", "x.csv"): 'day,label,flow\n1,"reach, upper",2.5\n\n2,"say ""hi""" , 3,4\n3\n4,a"b,c"d,5'})
     layouts, rows = outputs.read_output_csv(frame)
