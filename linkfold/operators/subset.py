@@ -17,6 +17,9 @@ from linkfold.session import attached, durable
 
 FILE = ["dataset_id", "file_name"]
 
+#: Elements of a definition that become text together.
+LIST_BLOCK = 4096
+
 # Files an isolated subset does without.
 ISOLATED_NULL = (
     "rout_unit.dr", "water_allocation.wro", "element.wro", "water_rights.wro", "object.prt", "rout_unit.con",
@@ -346,9 +349,9 @@ def element_table(
 
 def definition_members(lines: DataFrame, name: str, total_at: int, heads: int) -> DataFrame:
     """Definitions with their element lists as spans: ``..., line_no, tokens, id, spans``."""
-    rows = _body(lines, name, heads).withColumn("id", text.integer(F.get("tokens", F.lit(0)))).withColumn(
-        "total", text.integer(F.get("tokens", F.lit(total_at)))
-    )
+    # The file's lines are written once: in one filter with the file's name, spans would be read from all lines of all files.
+    own = durable(_body(lines, name, heads).drop("tokens")).withColumn("tokens", text.tokens(F.col("raw")))
+    rows = own.withColumn("id", text.integer(F.get("tokens", F.lit(0)))).withColumn("total", text.integer(F.get("tokens", F.lit(total_at))))
     listed = F.slice("tokens", F.lit(total_at + 2), F.greatest("total", F.lit(0)).cast("int"))
     return rows.filter("id is not null and total is not null").withColumn("spans", text.signed_spans(listed))
 
@@ -366,7 +369,7 @@ def definition_table(
     """Definition file with renumbered elements: ``(lines, id map)``.
 
     The elements inside the lists' spans are looked up, mapped and counted again; a span costs what it finds, however
-    wide it is. Definitions left without elements go, and the others are numbered in file order; with ``kept``
+    wide it is, and a long list is held as text only. Definitions left without elements go, and the others are numbered in file order; with ``kept``
     (``dataset_id, id, new_id``) exactly those definitions stay, under their new ids, empty or not. ``count_line`` writes the number of rows
     above the header.
     """
@@ -377,24 +380,34 @@ def definition_table(
     placed, ranked = with_ids_between(spans, elements.select("dataset_id", "id", F.col("new_id").alias("new_elem")), ["dataset_id"], "id", "low", "high")
     members = explode_upto(placed, F.col("n_ids"), "_k").withColumn("rank", F.col("first_rank") + F.col("_k") - 1)
     place = F.when(F.col("down"), -F.col("rank")).otherwise(F.col("rank"))
-    mapped = (
-        members.join(ranked.select("dataset_id", "rank", "new_elem"), ["dataset_id", "rank"])
-        .groupBy(*FILE, "line_no")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", place.alias("place"), "new_elem"))).alias("_e"))
-    )
-    joined = rows.join(mapped, [*FILE, "line_no"], "left" if kept is not None else "inner")
+    found = members.join(ranked.select("dataset_id", "rank", "new_elem"), ["dataset_id", "rank"]).withColumn("place", place)
+    # A list becomes text block by block, so that no row holds the elements of a long one.
+    block = F.floor(F.col("place") / F.lit(LIST_BLOCK)).alias("_block")
+    listed = F.transform("_e", lambda e: e["new_elem"].cast("string"))
+    pieces = durable(
+        found.groupBy(*FILE, "line_no", "nth", block)
+        .agg(F.array_sort(F.collect_list(F.struct("place", "new_elem"))).alias("_e"))
+        .select(*FILE, "line_no", "nth", "_block", F.size("_e").alias("_n"), F.nullif(right_aligned(listed, 12, gap), F.lit("")).alias("_text"))
+    )
+    rows = rows.select(*FILE, "line_no", "id", F.slice("tokens", F.lit(1), F.lit(total_at)).alias("base"))
     if kept is not None:
-        joined = joined.join(kept.select("dataset_id", "id", "new_id"), ["dataset_id", "id"])
+        joined = rows.join(kept.select("dataset_id", "id", "new_id"), ["dataset_id", "id"])
         numbered = with_ordinal(joined, FILE, "line_no", "new_line")
     else:
+        joined = rows.join(pieces, [*FILE, "line_no"], "left_semi")
         numbered = with_ordinal(joined, FILE, "line_no", "new_line").withColumn("new_id", F.col("new_line"))
-    new = F.coalesce(F.transform("_e", lambda e: e["new_elem"].cast("string")), F.array().cast("array<string>"))
-    base = put(F.slice("tokens", F.lit(1), F.lit(total_at)), 0, F.col("new_id").cast("string"))
-    cells = F.concat(base, F.array(F.size(new).cast("string")), new)
-    body = numbered.withColumn("raw", right_aligned(cells, 12, gap))
+    base = put(F.col("base"), 0, F.col("new_id").cast("string"))
+    whole = (
+        numbered.withColumn("base", base)
+        .join(pieces, [*FILE, "line_no"], "left")
+        .groupBy(*FILE, "new_line")
+        .agg(F.first("base").alias("base"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.array_sort(F.collect_list(F.struct("nth", "_block", "_text"))).alias("_e"))
+    )
+    start = right_aligned(F.concat("base", F.array(F.col("_n").cast("string"))), 12, gap)
+    body = whole.withColumn("raw", F.array_join(F.concat(F.array(start), F.transform("_e", lambda e: e["_text"])), gap))
     top = _heads(lines, name, heads)
     if count_line:
-        counts = body.groupBy(*FILE).agg(F.count(F.lit(1)).alias("_n"))
+        counts = numbered.groupBy(*FILE).agg(F.count(F.lit(1)).alias("_n"))
         top = top.join(counts, FILE, "left").select(
             *FILE,
             "line_no",

@@ -117,3 +117,22 @@ def test_target_groups(spark):
         df = spark.createDataFrame([(head + tail,)], "raw string")
         got = df.select(graph.target_groups(text.tokens(F.col("raw"))).alias("t")).first()["t"]
         assert [(g["obj_typ"], g["obj_id"], g["frac"]) for g in got] == want
+
+
+def test_long_lists_become_text_in_blocks(spark, monkeypatch):
+    """Lists up, down and of several spans are whole and in order; what is collected for a row is text, no elements."""
+    monkeypatch.setattr(subset, "LIST_BLOCK", 4)
+    body = ["title", "id name elem_tot elements", "7 up 2 1 -90", "8 none 2 200 -300", "9 down 2 90 -1", "10 mixed 4 50 3 -8 40"]
+    lines = spark.createDataFrame([("d", "rout_unit.def", i, raw) for i, raw in enumerate(body, 1)], "dataset_id string, file_name string, line_no bigint, raw string")
+    elements = spark.createDataFrame([("d", 2 * i, i) for i in range(1, 46)], "dataset_id string, id bigint, new_id bigint")
+    out, ids = subset.definition_table(lines, "rout_unit.def", elements, total_at=2)
+    got = {r["line_no"]: r["raw"] for r in out.collect()}
+    up = [str(i) for i in range(1, 46)]
+    cells = [["1", "up", "45", *up], ["2", "down", "45", *reversed(up)], ["3", "mixed", "5", "25", "2", "3", "4", "20"]]
+    assert got == {1: body[0], 2: body[1]} | {i: " ".join(c.rjust(12) for c in row) for i, row in enumerate(cells, 3)}
+    assert sorted(map(tuple, ids.select("id", "new_id").collect())) == [(7, 1), (9, 2), (10, 3)]
+    kept = spark.createDataFrame([("d", 8, 1), ("d", 9, 2)], "dataset_id string, id bigint, new_id bigint")
+    out, _ = subset.definition_table(lines, "rout_unit.def", elements, total_at=2, kept=kept)
+    got = {r["line_no"]: r["raw"].split() for r in out.filter("line_no > 2").collect()}
+    assert got == {3: ["1", "none", "0"], 4: ["2", *cells[1][1:]]}
+    assert "collect_list(struct(nth" in out._jdf.queryExecution().toString() and "new_elem" not in out._jdf.queryExecution().toString()
