@@ -172,9 +172,10 @@ def dtl_action_refs(children: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def _child_refs(children: DataFrame, catalog: Catalog, value: Column, label: Column, target: Column) -> DataFrame:
+    # Generated columns: a filter on them is not moved below, where it would make the map of values for each of its terms.
+    found = F.struct(label.alias("source_column"), value.alias("fk_value"), target.alias("target_table"))
     return (
-        children.withColumn("fk_value", value)
-        .withColumn("target_table", target)
+        children.select("*", F.inline(F.array(found)))
         .filter(
             F.col("target_table").isNotNull()
             & F.col("fk_value").isNotNull()
@@ -185,7 +186,7 @@ def _child_refs(children: DataFrame, catalog: Catalog, value: Column, label: Col
             F.col("file_name").alias("source_file"),
             F.col("table_name").alias("source_table"),
             F.col("line_no").alias("source_line"),
-            label.alias("source_column"),
+            "source_column",
             "fk_value",
             F.lower("fk_value").alias("fk_lc"),
             "target_table",

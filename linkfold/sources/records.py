@@ -34,7 +34,7 @@ def named_cells(names: tuple[str, ...], tokens: Column, **extra: Column) -> Colu
 
 
 def _flat(children: DataFrame, values: Column) -> DataFrame:
-    return children.filter(F.size("tokens") > 0).select(
+    return children.filter(~text.is_blank(F.col("raw"))).select(
         "dataset_id", "table_name", "file_name", "main_line", "ord", "line_no", values.alias("values")
     )
 

@@ -8,7 +8,7 @@ from linkfold.catalog import Catalog
 from linkfold.functions import text
 from linkfold.functions.ordinals import explode_upto, with_ordinal
 from linkfold.operators.chain import on_chain
-from linkfold.session import attached
+from linkfold.session import attached, durable
 
 FILE = ["dataset_id", "file_name"]
 
@@ -219,16 +219,15 @@ def child_count() -> Column:
     count = F.when(F.col("count_fixed") > 0, F.col("count_fixed")).otherwise(stated * F.col("count_times"))
     second = text.integer(F.get("tokens", F.lit(1)))
     fallback = F.when(second.isNotNull(), positive(F.get("tokens", F.lit(1))))
-    return F.when(F.col("count_second") & (count <= 0), fallback).otherwise(count)
+    return text.bind(count, lambda n: F.when(F.col("count_second") & (n <= 0), fallback).otherwise(n))
 
 
 def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataFrame:
     """Record starts of the counted files, with ``children`` (lines that belong to the record)."""
     counted = counted_files(catalog)
-    inside = (
-        parsed.filter(F.col("schema_file").isin(counted))
-        .withColumn("children", F.when(F.size("tokens") > 0, child_count()))
-    )
+    with_children = lambda df: df.withColumn("children", F.when(F.size("tokens") > 0, child_count()))
+    own = parsed.filter(F.col("schema_file").isin(counted))
+    inside = with_children(own)
     nodes = inside.select(
         *FILE,
         F.col("line_no").alias("pos"),
@@ -237,7 +236,9 @@ def main_lines(parsed: DataFrame, headers: DataFrame, catalog: Catalog) -> DataF
     starts = headers.filter(F.col("schema_file").isin(counted)).select(*FILE, F.col("data_line").alias("pos"))
     # The main lines are used more than once; the chain is followed once.
     reached = attached(on_chain(nodes, FILE, starts).withColumnRenamed("pos", "line_no"))
-    return inside.filter("children is not null").join(reached, [*FILE, "line_no"], "left_semi")
+    # Lines are shuffled without their cells, and those reached are written once.
+    met = durable(own.drop("tokens").join(reached, [*FILE, "line_no"], "left_semi"))
+    return with_children(met.withColumn("tokens", text.tokens(F.col("raw")))).filter("children is not null")
 
 
 def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0) -> DataFrame:
@@ -249,7 +250,7 @@ def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0
     columns.
     """
     files = attached(mains.select(*FILE).distinct())
-    body = lines.join(files, FILE).select(*FILE, "line_no", text.tokens(F.col("raw")).alias("tokens"), "raw")
+    body = lines.join(files, FILE).select(*FILE, "line_no", "raw")
     ends = attached(body.groupBy(*FILE).agg(F.max("line_no").alias("_last")))
     counted = (
         mains.withColumn("_wanted", count.cast("bigint"))
@@ -260,7 +261,8 @@ def child_lines(mains: DataFrame, lines: DataFrame, count: Column, skip: int = 0
     there = F.least(F.col("_wanted"), F.col("_last") - F.col("main_line") - F.lit(skip))
     wanted = explode_upto(counted, there, "ord").drop("_wanted", "_last")
     wanted = wanted.withColumn("line_no", F.col("main_line") + F.col("ord") + F.lit(skip)).withColumn("ord", F.col("ord").cast("int"))
-    return wanted.join(body, [*FILE, "line_no"])
+    # Lines travel as they are and are split behind the join.
+    return wanted.join(body, [*FILE, "line_no"]).withColumn("tokens", text.tokens(F.col("raw")))
 
 
 def nest_children(mains: DataFrame, children: DataFrame) -> DataFrame:

@@ -308,3 +308,21 @@ def test_a_long_river_is_contracted_before_it_is_doubled(spark, monkeypatch):
     seeds = spark.range(1).select(F.lit("m").alias("dataset_id"), F.lit("r").alias("typ"), F.xxhash64(F.lit(1000).cast("long")).alias("id"))
     assert graph.downstream_closure(river, seeds).distinct().count() == 4001
     assert seen[0] <= 1000
+
+
+def test_references_of_schedules_make_their_values_once(spark):
+    """No filter makes the map of a line's values again, and record starts travel as raw lines."""
+    from linkfold.operators import refs
+    from linkfold.plans import text_queries
+    from linkfold.sources import records
+
+    raws = ["schedules", "name numb_ops numb_auto", "s1 2 1", "tbl7 corn", "o 1 1 0.15 3 x op5 9", "f 1 1 0.15 3 x null 9", "s2 0 0", "s3 1 0", "z 1 1 0.15 3 x op6 9"]
+    lines = session.durable(spark.createDataFrame([("d", "management.sch", i, raw) for i, raw in enumerate(raws, 1)], "dataset_id string, file_name string, line_no bigint, raw string"))
+    mains = text_queries._records(lines)
+    assert [r["line_no"] for r in mains.orderBy("line_no").collect()] == [3, 7, 8]
+    assert "leftsemi" not in mains._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = refs.management_refs(records.management_ops(mains, lines), text_queries._SCHEDULE)
+    got = sorted(tuple(r) for r in found.select("source_line", "source_column", "fk_value", "target_table").collect())
+    assert got == [(4, "auto_op_dtl", "tbl7", "lum_dtl"), (5, "op_data1(o)", "op5", "part_ops")]
+    plan = found.select("fk_value", "target_table")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "map(" in x]
